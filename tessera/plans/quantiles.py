@@ -50,16 +50,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         F.percentile_approx("_x", hi_p, accuracy).alias("_hi"),
     )
     j = list(range(len(probs)))
-    # the global stats table is one row: broadcasting it is bounded by construction
-    joined = base.join(stats, by, "inner") if by else base.crossJoin(F.broadcast(stats))
+    stat_cols = ["_n", "_min", "_max", "_lo", "_hi"]
+    if by:
+        joined = base.join(stats, by, "inner")
+    else:  # one global row, attached as a scalar subquery (no join at all)
+        one = stats.select(F.struct(*stat_cols).alias("_s")).scalar()
+        joined = base.withColumn("_s", one).select("_x", *[F.col(f"_s.{c}").alias(c) for c in stat_cols])
 
     # pass 2: rows below each bracket and rows inside it
-    below = joined.groupBy(*by).agg(
+    st = joined.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in stat_cols],
         *[F.count_if(F.col("_x") < F.element_at("_lo", i + 1)).alias(f"_b{i}") for i in j],
         *[F.count_if((F.col("_x") >= F.element_at("_lo", i + 1))
                      & (F.col("_x") <= F.element_at("_hi", i + 1))).alias(f"_c{i}") for i in j],
     )
-    st = stats.join(below, by, "inner") if by else stats.crossJoin(below)
     # ranks (0-based) of the two order statistics around (n-1)p
     rows = []
     for i, p in enumerate(probs):
@@ -70,14 +74,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         lo = F.when(ok, F.element_at("_lo", i + 1)).otherwise(F.col("_min"))
         hi = F.when(ok, F.element_at("_hi", i + 1)).otherwise(F.col("_max"))
         b = F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0))
-        rows.append(F.struct(F.lit(i).alias("j"), lo.alias("lo"), hi.alias("hi"), b.alias("b"),
-                             r0.cast("long").alias("r0"), r1.cast("long").alias("r1"),
-                             (h - r0).alias("frac")))
-    brackets = st.select(*by, F.explode(F.array(*rows)).alias("_br")).select(*by, "_br.*")
+        rows.append(F.struct(F.lit(i).alias("j"), lo.alias("lo"), hi.alias("hi"),
+                             b.cast("long").alias("b"), r0.cast("long").alias("r0"),
+                             r1.cast("long").alias("r1"), (h - r0).alias("frac")))
+    brackets = st.select(*by, F.array(*rows).alias("_br"))
 
-    # pass 3: rank only the rows that fall inside their bracket
-    inside = (base.join(brackets, by, "inner") if by else base.crossJoin(F.broadcast(brackets)))
-    inside = inside.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+    # pass 3: keep only rows inside a bracket (one bracket array per group)
+    if by:
+        tagged = base.join(brackets, by, "inner")
+    else:
+        tagged = base.withColumn("_br", brackets.select("_br").scalar())
+    inside = (tagged.select(*by, "_x", F.explode(F.filter(
+        "_br", lambda r: (F.col("_x") >= r["lo"]) & (F.col("_x") <= r["hi"]))).alias("_b"))
+        .select(*by, "_x", "_b.*"))
     w = Window.partitionBy(*by, "j").orderBy("_x")
     ranked = inside.withColumn("_r", F.row_number().over(w) - 1 + F.col("b"))
     picked = (ranked.where((F.col("_r") == F.col("r0")) | (F.col("_r") == F.col("r1")))
@@ -90,8 +99,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(names[i])
                                    for i in j])
     if by:
-        keys = stats.select(*by)
-        return keys.join(wide, by, "left")
+        return stats.select(*by).join(wide, by, "left")
     # a global aggregate always yields one row (null quantiles for empty input)
     return wide.select(*names)
 
