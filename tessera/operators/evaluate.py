@@ -91,21 +91,22 @@ def roc_curve(df: DataFrame, y: str, score: str, cls: int,
     tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     tot_s = tot.select(F.struct("P", "N")).scalar()
     pts = scanned.select(F.col("_rn").alias("k"), F.col("score").alias("threshold"),
-                         F.col("_cum_pos").alias("tps"), F.col("_cum_neg").alias("fps"))
+                         F.col("_cum_pos").alias("tps"), F.col("_cum_neg").alias("fps"),
+                         "pos", "neg")
+    if drop_intermediate:
+        # second differences of the cumulative counts are differences of the
+        # increments of neighbouring points; keep the first and last point
+        nxt = pts.select((F.col("k") - 1).alias("_kn"), F.col("pos").alias("_pn"),
+                         F.col("neg").alias("_nn"))
+        last = counts.agg(F.count(F.lit(1))).scalar()
+        j = pts.join(nxt, pts["k"] == nxt["_kn"], "left")
+        keep = ((F.col("k") == 1) | (F.col("k") == last) | (last <= 2)
+                | (F.col("_pn") != F.col("pos")) | (F.col("_nn") != F.col("neg")))
+        pts = j.where(keep)
+    pts = pts.select("k", "threshold", "tps", "fps")
     start = df.sparkSession.createDataFrame([(0, float("inf"), 0.0, 0.0)],
                                             "k long, threshold double, tps double, fps double")
     pts = start.unionByName(pts)
-    if drop_intermediate:
-        # keep a point unless the second difference of both tps and fps is zero
-        prv = pts.select((F.col("k") + 1).alias("k"), F.col("tps").alias("tp0"),
-                         F.col("fps").alias("fp0"))
-        nxt = pts.select((F.col("k") - 1).alias("k"), F.col("tps").alias("tp2"),
-                         F.col("fps").alias("fp2"))
-        j = pts.join(prv, "k", "left").join(nxt, "k", "left")
-        keep = (F.col("tp0").isNull() | F.col("tp2").isNull()
-                | ((F.col("tp2") - 2 * F.col("tps") + F.col("tp0")) != 0)
-                | ((F.col("fp2") - 2 * F.col("fps") + F.col("fp0")) != 0))
-        pts = j.where(keep).select("k", "threshold", "tps", "fps")
     return pts.select(
         F.lit(int(cls)).alias("class"), "k", "threshold",
         F.when(tot_s["N"] > 0, F.col("fps") / tot_s["N"]).alias("fpr"),

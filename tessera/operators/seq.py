@@ -60,9 +60,10 @@ def merge_short_notes(df: DataFrame, keys, ts: str, text: str, tiebreak: str,
     ordered scan, so a patient with millions of notes is still split.
     """
     keys = _k(keys)
-    src = df.select(*keys, ts, tiebreak, text,
+    order = list(dict.fromkeys([ts, tiebreak]))
+    src = df.select(*dict.fromkeys([*keys, *order, text]),
                     (F.length(text) >= min_len).cast("double").alias("_long"))
-    scanned = ordered_scan(src, [ts, tiebreak], by=keys, sums=["_long"])
+    scanned = ordered_scan(src, order, by=keys, sums=["_long"])
     g = (F.col("_cum__long") - F.col("_long")).cast("long")  # long notes before this one
     tagged = scanned.select(*keys, text, (F.col("_long") > 0).alias("_is_long"), g.alias("_g"),
                             "_rn")
