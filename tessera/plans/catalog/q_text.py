@@ -1,3 +1,138 @@
-"""Catalogue entries."""
+"""Text analytics (2.8) on ``documents``."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...functions._util import r6
+from ...functions.text import clean_text
+from ...operators import text as TX
+from ...session import scratch_path
+from . import query
+from ._common import t
+from .q_scalars import _WS, CLEAN_SQL
+
+_TERMS = ["the", "and", "les", "des", "und", "que", "with"]
+_TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+
+
+def _tfidf_sql() -> str:
+    n = len(_TERMS)
+    cnt = ", ".join(f"CAST(len(list_filter(toks, lambda x: x = '{w}')) AS DOUBLE) AS c{i}"
+                    for i, w in enumerate(_TERMS))
+    dfs = ", ".join(f"count_if(c{i} > 0) AS df{i}" for i in range(n))
+    ws = ", ".join(f"c{i} * (ln((n + 1) / (df{i} + 1)) + 1) AS w{i}" for i in range(n))
+    norm = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in range(n)) + ")"
+    outs = ", ".join(f"round(CASE WHEN {norm} > 0 THEN w{i} / {norm} ELSE 0.0 END, 6) AS tfidf_{w}"
+                     for i, w in enumerate(_TERMS))
+    return f"""
+WITH tk AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+c AS (SELECT doc_id, {cnt} FROM tk),
+s AS (SELECT count(*) AS n, {dfs} FROM c),
+w AS (SELECT doc_id, {ws} FROM c, s)
+SELECT doc_id, {outs} FROM w"""
+
+
+@query("tfidf_vocab", _tfidf_sql(), "text")
+def q_tfidf_vocab(spark, sf):
+    out = TX.tfidf_vocab(t(spark, sf, "documents"), ["doc_id"], "text", _TERMS)
+    return out.select("doc_id", *[r6(f"tfidf_{w}").alias(f"tfidf_{w}") for w in _TERMS])
+
+
+# A small polarity lexicon given as an input table (the lexicon is data, not code).
+_LEXICON = [("the", 0.1), ("and", 0.2), ("les", -0.3), ("des", 0.3), ("und", 0.4),
+            ("que", -0.1), ("with", 0.5), ("ion", -0.5)]
+
+
+@query("lexicon_sentiment", f"""
+WITH lex AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {p})" for w, p in _LEXICON)}) v(word, polarity)),
+tk AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents),
+s AS (SELECT tk.doc_id, avg(CAST(lex.polarity AS DOUBLE)) AS sentiment FROM tk JOIN lex ON tk.word = lex.word
+      GROUP BY tk.doc_id)
+SELECT d.doc_id, round(coalesce(s.sentiment, 0.0), 6) AS sentiment
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""", "text")
+def q_lexicon_sentiment(spark, sf):
+    lex = spark.createDataFrame(_LEXICON, "word string, polarity double")
+    out = TX.lexicon_sentiment(t(spark, sf, "documents"), ["doc_id"], "text", lex)
+    return out.select("doc_id", r6("sentiment").alias("sentiment"))
+
+
+@query("truncate_tokens", f"""
+SELECT doc_id, array_to_string(({_TOK})[1:128], ' ') AS tokens FROM documents""", "text")
+def q_truncate_tokens(spark, sf):
+    out = TX.truncate_tokens(t(spark, sf, "documents"), "text", 128)
+    return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("tokenize_pad", f"""
+WITH tk AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+cnt AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest(toks) AS tok FROM tk) GROUP BY tok),
+voc AS (SELECT tok, row_number() OVER (ORDER BY cnt DESC, tok) + 1 AS id FROM cnt),
+ex AS (SELECT doc_id, unnest(toks[1:256]) AS tok, unnest(range(1, len(toks[1:256]) + 1)) AS pos FROM tk),
+ids AS (SELECT ex.doc_id, string_agg(CAST(coalesce(voc.id, 1) AS VARCHAR), ' ' ORDER BY ex.pos) AS s,
+               count(*) AS n FROM ex LEFT JOIN voc ON ex.tok = voc.tok GROUP BY ex.doc_id)
+SELECT d.doc_id,
+       CASE WHEN ids.n IS NULL THEN ltrim(repeat(' 0', 256)) ELSE ids.s || repeat(' 0', CAST(256 - ids.n AS INTEGER)) END
+         AS input_ids,
+       CAST(coalesce(ids.n, 0) AS INTEGER) AS n_tokens
+FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id""", "text")
+def q_tokenize_pad(spark, sf):
+    d = t(spark, sf, "documents")
+    vocab = TX.build_vocabulary(d, "text")
+    out = TX.tokenize_pad(d, ["doc_id"], "text", vocab, 256)
+    return out.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+
+
+@query("clean_then_count_notes", f"""
+SELECT source, count(*) AS n_docs,
+       round(avg(len(list_filter(regexp_split_to_array({CLEAN_SQL.replace('__X__', 'text')}, '{_WS}+'),
+                                 lambda w: w <> ''))), 6) AS mean_words
+FROM documents GROUP BY source""", "text")
+def q_clean_then_count_notes(spark, sf):
+    from ...functions.text import count_words
+    d = t(spark, sf, "documents")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                   r6(F.avg(count_words(clean_text("text")))).alias("mean_words"))
+
+
+@query("embed_resume", """SELECT doc_id, 64 AS dim FROM documents""", "text")
+def q_embed_resume(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "embeddings")
+    first = TX.embed_resume(d.where("lang = 'en'"), None, ["doc_id"], "text", path)
+    full = TX.embed_resume(d, first, ["doc_id"], "text", path)
+    return full.select("doc_id", F.size("embedding").alias("dim"))
+
+
+# -- rows-only: model fits and the caller-supplied encoder ----------------------------
+
+@query("batch_embed", None, "text")
+def q_batch_embed(spark, sf):
+    out = TX.batch_embed(t(spark, sf, "documents"), ["doc_id"], "text", dim=64, batch=16)
+    return out.select("doc_id", r6(F.sqrt(F.aggregate("embedding", F.lit(0.0),
+                                                       lambda a, x: a + x * x))).alias("norm"))
+
+
+@query("count_vectorize", None, "text")
+def q_count_vectorize(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    out, _ = TX.count_vectorize(t(spark, sf, "documents"), "text", min_df=10, max_df=0.95)
+    return out.select("doc_id", F.size(F.filter(vector_to_array("counts"), lambda x: x > 0))
+                      .alias("n_terms"))
+
+
+@query("tfidf_ngrams", None, "text")
+def q_tfidf_ngrams(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    out, _ = TX.tfidf_ngrams(t(spark, sf, "documents"), "text", n=2, max_features=20000)
+    return out.select("doc_id", r6(F.sqrt(F.aggregate(vector_to_array("tfidf"), F.lit(0.0),
+                                                       lambda a, x: a + x * x))).alias("norm"))
+
+
+@query("lda_topics", None, "text")
+def q_lda_topics(spark, sf):
+    counts, _ = TX.count_vectorize(t(spark, sf, "documents").select("doc_id", "text"), "text",
+                                   min_df=10, max_df=0.95)
+    out, _ = TX.lda_topics(counts, "counts", k=5, seed=42, max_iter=10)
+    return out.select("doc_id", *[r6(f"topic_{i}").alias(f"topic_{i}") for i in range(1, 6)])
