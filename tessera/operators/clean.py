@@ -105,15 +105,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def fill_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Null -> exact (interpolated) column median; all numeric columns by default."""
+    """Null -> exact (interpolated) column median; all numeric columns by default.
+    Filled columns become double, as a numeric column with gaps does in pandas,
+    so a median between two integers is kept exactly."""
     cols = list(cols) if cols else numeric_columns(df)
     if not cols:
         return df
-    types = dict(df.dtypes)
     filled = {}
     for c in cols:
         med = exact_quantiles(df, c, [0.5], names=["m"]).scalar()  # one value per column
-        filled[c] = F.coalesce(F.col(c), med.cast(types[c]))
+        filled[c] = F.coalesce(F.col(c).cast("double"), med)
     return df.withColumns(filled)
 
 

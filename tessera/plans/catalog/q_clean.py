@@ -130,7 +130,7 @@ def q_fill_constant(spark, sf):
 WITH s AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS bal,
                   CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_nationkey END AS nk FROM customer)
 SELECT c_custkey, round(coalesce(bal, (SELECT quantile_cont(bal, 0.5) FROM s)), 6) AS bal,
-       coalesce(nk, CAST((SELECT quantile_cont(nk, 0.5) FROM s) AS INTEGER)) AS nk
+       round(coalesce(CAST(nk AS DOUBLE), (SELECT quantile_cont(nk, 0.5) FROM s)), 6) AS nk
 FROM s""", "filter")
 def q_fill_median(spark, sf):
     c = t(spark, sf, "customer")
@@ -140,7 +140,7 @@ def q_fill_median(spark, sf):
                  F.when(F.col("c_mktsegment") == "MACHINERY", None).otherwise(F.col("c_nationkey"))
                  .alias("nk"))
     out = CL.fill_median(s, ["bal", "nk"])
-    return out.select("c_custkey", r6("bal").alias("bal"), "nk")
+    return out.select("c_custkey", r6("bal").alias("bal"), r6("nk").alias("nk"))
 
 
 @query("drop_incomplete_rows", """

@@ -98,3 +98,71 @@ def cohort_features_binary(spark, sf):
 
 
 __all__ = ["F"]
+
+
+def _patient_sql() -> str:
+    from ..patient import DRIVER_MEASURES
+    kw = "(?:^|[^\\p{L}\\p{N}_])(?:%s)(?:[^\\p{L}\\p{N}_]|$)"
+    obs = ", ".join(
+        f"avg(value) FILTER (WHERE lower(regexp_replace(event_type, '[^0-9a-zA-Z]+', '_', 'g')) = '{m}') AS {m}"
+        for m in DRIVER_MEASURES)
+    meds = ", ".join(f"(SELECT quantile_cont({c}, 0.5) FROM j) AS med_{c}"
+                     for c in ["age", "healthcare_expenses", *DRIVER_MEASURES])
+    fills = ", ".join(f"round(coalesce(CAST(j.{c} AS DOUBLE), m.med_{c}), 6) AS {c}"
+                      for c in ["age", "healthcare_expenses", *DRIVER_MEASURES])
+    return f"""
+WITH items AS (SELECT o.o_custkey, o.o_orderdate, l.l_shipdate, l.l_partkey, p.p_name, p.p_type
+               FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+               LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+cond AS (SELECT o_custkey AS patient, lower(p_name) AS description,
+                CAST(floor(date_diff('microsecond', o_orderdate, l_shipdate) / 86400000000) AS DOUBLE) AS dd
+         FROM items),
+cond2 AS (SELECT patient, description, coalesce(dd, (SELECT quantile_cont(dd, 0.5) FROM cond)) AS dd FROM cond),
+hits AS (SELECT DISTINCT patient FROM cond
+         WHERE coalesce(regexp_matches(lower(description), '{kw % "ring|bolt"}'), false)),
+cf AS (SELECT patient, count(DISTINCT description) AS num_conditions, avg(dd) AS avg_condition_duration
+       FROM cond2 GROUP BY 1),
+mf AS (SELECT o_custkey AS patient, count(DISTINCT lower(concat_ws(' ', p_type, p_name))) AS num_unique_meds,
+              count_if(coalesce(regexp_matches(lower(concat_ws(' ', p_type, p_name)), '{kw % "widget|gear"}'), false))
+                AS num_pain_meds
+       FROM items GROUP BY 1),
+ef AS (SELECT o_custkey AS patient, count(*) AS num_encounters FROM orders GROUP BY 1),
+pf AS (SELECT o_custkey AS patient, count(l_partkey) AS num_procedures,
+              count(DISTINCT l_partkey) AS unique_procedures FROM items GROUP BY 1),
+obs AS (SELECT user_id AS patient, {obs} FROM events GROUP BY 1),
+fo AS (SELECT o_custkey AS id, min(o_orderdate) AS birthdate FROM orders GROUP BY 1),
+base AS (SELECT c.c_custkey AS id, c.c_mktsegment AS race, n.n_name AS ethnicity,
+                CAST(c.c_acctbal AS DOUBLE) AS healthcare_expenses,
+                CAST(floor(floor(date_diff('microsecond', fo.birthdate, TIMESTAMP '2025-01-01 00:00:00')
+                                 / 86400000000) / 365) AS BIGINT) AS age,
+                CAST(coalesce(c.c_mktsegment = 'HOUSEHOLD', false) AS INTEGER) AS is_female
+         FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN fo ON c.c_custkey = fo.id),
+j AS (SELECT b.*, CAST(CASE WHEN h.patient IS NULL THEN 0 ELSE 1 END AS INTEGER) AS binary_label,
+             coalesce(cf.num_conditions, 0) AS num_conditions,
+             coalesce(cf.avg_condition_duration, 0.0) AS avg_condition_duration,
+             coalesce(mf.num_unique_meds, 0) AS num_unique_meds, coalesce(mf.num_pain_meds, 0) AS num_pain_meds,
+             coalesce(ef.num_encounters, 0) AS num_encounters, coalesce(pf.num_procedures, 0) AS num_procedures,
+             coalesce(pf.unique_procedures, 0) AS unique_procedures, {", ".join(f"obs.{m}" for m in DRIVER_MEASURES)}
+      FROM base b LEFT JOIN hits h ON b.id = h.patient LEFT JOIN cf ON b.id = cf.patient
+      LEFT JOIN mf ON b.id = mf.patient LEFT JOIN ef ON b.id = ef.patient LEFT JOIN pf ON b.id = pf.patient
+      LEFT JOIN obs ON b.id = obs.patient),
+rc AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT coalesce(race, 'nan') AS v FROM j)),
+ec AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT coalesce(ethnicity, 'nan') AS v FROM j)),
+m AS (SELECT {meds})
+SELECT j.id, rc.code AS race, ec.code AS ethnicity, j.is_female, j.binary_label, j.num_conditions,
+       round(j.avg_condition_duration, 6) AS avg_condition_duration, j.num_unique_meds, j.num_pain_meds,
+       j.num_encounters, j.num_procedures, j.unique_procedures, {fills}
+FROM j JOIN rc ON coalesce(j.race, 'nan') = rc.v JOIN ec ON coalesce(j.ethnicity, 'nan') = ec.v, m"""
+
+
+@query("patient_features", _patient_sql(), "pipeline")
+def patient_features(spark, sf):
+    from ...functions._util import r6
+    from ..patient import DRIVER_MEASURES, driver_patient_features
+    out = driver_patient_features(t(spark, sf, "customer"), t(spark, sf, "nation"),
+                                  t(spark, sf, "orders"), t(spark, sf, "lineitem"),
+                                  t(spark, sf, "part"), t(spark, sf, "events"))
+    dbl = ["age", "healthcare_expenses", "avg_condition_duration", *DRIVER_MEASURES]
+    return out.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in out.columns])
