@@ -1,3 +1,252 @@
-"""Catalogue entries."""
+"""ML preparation, models and stacking (2.9) on driver tables.
+
+Model fits are rows-only checks (iterative optimisers have no SQL oracle);
+scaling, weights, oversampling counts and the stacking matrix have oracles.
+The classification data set is ``embeddings`` with three classes derived
+from its label, split 80/20 by the seeded hash split.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...functions._util import r6
+from ...operators import models as M
+from ...operators import prep as P
+from ...operators.seq import pad_sequence_mask, stratified_split
+from . import query
+from ._common import t
+
+_FEATS = [f"e{i}" for i in range(8)]
+
+
+def _emb(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return e.select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("y"),
+                    *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(8)])
+
+
+def _split(spark, sf):
+    d = _emb(spark, sf)
+    s = stratified_split(d, "vec_id", "y", 0.2, 42).select("vec_id", "is_val")
+    d = d.join(s, "vec_id")
+    return d.where(~F.col("is_val")), d
+
+
+def _fit_query(fit, name, **kw):
+    def run(spark, sf):
+        train, full = _split(spark, sf)
+        model = fit(train, _FEATS, "y", None, **kw)
+        p = M.predict(model, full, _FEATS, "vec_id", "y", name)
+        return p.select("id", "pred", r6(F.array_max("probs")).alias("p_max"))
+    return run
+
+
+@query("assemble_features", """
+SELECT vec_id, 8 AS n_features,
+       round(""" + " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(8)) + """, 6) AS total
+FROM embeddings""", "ml")
+def q_assemble_features(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    d = P.assemble_features(_emb(spark, sf), _FEATS)
+    a = vector_to_array("features")
+    return d.select("vec_id", F.size(a).alias("n_features"),
+                    r6(F.aggregate(a, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("standardize", """
+WITH tr AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'),
+st AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa,
+              avg(CAST(c_nationkey AS DOUBLE)) AS mn, stddev_pop(CAST(c_nationkey AS DOUBLE)) AS sn FROM tr)
+SELECT c_custkey, round((c_acctbal - ma) / CASE WHEN sa IS NULL OR sa = 0 THEN 1.0 ELSE sa END, 6) AS c_acctbal_z,
+       round((c_nationkey - mn) / CASE WHEN sn IS NULL OR sn = 0 THEN 1.0 ELSE sn END, 6) AS c_nationkey_z
+FROM customer, st""", "ml")
+def q_standardize(spark, sf):
+    c = t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    train = c.where("c_mktsegment <> 'BUILDING'")
+    _, (full,) = P.standardize(train, [c], ["c_acctbal", "c_nationkey"], suffix="_z")
+    return full.select("c_custkey", r6("c_acctbal_z").alias("c_acctbal_z"),
+                       r6("c_nationkey_z").alias("c_nationkey_z"))
+
+
+@query("standardize_sequence", None, "ml")
+def q_standardize_sequence(spark, sf):
+    e = t(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("double"))
+    seqs = pad_sequence_mask(e, "user_id", "ts", ["value", "k"], "event_type", 10, "event_id")
+    train = seqs.where(F.pmod("user_id", F.lit(5)) != 0)
+    _, (full,) = P.standardize_sequence(train, [seqs], "seq")
+    return full.select("user_id", r6(F.aggregate(F.flatten("seq"), F.lit(0.0),
+                                                 lambda s, x: s + x)).alias("seq_total"))
+
+
+@query("class_weights", """
+WITH c AS (SELECT quality, count(*) AS nc FROM labels GROUP BY 1),
+s AS (SELECT sum(nc) AS n, count(*) AS k FROM c)
+SELECT l.doc_id, l.quality, round(s.n / (s.k * c.nc), 6) AS weight
+FROM labels l JOIN c ON l.quality = c.quality, s""", "ml")
+def q_class_weights(spark, sf):
+    lb = t(spark, sf, "labels").select("doc_id", "quality")
+    return P.class_weights(lb, "quality", "balanced").select("doc_id", "quality",
+                                                              r6("weight").alias("weight"))
+
+
+@query("oversample_random", """
+WITH c AS (SELECT label % 3 AS y, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT CAST(y AS INTEGER) AS y, (SELECT max(n) FROM c) AS n FROM c""", "ml")
+def q_oversample_random(spark, sf):
+    d = _emb(spark, sf)
+    out = P.oversample_random(d, "vec_id", "y", seed=42)
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pca_2", None, "ml")
+def q_pca_2(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    e = t(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    out = P.pca_2(e, "v")
+    return out.select("vec_id", r6("pca_1").alias("pca_1"), r6("pca_2").alias("pca_2"))
+
+
+@query("kmeans_5", None, "ml")
+def q_kmeans_5(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    e = t(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    out, _ = P.kmeans_5(e, "v", 5, 42, "note_cluster")
+    return out.select("vec_id", "note_cluster")
+
+
+for _name, _fit, _kw in [
+    ("fit_logreg", M.fit_logreg, {}),
+    ("fit_random_forest", M.fit_random_forest, {"num_trees": 200}),
+    ("fit_boosted_trees", M.fit_boosted_trees, {"max_iter": 10}),
+    ("fit_mlp", M.fit_mlp, {"hidden": (128, 64), "max_iter": 50}),
+    ("fit_svm", M.fit_svm, {}),
+    ("fit_naive_bayes", M.fit_naive_bayes, {}),
+]:
+    query(_name, None, "ml")(_fit_query(_fit, _name, **_kw))
+
+
+@query("fit_logreg_tabular", None, "ml")
+def q_fit_logreg_tabular(spark, sf):
+    train, full = _split(spark, sf)
+    train = train.withColumn("y", (F.col("y") == 0).cast("int"))
+    full = full.withColumn("y", (F.col("y") == 0).cast("int"))
+    m = M.fit_logreg_tabular(train, _FEATS, "y")
+    p = M.predict(m, full, _FEATS, "vec_id", "y", "tabular_logreg")
+    return p.select("id", "pred", r6(F.element_at("probs", 2)).alias("p_pos"))
+
+
+def _sequences(spark, sf):
+    e = t(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("double"))
+    seqs = pad_sequence_mask(e, "user_id", "ts", ["value", "k"], "event_type", 10, "event_id")
+    return seqs.withColumn("y", (F.col("event_type") == "purchase").cast("int"))
+
+
+@query("fit_sequence_baseline", None, "ml")
+def q_fit_sequence_baseline(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    s = _sequences(spark, sf)
+    m = M.fit_sequence_baseline(s, "seq", "y")
+    out = m.transform(s.withColumn("features", array_to_vector(F.flatten("seq"))))
+    return out.select("user_id", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("fit_fused_baseline", None, "ml")
+def q_fit_fused_baseline(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    from ...functions.arrays import masked_mean_pool
+    s = _sequences(spark, sf)
+    m = M.fit_fused_baseline(s, "seq", "seq", "mask", "y")
+    feats = array_to_vector(F.concat(F.flatten("seq"), masked_mean_pool("seq", "mask")))
+    return m.transform(s.withColumn("features", feats)).select(
+        "user_id", F.col("prediction").cast("int").alias("pred"))
+
+
+def _probe_preds(spark, sf):
+    e = t(spark, sf, "embeddings")
+    f = lambda a, b: F.transform(F.slice("embedding", a, b), lambda x: x.cast("double"))
+    m1 = e.select(F.lit("m1").alias("model"), F.col("vec_id").alias("id"), f(1, 3).alias("probs"))
+    m2 = e.where("label <> 9").select(F.lit("m2").alias("model"), F.col("vec_id").alias("id"),
+                                      f(4, 3).alias("probs"))
+    return m1.unionByName(m2)
+
+
+@query("stack_matrix", """
+SELECT a.vec_id AS id,
+""" + ",\n".join(f"CAST(a.embedding[{i + 1}] AS DOUBLE) AS m1_class_{i}" for i in range(3)) + ",\n"
+       + ",\n".join(f"CAST(a.embedding[{i + 4}] AS DOUBLE) AS m2_class_{i}" for i in range(3)) + """
+FROM embeddings a WHERE a.label <> 9""", "ml")
+def q_stack_matrix(spark, sf):
+    return M.stack_matrix(_probe_preds(spark, sf), "id", ["m1", "m2"], 3)
+
+
+@query("stack_cv", None, "ml")
+def q_stack_cv(spark, sf):
+    train, _ = _split(spark, sf)
+    meta, mat = M.stack_cv(train, "vec_id", "y", _FEATS,
+                           {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes}, k=3)
+    feats = [c for c in mat.columns if c not in ("id", "y")]
+    p = M.predict(meta, mat, feats, "id", "y", "stacker")
+    return p.select("id", "pred")
+
+
+@query("select_meta_learner", None, "ml")
+def q_select_meta_learner(spark, sf):
+    train, _ = _split(spark, sf)
+    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
+                                   {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
+                                   [0, 1, 2], k=5)
+    return scores.select("model", "fold", r6("macro_f1").alias("macro_f1"))
+
+
+@query("model_card", None, "ml")
+def q_model_card(spark, sf):
+    train, _ = _split(spark, sf)
+    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
+                                   {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
+                                   [0, 1, 2], k=3)
+    return M.model_card(scores)
+
+
+@query("calibrate_platt", None, "ml")
+def q_calibrate_platt(spark, sf):
+    train, _ = _split(spark, sf)
+    oof = M.out_of_fold(train, "vec_id", "y", _FEATS, M.fit_logreg, "logreg", k=3)
+    cal = M.calibrate_platt(oof, 3)
+    return cal.select("id", r6(F.aggregate("calibrated", F.lit(0.0), lambda s, x: s + x))
+                      .alias("prob_sum"))
+
+
+@query("coef_table", None, "ml")
+def q_coef_table(spark, sf):
+    train, _ = _split(spark, sf)
+    m = M.fit_logreg(train, _FEATS, "y")
+    return M.coef_table(m, _FEATS, spark).select("class", "feature",
+                                                  r6("coefficient").alias("coefficient"))
+
+
+@query("run_params_metrics", None, "ml")
+def q_run_params_metrics(spark, sf):
+    from ...operators.evaluate import metric_accuracy
+    train, full = _split(spark, sf)
+    m = M.fit_logreg(train, _FEATS, "y", reg=0.01)
+    acc = metric_accuracy(M.predict(m, full, _FEATS, "vec_id", "y", "logreg"), "y_true", "pred")
+    return M.run_params_metrics(spark, 1, {"model": "logreg", "reg": 0.01, "seed": 42},
+                                {"accuracy": acc.first()[0]})
+
+
+@query("multi_seed_runs", None, "ml")
+def q_multi_seed_runs(spark, sf):
+    from ...operators.evaluate import metric_accuracy
+
+    def step(seed: int):
+        d = _emb(spark, sf)
+        s = stratified_split(d, "vec_id", "y", 0.2, seed).select("vec_id", "is_val")
+        d = d.join(s, "vec_id")
+        m = M.fit_logreg(d.where(~F.col("is_val")), _FEATS, "y")
+        p = M.predict(m, d.where("is_val"), _FEATS, "vec_id", "y", "logreg")
+        return metric_accuracy(p, "y_true", "pred").select(r6("accuracy").alias("accuracy"),
+                                                           F.lit(seed).alias("seed"))
+    return M.multi_seed_runs(step, [42 + i for i in range(1, 4)])
