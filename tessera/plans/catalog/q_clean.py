@@ -194,3 +194,24 @@ def q_check_foreign_keys(spark, sf):
     li, o = t(spark, sf, "lineitem"), t(spark, sf, "orders").where("o_orderstatus <> 'F'")
     return CL.check_foreign_keys(li, o, "l_orderkey", "o_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("select_columns", """
+SELECT o_orderkey, o_totalprice FROM orders""", "filter")
+def q_select_columns(spark, sf):
+    return CL.select_columns(t(spark, sf, "orders"), ["o_orderkey", "o_totalprice"])
+
+
+@query("detect_column", """
+SELECT o_orderkey, o_totalprice AS value FROM orders""", "contract")
+def q_detect_column(spark, sf):
+    o = t(spark, sf, "orders")
+    c = CL.detect_column(o, ["o_total", "o_totalprice", "o_price"])
+    return o.select("o_orderkey", F.col(c).alias("value"))
+
+
+@query("check_required_columns", """
+SELECT doc_id, n_chars FROM documents""", "contract")
+def q_check_required_columns(spark, sf):
+    d = CL.check_required_columns(t(spark, sf, "documents"), ["doc_id", "text", "n_chars"])
+    return d.select("doc_id", "n_chars")
