@@ -74,9 +74,16 @@ SYNTHEA_FOREIGN_KEYS = {
 }
 
 
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "double": T.DoubleType()}
+
+
 def table_schemas() -> dict[str, T.StructType]:
     """The Synthea schemas as ``StructType`` constants, keyed by table."""
-    return {name: T._parse_datatype_string(ddl) for name, ddl in SYNTHEA_DDL.items()}
+    out = {}
+    for name, ddl in SYNTHEA_DDL.items():
+        pairs = [f.split() for f in ddl.split(",")]
+        out[name] = T.StructType([T.StructField(c, _TYPES[ty]) for c, ty in pairs])
+    return out
 
 
 def _lower_header(df: DataFrame) -> DataFrame:
