@@ -107,15 +107,21 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def fill_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null -> exact (interpolated) column median; all numeric columns by default.
     Filled columns become double, as a numeric column with gaps does in pandas,
-    so a median between two integers is kept exactly."""
+    so a median between two integers is kept exactly.
+
+    All medians come from one job: the columns are unpivoted to
+    ``(column, value)`` rows and the exact quantile is grouped by column name
+    (a group count bounded by the schema, so its statistics are broadcast).
+    """
     cols = list(cols) if cols else numeric_columns(df)
     if not cols:
         return df
-    filled = {}
-    for c in cols:
-        med = exact_quantiles(df, c, [0.5], names=["m"]).scalar()  # one value per column
-        filled[c] = F.coalesce(F.col(c).cast("double"), med)
-    return df.withColumns(filled)
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"))
+                             for c in cols])).alias("_kv")
+    long = df.select(kv).select("_kv.*")
+    meds = exact_quantiles(long, "_v", [0.5], by=["_col"], names=["m"], few_groups=True)
+    medmap = meds.agg(F.map_from_entries(F.collect_list(F.struct("_col", "m")))).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), medmap[F.lit(c)]) for c in cols})
 
 
 def drop_incomplete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -39,11 +39,14 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
     """
     keys = list(keys)
     terms = list(terms)
-    tok = tokens(text)
     def is_term(w):
         return lambda x: x == F.lit(w)
-    counts = df.select(*keys, *[F.size(F.filter(tok, is_term(w))).cast("double").alias(f"_c{i}")
-                                for i, w in enumerate(terms)])
+    # Tokenise once and keep only vocabulary words: Spark does not share the
+    # tokenizer call between the per-term counts, so each count would re-run
+    # the regex over the whole text.
+    in_vocab = df.select(*keys, F.filter(tokens(text), lambda x: x.isin(terms)).alias("_vt"))
+    counts = in_vocab.select(*keys, *[F.size(F.filter("_vt", is_term(w))).cast("double")
+                                      .alias(f"_c{i}") for i, w in enumerate(terms)])
     stats = counts.agg(F.count(F.lit(1)).alias("n"),
                        *[F.count_if(F.col(f"_c{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     st = stats.select(F.struct(*stats.columns)).scalar()
@@ -56,19 +59,38 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
         for i, t in enumerate(terms)])
 
 
+# Lexicons up to this many words are looked up as an in-task map (size checked
+# with a count first); larger ones are joined.
+LEXICON_MAP_MAX = 200_000
+
+
 def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
                       word: str = "word", polarity: str = "polarity",
-                      out: str = "sentiment") -> DataFrame:
+                      out: str = "sentiment", map_max: int = LEXICON_MAP_MAX) -> DataFrame:
     """Mean polarity of the lexicon words found in the text (0 when none).
 
-    The lexicon is an input table; tokens are exploded and equi-joined to it
-    (AQE broadcasts a small lexicon after measuring it), then averaged per
-    document.
+    The lexicon is an input table (one polarity per word; repeated words are
+    averaged).  When its size is within ``map_max`` it becomes one map value
+    (a scalar subquery, evaluated once) and every document is scored inside
+    its own row -- no explode, join or shuffle.  A larger lexicon is joined to
+    the exploded tokens instead.
     """
     keys = list(keys)
+    lex = (lexicon.select(F.lower(F.col(word)).alias(word), F.col(polarity).cast("double")
+                          .alias("_pol"))
+           .groupBy(word).agg(F.avg("_pol").alias("_pol")))
+    if lex.count() <= map_max:
+        lexmap = lex.agg(F.map_from_entries(F.collect_list(F.struct(word, "_pol")))).scalar()
+        # the map is projected as a column first: subqueries may not sit inside
+        # a higher-order function
+        with_map = df.select(*keys, tokens(text).alias("_t"), lexmap.alias("_m"))
+        pols = F.filter(F.transform("_t", lambda x: F.try_element_at(F.col("_m"), x)),
+                        lambda p: p.isNotNull())
+        scored = with_map.select(*keys, pols.alias("_p"))
+        mean = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p) / F.size("_p")
+        return scored.select(*keys, F.when(F.size("_p") > 0, mean).otherwise(F.lit(0.0))
+                             .alias(out))
     toks = df.select(*keys, F.explode(tokens(text)).alias(word))
-    lex = lexicon.select(F.lower(F.col(word)).alias(word), F.col(polarity).cast("double")
-                         .alias("_pol"))
     scored = toks.join(lex, word, "inner").groupBy(*keys).agg(F.avg("_pol").alias(out))
     return df.select(*keys).join(scored, keys, "left").fillna(0.0, [out])
 

@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..operators.aggs import pivot_mean
 from ..operators.clean import fill_median
 from ..operators.encode import encode_labels_all
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 
 # Observation measures kept as columns (cleaned names).
@@ -80,6 +81,10 @@ def patient_features(patients: DataFrame, conditions: DataFrame, medications: Da
              "num_unique_meds": 0, "num_pain_meds": 0, "num_encounters": 0,
              "num_procedures": 0, "unique_procedures": 0}
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in zeros.items()})
+    # One row per patient from here on: far smaller than the event inputs and
+    # read by several passes (codes per text column, exact medians), so the
+    # joins run once and the result is kept in the checkpoint folder.
+    out = cut_lineage(out)
     out = encode_labels_all(out, exclude=["id"])
     return fill_median(out, ["age", "healthcare_expenses", *s.measures])
 

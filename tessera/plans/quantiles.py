@@ -30,8 +30,15 @@ DEFAULT_ACCURACY = 100_000
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per ``by`` group with one double column per probability."""
+                    accuracy: int = DEFAULT_ACCURACY, few_groups: bool = False) -> DataFrame:
+    """One row per ``by`` group with one double column per probability.
+
+    ``few_groups=True`` declares that the number of ``by`` groups is bounded by
+    something other than the data (e.g. one group per column name); the
+    per-group statistics are then broadcast to the rows instead of joined by a
+    shuffle, so a group holding most of the rows never lands in one task.
+    """
+    bc = F.broadcast if (by and few_groups) else (lambda d: d)
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
@@ -52,7 +59,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     j = list(range(len(probs)))
     stat_cols = ["_n", "_min", "_max", "_lo", "_hi"]
     if by:
-        joined = base.join(stats, by, "inner")
+        joined = base.join(bc(stats), by, "inner")
     else:  # one global row, attached as a scalar subquery (no join at all)
         one = stats.select(F.struct(*stat_cols).alias("_s")).scalar()
         joined = base.withColumn("_s", one).select("_x", *[F.col(f"_s.{c}").alias(c) for c in stat_cols])
@@ -81,7 +88,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 
     # pass 3: keep only rows inside a bracket (one bracket array per group)
     if by:
-        tagged = base.join(brackets, by, "inner")
+        tagged = base.join(bc(brackets), by, "inner")
     else:
         tagged = base.withColumn("_br", brackets.select("_br").scalar())
     inside = (tagged.select(*by, "_x", F.explode(F.filter(
