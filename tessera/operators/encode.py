@@ -54,16 +54,29 @@ def label_membership(df: DataFrame, id_col: str, hits: DataFrame, hit_id: str,
     return df.join(h, id_col, "left").withColumn(out, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
+# Category domains up to this many distinct values are ranked in one small
+# aggregate and broadcast to the rows (size checked by an exact count first);
+# larger domains are ranked with the skew-proof ordered scan.
+CATEGORY_BROADCAST_MAX = 1_000_000
+
+
 def category_codes(df: DataFrame, col: str, null_token: str | None = None,
-                   code: str = "code") -> DataFrame:
+                   code: str = "code", broadcast_max: int = CATEGORY_BROADCAST_MAX) -> DataFrame:
     """Distinct values of ``col`` with their 0-based sorted position.
 
-    The distinct values are ranked with the skew-proof ordered scan, so even
-    a high-cardinality column never sorts in one task.
+    A domain within ``broadcast_max`` values is sorted as one array (its size
+    is checked first) and returned marked for broadcast; a larger one is
+    ranked with the ordered scan, so even a high-cardinality column never
+    sorts in one task.
     """
     v = F.col(col) if null_token is None else F.coalesce(F.col(col).cast("string"),
                                                          F.lit(null_token))
     distinct = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    if distinct.count() <= broadcast_max:
+        ranked = distinct.agg(F.array_sort(F.collect_list("_v")).alias("_a")).select(
+            F.posexplode("_a").alias("_p", "_v"))
+        return F.broadcast(ranked.select(F.col("_v").alias(col), F.col("_p").cast("int")
+                                         .alias(code)))
     ranked = ordered_scan(distinct, ["_v"])
     return ranked.select(F.col("_v").alias(col), (F.col("_rn") - 1).cast("int").alias(code))
 

@@ -59,27 +59,34 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
         for i, t in enumerate(terms)])
 
 
-# Lexicons up to this many words are looked up as an in-task map (size checked
-# with a count first); larger ones are joined.
-LEXICON_MAP_MAX = 200_000
+# Spark looks a key up in a map value by scanning its keys, so only a tiny
+# lexicon is used as an in-row map; up to LEXICON_BROADCAST_MAX words it is
+# broadcast to a hash join; beyond that the join is left to the planner.
+# Both bounds are checked with a count of the lexicon first.
+LEXICON_MAP_MAX = 64
+LEXICON_BROADCAST_MAX = 2_000_000
 
 
 def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
                       word: str = "word", polarity: str = "polarity",
-                      out: str = "sentiment", map_max: int = LEXICON_MAP_MAX) -> DataFrame:
+                      out: str = "sentiment", map_max: int = LEXICON_MAP_MAX,
+                      broadcast_max: int = LEXICON_BROADCAST_MAX) -> DataFrame:
     """Mean polarity of the lexicon words found in the text (0 when none).
 
     The lexicon is an input table (one polarity per word; repeated words are
     averaged).  When its size is within ``map_max`` it becomes one map value
     (a scalar subquery, evaluated once) and every document is scored inside
     its own row -- no explode, join or shuffle.  A larger lexicon is joined to
-    the exploded tokens instead.
+    the exploded tokens (broadcast while within ``broadcast_max``); the
+    per-document average is then combined map-side, since all tokens of a
+    document come from the same input row.
     """
     keys = list(keys)
     lex = (lexicon.select(F.lower(F.col(word)).alias(word), F.col(polarity).cast("double")
                           .alias("_pol"))
            .groupBy(word).agg(F.avg("_pol").alias("_pol")))
-    if lex.count() <= map_max:
+    n_lex = lex.count()
+    if n_lex <= map_max:
         lexmap = lex.agg(F.map_from_entries(F.collect_list(F.struct(word, "_pol")))).scalar()
         # the map is projected as a column first: subqueries may not sit inside
         # a higher-order function
@@ -91,7 +98,8 @@ def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: Da
         return scored.select(*keys, F.when(F.size("_p") > 0, mean).otherwise(F.lit(0.0))
                              .alias(out))
     toks = df.select(*keys, F.explode(tokens(text)).alias(word))
-    scored = toks.join(lex, word, "inner").groupBy(*keys).agg(F.avg("_pol").alias(out))
+    side = F.broadcast(lex) if n_lex <= broadcast_max else lex
+    scored = toks.join(side, word, "inner").groupBy(*keys).agg(F.avg("_pol").alias(out))
     return df.select(*keys).join(scored, keys, "left").fillna(0.0, [out])
 
 
