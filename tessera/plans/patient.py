@@ -20,7 +20,7 @@ from ..operators.aggs import pivot_mean
 from ..operators.clean import fill_median
 from ..operators.encode import encode_labels_all
 from ..session import cut_lineage
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_discrete
 
 # Observation measures kept as columns (cleaned names).
 OBSERVATION_MEASURES = [
@@ -54,7 +54,8 @@ def patient_features(patients: DataFrame, conditions: DataFrame, medications: Da
     hits = cond.where(X.match_keywords("description", s.pain_keywords)).select(
         F.col("patient").alias("id")).distinct().withColumn("binary_label", F.lit(1))
     dur = cond.withColumn("duration_days", D.duration_days("start", "stop"))
-    med = exact_quantiles(dur, "duration_days", [0.5], names=["m"]).scalar()
+    # whole days repeat a lot: the exact median comes from a value histogram
+    med = exact_quantiles_discrete(dur, "duration_days", [0.5], names=["m"]).scalar()
     dur = dur.withColumn("duration_days", F.coalesce(F.col("duration_days").cast("double"), med))
     cond_f = dur.groupBy(F.col("patient").alias("id")).agg(
         F.count_distinct("description").alias("num_conditions"),

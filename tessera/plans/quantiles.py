@@ -114,3 +114,48 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 def exact_median(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median",
                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     return exact_quantiles(df, col, [0.5], by, [name], accuracy)
+
+
+def exact_quantiles_discrete(df: DataFrame, col: str, probs: Sequence[float],
+                             by: Sequence[str] = (),
+                             names: Sequence[str] | None = None) -> DataFrame:
+    """Exact interpolated quantiles for a column with repeated values (whole
+    days, counts, codes), from a value histogram.
+
+    The input is read once: ``(by, value) -> count`` is aggregated map-side
+    (a hot value or group is combined before the shuffle) and kept in the
+    checkpoint folder.  Running counts over the sorted distinct values come
+    from the ordered scan, so no group is sorted in one task, and each order
+    statistic is the smallest value whose running count passes its rank.
+    Same results as :func:`exact_quantiles`, which suits continuous columns.
+    """
+    from ..session import cut_lineage
+    from .ordered import ordered_scan
+
+    by = list(by)
+    probs = [float(p) for p in probs]
+    names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
+    x = F.col(col).cast("double")
+    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    hist = cut_lineage(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    scanned = ordered_scan(hist, ["_x"], by=by, sums=["_w"])
+    totals = hist.groupBy(*by).agg(F.sum("_w").alias("_n"))
+    if by:
+        joined = scanned.join(totals, by, "inner")
+    else:
+        joined = scanned.withColumn("_n", totals.select("_n").scalar())
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        r0 = F.floor(h)
+        r1 = F.least(r0 + 1, F.col("_n") - 1)
+        aggs += [F.min(F.when(F.col("_cum__w") > r0, F.col("_x"))).alias(f"_v0_{i}"),
+                 F.min(F.when(F.col("_cum__w") > r1, F.col("_x"))).alias(f"_v1_{i}"),
+                 F.first(h - r0).alias(f"_f_{i}")]
+    picked = joined.groupBy(*by).agg(*aggs)
+    vals = [(F.col(f"_v0_{i}") + F.col(f"_f_{i}") * (F.col(f"_v1_{i}") - F.col(f"_v0_{i}")))
+            .alias(names[i]) for i in range(len(probs))]
+    if by:
+        return picked.select(*by, *vals)
+    # a global aggregate always yields one row (null quantiles for empty input)
+    return picked.select(*vals)

@@ -115,3 +115,19 @@ def test_metric_per_class_zero_division(spark):
     got = {r["class"]: r for r in EV.metric_per_class(df, "y", "p", [0, 1, 2]).collect()}
     assert got[2]["precision"] == 0.0 and got[2]["recall"] == 0.0 and got[2]["f1"] == 0.0
     assert got[0]["precision"] == 1.0 and got[0]["recall"] == 0.5
+
+
+def test_discrete_quantiles_match_numpy(spark):
+    from tessera.plans.quantiles import exact_quantiles_discrete
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "x": rng.integers(0, 40, 3000)})
+    pdf.loc[pdf.index % 11 == 0, "x"] = None
+    df = spark.createDataFrame(pdf.astype({"x": "float"}))
+    got = exact_quantiles_discrete(df, "x", [0.1, 0.5, 0.75], by=["g"]).toPandas()
+    for _, r in got.iterrows():
+        xs = pdf.loc[pdf.g == r["g"], "x"].dropna().to_numpy()
+        for p, c in ((0.1, "q10"), (0.5, "q50"), (0.75, "q75")):
+            assert r[c] == pytest.approx(np.quantile(xs, p))
+    one = exact_quantiles_discrete(df, "x", [0.5], names=["m"]).collect()[0]["m"]
+    assert one == pytest.approx(np.quantile(pdf["x"].dropna().to_numpy(), 0.5))
