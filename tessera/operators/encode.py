@@ -17,16 +17,24 @@ def prefix_table(spark, codes: Mapping[str, Sequence[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "category string, prefix string")
 
 
+# Prefix catalogues up to this many rows are broadcast (checked with a count).
+PREFIX_BROADCAST_MAX = 2_000_000
+
+
 def code_category_flags(df: DataFrame, keys: Sequence[str], code: str,
                         prefixes: DataFrame, categories: Sequence[str] | None = None,
-                        max_prefix_len: int | None = None) -> DataFrame:
+                        max_prefix_len: int | None = None,
+                        broadcast_max: int = PREFIX_BROADCAST_MAX) -> DataFrame:
     """One boolean column per category: any code of the entity starts with
     one of the category's prefixes.
 
     Every code is expanded into its own prefixes (``1``, ``12``, ``123`` ...
     up to the longest listed prefix) and equi-joined to the prefix table, so
     the match is a hash join rather than a nested-loop ``startswith`` join,
-    whatever the size of the prefix table.
+    whatever the size of the prefix table (broadcast while within
+    ``broadcast_max`` rows).  One ``groupBy`` then ORs the matches per entity:
+    a single shuffle, combined map-side, and entities without any code or
+    match still get their all-false row.
     """
     keys = list(keys)
     if categories is None:
@@ -35,16 +43,17 @@ def code_category_flags(df: DataFrame, keys: Sequence[str], code: str,
     if max_prefix_len is None:
         max_prefix_len = prefixes.agg(F.max(F.length("prefix"))).collect()[0][0] or 1
     norm = normalize_code(code)
-    expanded = df.select(*keys, norm.alias("_c")).where(F.length("_c") > 0).select(
-        *keys, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_c"),
-                                                                   F.lit(max_prefix_len))),
-                                     lambda i: F.substring("_c", 1, i))).alias("prefix"))
-    hits = expanded.join(prefixes, "prefix", "inner").select(*keys, "category").distinct()
-    flags = hits.groupBy(*keys).pivot("category", list(categories)).agg(F.lit(True))
-    base = df.select(*keys).distinct()
-    out = base.join(flags, keys, "left")
-    return out.select(*keys, *[F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(c)
-                               for c in categories])
+    n_chars = F.least(F.length("_c"), F.lit(max_prefix_len))
+    own_prefixes = F.when(F.length("_c") > 0, F.transform(F.sequence(F.lit(1), n_chars),
+                                                           lambda i: F.substring("_c", 1, i)))
+    expanded = df.select(*keys, norm.alias("_c")).select(
+        *keys, F.explode_outer(own_prefixes).alias("prefix"))
+    cat = prefixes.select("prefix", "category")
+    side = F.broadcast(cat) if cat.count() <= broadcast_max else cat
+    hits = expanded.join(side, "prefix", "left")
+    return hits.groupBy(*keys).agg(*[
+        F.coalesce(F.bool_or(F.col("category") == F.lit(c)), F.lit(False)).alias(c)
+        for c in categories])
 
 
 def label_membership(df: DataFrame, id_col: str, hits: DataFrame, hit_id: str,
