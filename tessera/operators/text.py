@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 from ..plans.ordered import ordered_scan
 
 # ---------------------------------------------------------------------------
@@ -45,8 +46,12 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
     # tokenizer call between the per-term counts, so each count would re-run
     # the regex over the whole text.
     in_vocab = df.select(*keys, F.filter(tokens(text), lambda x: x.isin(terms)).alias("_vt"))
-    counts = in_vocab.select(*keys, *[F.size(F.filter("_vt", is_term(w))).cast("double")
-                                      .alias(f"_c{i}") for i, w in enumerate(terms)])
+    # The per-document term counts (a few numbers per row) are read twice --
+    # document frequencies, then weights -- so they are kept in the checkpoint
+    # folder and the text itself is scanned and tokenised only once.
+    counts = cut_lineage(in_vocab.select(*keys, *[F.size(F.filter("_vt", is_term(w)))
+                                                  .cast("double").alias(f"_c{i}")
+                                                  for i, w in enumerate(terms)]))
     stats = counts.agg(F.count(F.lit(1)).alias("n"),
                        *[F.count_if(F.col(f"_c{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     st = stats.select(F.struct(*stats.columns)).scalar()
