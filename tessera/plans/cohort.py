@@ -21,7 +21,7 @@ from ..functions import codes as C
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators.clean import filter_drop_sentinel
-from ..operators.seq import event_sequence
+from ..operators.aggs import ordered_list
 
 
 @dataclass
@@ -90,14 +90,16 @@ def cohort_features(diagnoses: DataFrame, admissions: DataFrame, transfers: Data
 
     # transfers -> ICU flag, count, ordered unit sequence as JSON text
     tr = transfers.select(*K, F.upper(F.col(s.unit)).alias("unit"), F.col(s.intime).alias("intime"))
+    # flag, count and the time-ordered unit list in one aggregation (one shuffle)
+    unit_item = F.struct(F.col("unit").alias("value"), F.col("intime").alias("ts"))
     tr_agg = tr.groupBy(*K).agg(
         F.bool_or(X.flag_contains("unit", s.icu_pattern)).alias("was_in_icu"),
-        F.count(F.lit(1)).alias("transfer_count"))
-    seq = event_sequence(tr, K, "intime", "unit", tiebreak="unit", out="_seq").select(
-        *K, A.sequence_to_json(F.col("_seq")).alias("curr_careunit_sequence"))
+        F.count(F.lit(1)).alias("transfer_count"),
+        ordered_list(unit_item, [F.col("intime"), F.col("unit")]).alias("_seq"))
+    tr_agg = tr_agg.withColumn("curr_careunit_sequence", A.sequence_to_json(F.col("_seq"))) \
+        .drop("_seq")
 
-    out = (diag.join(adm, K, "left").join(rx, K, "left").join(tr_agg, K, "left")
-           .join(seq, K, "left"))
+    out = (diag.join(adm, K, "left").join(rx, K, "left").join(tr_agg, K, "left"))
     if patients is not None:
         out = out.join(patients.select(s.subject, *patient_cols), s.subject, "left")
     out = out.withColumns({
