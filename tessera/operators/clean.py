@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOTE_TEMPLATE_PHRASES, drop_templates
 from ..plans.quantiles import exact_quantiles
+from ..session import broadcast_if_small
 
 
 def filter_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -53,7 +54,7 @@ def filter_latest_n_runs(df: DataFrame, col: str, n: int = 30, out: str = "iter_
 def filter_rare_classes(df: DataFrame, label: str, min_count: int = 5) -> DataFrame:
     """Keep rows of classes with at least ``min_count`` rows (semi join)."""
     keep = df.groupBy(label).count().where(F.col("count") >= min_count).select(label)
-    return df.join(keep, label, "left_semi")
+    return df.join(broadcast_if_small(keep), label, "left_semi")
 
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

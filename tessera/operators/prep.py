@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered_scan
+from ..session import broadcast_if_small
 
 
 def assemble_features(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -111,7 +112,7 @@ def class_weights(df: DataFrame, label: str, form: str = "balanced",
     else:
         raise ValueError(form)
     weights = counts.select(label, w.cast("double").alias(out))
-    return df.join(weights, label, "left")
+    return df.join(broadcast_if_small(weights), label, "left")
 
 
 def oversample_random(train: DataFrame, id_col: str, label: str, target: int | None = None,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sequence_to_json
 from ..functions.text import WS_CLASS
 from ..plans.ordered import ordered_scan
+from ..session import broadcast_if_small
 from .aggs import ordered_list
 
 
@@ -145,7 +146,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, frac: float = 0.2,
     hash go to validation.  Output: id, label, ``is_val``."""
     ranked = _ranked(df, id_col, label, seed)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(sizes, label, "inner")
+    out = ranked.join(broadcast_if_small(sizes), label, "inner")
     return out.select(id_col, label,
                       (F.col("_rn") <= F.round(F.col("_n") * F.lit(frac))).alias("is_val"))
 

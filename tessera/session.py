@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults we want for every run; a cluster's own settings win because we only
 # fill in keys that are unset.
@@ -66,6 +67,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Per-key side tables (one row per class, category, model ...) up to this many
+# rows are broadcast when joined back to the rows.
+SMALL_SIDE_MAX = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_SIDE_MAX) -> DataFrame:
+    """Mark ``df`` for broadcast when an exact count shows it within
+    ``max_rows``; otherwise leave the join strategy to the planner (AQE).
+
+    Used for joins on low-cardinality keys (class labels): there every key is
+    hot, and a shuffle join would put a whole class into one task.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -76,4 +92,5 @@ def local_path(p: str) -> str:
 
 
 __all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage",
+           "broadcast_if_small",
            "shuffle_partitions", "local_path", "os"]
