@@ -73,7 +73,9 @@ def q_standardize(spark, sf):
 def q_standardize_sequence(spark, sf):
     e = t(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("double"))
     seqs = pad_sequence_mask(e, "user_id", "ts", ["value", "k"], "event_type", 10, "event_id")
-    train = seqs.where(F.pmod("user_id", F.lit(5)) != 0)
+    # fit the scaler on the seeded stratified training split (80 %)
+    split = stratified_split(seqs, "user_id", "event_type", frac=0.2)
+    train = seqs.join(split.where(~F.col("is_val")).select("user_id"), "user_id", "left_semi")
     _, (full,) = P.standardize_sequence(train, [seqs], "seq")
     return full.select("user_id", r6(F.aggregate(F.flatten("seq"), F.lit(0.0),
                                                  lambda s, x: s + x)).alias("seq_total"))
