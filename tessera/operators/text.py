@@ -64,8 +64,9 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
         for i, t in enumerate(terms)])
 
 
-# Spark looks a key up in a map value by scanning its keys, so only a tiny
-# lexicon is used as an in-row map; up to LEXICON_BROADCAST_MAX words it is
+# A tiny lexicon (LEXICON_MAP_MAX words) is inlined as literals and scored in
+# the row (Spark would scan a map value's keys linearly); up to
+# LEXICON_BROADCAST_MAX words it is
 # broadcast to a hash join; beyond that the join is left to the planner.
 # Both bounds are checked with a count of the lexicon first.
 LEXICON_MAP_MAX = 64
@@ -79,9 +80,9 @@ def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: Da
     """Mean polarity of the lexicon words found in the text (0 when none).
 
     The lexicon is an input table (one polarity per word; repeated words are
-    averaged).  When its size is within ``map_max`` it becomes one map value
-    (a scalar subquery, evaluated once) and every document is scored inside
-    its own row -- no explode, join or shuffle.  A larger lexicon is joined to
+    averaged).  When its size is within ``map_max`` its words become
+    literals and every document is scored inside its own row -- no explode,
+    join or shuffle.  A larger lexicon is joined to
     the exploded tokens (broadcast while within ``broadcast_max``); the
     per-document average is then combined map-side, since all tokens of a
     document come from the same input row.
@@ -92,13 +93,20 @@ def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: Da
            .groupBy(word).agg(F.avg("_pol").alias("_pol")))
     n_lex = lex.count()
     if n_lex <= map_max:
-        lexmap = lex.agg(F.map_from_entries(F.collect_list(F.struct(word, "_pol")))).scalar()
-        # the map is projected as a column first: subqueries may not sit inside
-        # a higher-order function
-        with_map = df.select(*keys, tokens(text).alias("_t"), lexmap.alias("_m"))
-        pols = F.filter(F.transform("_t", lambda x: F.try_element_at(F.col("_m"), x)),
-                        lambda p: p.isNotNull())
-        scored = with_map.select(*keys, pols.alias("_p"))
+        # At most ``map_max`` (word, polarity) pairs, as checked: they become
+        # literals, so tokens are screened by a hash-set ``IN`` and only the
+        # lexicon words that occur are scored, all inside the row.
+        pairs = [(r[word], r["_pol"]) for r in lex.collect()]
+        words = [w for w, _ in pairs]
+
+        def polarity_of(x):
+            e = F.lit(None).cast("double")
+            for w, p in pairs:
+                e = F.when(x == F.lit(w), F.lit(p)).otherwise(e)
+            return e
+
+        hits = F.filter(tokens(text), lambda x: x.isin(words)) if words else F.array()
+        scored = df.select(*keys, F.transform(hits, polarity_of).alias("_p"))
         mean = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p) / F.size("_p")
         return scored.select(*keys, F.when(F.size("_p") > 0, mean).otherwise(F.lit(0.0))
                              .alias(out))
