@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import quality, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,16 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
 }
 
 ORACLE_SQL = {
+    "op8_quality_rules": quality.oracle_sql(),
     "op9_url_filters": urlfilter.oracle_sql(),
 }
