@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, quality, urlfilter
+from . import decontam, linededup, minhash, quality, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
     "op10_decontamination": op10_decontamination,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
