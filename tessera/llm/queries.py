@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, minhash, quality, urlfilter
+from . import decontam, linededup, minhash, packing, quality, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op6_length_buckets": op6_length_buckets,
     "op4_line_dedup": op4_line_dedup,
     "op10_decontamination": op10_decontamination,
     "op3_minhash_dedup": op3_minhash_dedup,
@@ -40,6 +47,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_length_buckets": packing.oracle_sql(),
     "op8_quality_rules": quality.oracle_sql(),
     "op9_url_filters": urlfilter.oracle_sql(),
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
