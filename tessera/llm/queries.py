@@ -5,7 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, minhash, packing, quality, urlfilter
+from tessera.session import scratch_path
+
+from . import decontam, linededup, minhash, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,12 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 QUERIES = {
+    "op2_warc_archives": op2_warc_archives,
     "pipeline": corpus_pipeline.run,
     "op6_length_buckets": op6_length_buckets,
     "op4_line_dedup": op4_line_dedup,
@@ -47,6 +54,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc_archives": warc.oracle_sql(),
     "op6_length_buckets": packing.oracle_sql(),
     "op8_quality_rules": quality.oracle_sql(),
     "op9_url_filters": urlfilter.oracle_sql(),
