@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import decontam, linededup, minhash, packing, quality, urlfilter, warc
+from . import decontam, linededup, minhash, packing, quality, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,12 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op2_warc_archives": op2_warc_archives,
     "pipeline": corpus_pipeline.run,
     "op6_length_buckets": op6_length_buckets,
