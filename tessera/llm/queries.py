@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import decontam, linededup, minhash, packing, quality, toxicity, urlfilter, warc
+from . import decontam, htmltext, linededup, minhash, packing, quality, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op7_html_text": op7_html_text,
     "op5_toxicity": op5_toxicity,
     "op2_warc_archives": op2_warc_archives,
     "pipeline": corpus_pipeline.run,
