@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import decontam, htmltext, linededup, minhash, packing, quality, toxicity, urlfilter, warc
+from . import decontam, htmltext, linededup, minhash, packing, quality, secrets, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op7_html_text": op7_html_text,
     "op5_toxicity": op5_toxicity,
     "op2_warc_archives": op2_warc_archives,
