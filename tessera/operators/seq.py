@@ -126,13 +126,9 @@ def dedup_first(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
 # -- splits and folds --------------------------------------------------------------
 
 def split_hash(id_col, seed: int = 42) -> Column:
-    """Deterministic 32-bit scramble of an integer id, computable in any SQL
-    engine without overflow: ((id + seed) * 2654435761) mod 2^32."""
-    a = F.pmod(F.col(id_col).cast("long") + F.lit(seed), F.lit(4294967296))
-    hi = F.floor(a / 65536)
-    lo = F.pmod(a, F.lit(65536))
-    c = 2654435761
-    return F.pmod(F.pmod(hi * c, F.lit(4294967296)) * 65536 + lo * c, F.lit(4294967296)).cast("long")
+    """Seeded order key of an id: the md5 of ``seed:id``, so keys of different
+    seeds are independent and any SQL engine can compute them."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
 def _ranked(df: DataFrame, id_col: str, label: str | None, seed: int) -> DataFrame:
@@ -143,11 +139,13 @@ def _ranked(df: DataFrame, id_col: str, label: str | None, seed: int) -> DataFra
 def stratified_split(df: DataFrame, id_col: str, label: str, frac: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Per class, the ``round(frac * n_class)`` rows with the smallest seeded
-    hash go to validation.  Output: id, label, ``is_val``."""
-    ranked = _ranked(df, id_col, label, seed)
+    hash go to validation.  Output: id, label, ``is_val``.  Rows with a null label
+    form a class of their own, so every input row is returned."""
+    ranked = _ranked(df, id_col, label, seed).alias("r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(broadcast_if_small(sizes), label, "inner")
-    return out.select(id_col, label,
+    out = ranked.join(broadcast_if_small(sizes).alias("s"),
+                      F.col(f"r.{label}").eqNullSafe(F.col(f"s.{label}")), "left")
+    return out.select(f"r.{id_col}", f"r.{label}",
                       (F.col("_rn") <= F.round(F.col("_n") * F.lit(frac))).alias("is_val"))
 
 
@@ -157,9 +155,9 @@ def split_fallback(df: DataFrame, id_col: str, label: str, frac: float = 0.2,
     min_class = df.groupBy(label).count().agg(F.min("count")).collect()[0][0]
     if min_class is not None and min_class >= 2:
         return stratified_split(df, id_col, label, frac, seed)
-    ranked = _ranked(df.select(id_col, label), id_col, None, seed)
+    src = df.select(id_col, label, split_hash(id_col, seed).alias("_h"))
     n = df.agg(F.count(F.lit(1))).scalar()
-    return ranked.join(df.select(id_col, label), id_col).select(
+    return ordered_scan(src, ["_h", id_col]).select(
         id_col, label, (F.col("_rn") <= F.round(n * F.lit(frac))).alias("is_val"))
 
 

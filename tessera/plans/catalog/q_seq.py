@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions._util import r6
 from ...operators import seq as Q
+from ...plans.ordered import ordered_scan
 from . import query
 from ._common import t
 
@@ -100,8 +101,36 @@ def q_dedup_first(spark, sf):
 
 
 def _hash_sql(col: str, seed: int = 42) -> str:
-    a = f"(({col} + {seed}) % 4294967296)"
-    return f"((((({a} // 65536) * 2654435761) % 4294967296) * 65536 + ({a} % 65536) * 2654435761) % 4294967296)"
+    return f"md5('{seed}:' || coalesce({col}::varchar, ''))"
+
+
+@query("stratified_split_nulls", f"""
+WITH s AS (SELECT o_orderkey + 9007199254740993 AS big_id, o_custkey AS carried,
+                  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS label FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash_sql('big_id', 11)}, big_id) AS rn,
+             count(*) OVER (PARTITION BY label) AS n FROM s)
+SELECT big_id, label, rn <= round(n * 0.2) AS is_val FROM r""", "seq")
+def q_stratified_split_nulls(spark, sf):
+    """Null labels and ids above 2**53: every input row comes back unchanged."""
+    o = t(spark, sf, "orders").select(
+        (F.col("o_orderkey") + F.lit(9007199254740993)).alias("big_id"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("label"))
+    return Q.stratified_split(o, "big_id", "label", 0.2, 11)
+
+
+@query("ordered_scan_nullable", """
+SELECT event_id, user_key, row_number() OVER w AS rn,
+       round(sum(coalesce(value, 0)) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS running
+FROM (SELECT event_id, ts, value, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id + 9007199254740993 END AS user_key
+      FROM events)
+WINDOW w AS (PARTITION BY user_key ORDER BY ts, event_id)""", "seq")
+def q_ordered_scan_nullable(spark, sf):
+    """Ranks and running sums with a null group and large integer keys."""
+    e = t(spark, sf, "events").select(
+        "event_id", "ts", "value",
+        F.when(F.col("user_id") % 3 != 0, F.col("user_id") + F.lit(9007199254740993)).alias("user_key"))
+    out = ordered_scan(e, ["ts", "event_id"], by=["user_key"], sums=["value"])
+    return out.select("event_id", "user_key", F.col("_rn").alias("rn"), r6(F.col("_cum_value")).alias("running"))
 
 
 @query("stratified_split", f"""

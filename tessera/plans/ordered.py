@@ -9,16 +9,17 @@ global ordering with no partition key at all) that task becomes the whole job.
     row_number() OVER (PARTITION BY by ORDER BY order)
     sum(c)       OVER (PARTITION BY by ORDER BY order ROWS UNBOUNDED PRECEDING)
 
-but spreads a hot group over many tasks, the way ``RDD.zipWithIndex`` does:
+but spreads a hot group over many tasks:
 
 1. range-partition on ``(by, order)`` (Spark samples the key distribution, so a
-   hot group is split across consecutive partitions) and sort inside each
-   partition; checkpoint it so that both later passes see identical partitions;
-2. one small summary row per partition (first/last group key, counts and sums
-   of the boundary groups) is collected -- its size is bounded by the number
-   of partitions, not by the data;
-3. the driver chains those summaries into a carry-in offset per partition;
-4. a second narrow pass adds the local running values and the carry-in.
+   hot group is split across consecutive partitions) and tag each row with its
+   partition; checkpoint it so that all later passes see the same tags;
+2. an ordinary window numbers and sums the rows of each (partition, group);
+3. groups that span partitions get carry-in offsets: at most two rows per
+   partition, summed over the partitions before and broadcast to the rows.
+
+All of it is Spark expressions: keys and carried columns keep their types and
+values, and a null group key is a group like any other.
 
 The order must be total (callers add tie-breaking columns) so that the result
 is deterministic.
@@ -27,61 +28,21 @@ is deterministic.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage, shuffle_partitions
 
 OrderSpec = Sequence[str | tuple[str, bool]]
 
-_SEP = "\x1f"
-_NULL = "\x00N"
-
-
-def _norm_order(order: OrderSpec) -> list[tuple[str, bool]]:
-    out = []
-    for o in order:
-        out.append((o, True) if isinstance(o, str) else (o[0], bool(o[1])))
-    return out
-
-
-def _key_strings(pdf: pd.DataFrame, by: list[str]) -> pd.Series:
-    if not by:
-        return pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
-    key = None
-    for c in by:
-        s = pdf[c]
-        part = s.astype(str).where(s.notna(), _NULL)
-        key = part if key is None else key + _SEP + part
-    return key
-
-
-def _local_scan(pdf: pd.DataFrame, by: list[str], sums: list[str], state: dict):
-    """Running counters inside one partition batch, continuing ``state``."""
-    keys = _key_strings(pdf, by)
-    prev = keys.shift(1)
-    if len(keys):
-        prev.iloc[0] = state["key"]
-    new_group = keys.ne(prev)
-    gid = new_group.cumsum()
-    cont = gid == 0  # rows continuing the group carried from the previous batch
-    rn = pdf.groupby(gid, sort=False).cumcount().astype("int64") + 1
-    rn = rn + cont.astype("int64") * state["n"]
-    cums = {}
-    for i, c in enumerate(sums):
-        v = pdf[c].astype("float64").fillna(0.0)
-        cs = v.groupby(gid, sort=False).cumsum()
-        cums[c] = cs + cont.astype("float64") * state["s"][i]
-    if len(keys):
-        last = keys.iloc[-1]
-        lastmask = keys == last
-        last_n = int(rn[lastmask].iloc[-1])
-        last_s = [float(cums[c][lastmask].iloc[-1]) for c in sums]
-        state.update(key=last, n=last_n, s=last_s)
-    return keys, rn, cums
+_PART = "_ordered_part"
+
+
+def _sort_columns(order: OrderSpec) -> list:
+    pairs = [(o, True) if isinstance(o, str) else (o[0], bool(o[1])) for o in order]
+    return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in pairs]
 
 
 def ordered_scan(df: DataFrame, order: OrderSpec, by: Sequence[str] = (),
@@ -90,100 +51,36 @@ def ordered_scan(df: DataFrame, order: OrderSpec, by: Sequence[str] = (),
     """Add ``rn`` (1-based position within ``by`` by ``order``) and inclusive
     running sums ``{cum_prefix}{c}`` for each ``c`` in ``sums`` (nulls count 0).
     """
-    by = list(by)
-    sums = list(sums)
-    order_n = _norm_order(order)
-    spark = df.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
-    sort_cols = [F.col(c).asc_nulls_first() for c in by]
-    sort_cols += [F.col(c).asc_nulls_first() if a else F.col(c).desc_nulls_last()
-                  for c, a in order_n]
-    ordered = cut_lineage(df.repartitionByRange(n_parts, *sort_cols)
-                          .sortWithinPartitions(*sort_cols))
-
-    # -- pass 1: one summary row per partition --------------------------------
-    sum_fields = [T.StructField(f"s{i}", T.DoubleType()) for i in range(len(sums))]
-    summ_schema = T.StructType([
-        T.StructField("pid", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("first_key", T.StringType()),
-        T.StructField("last_key", T.StringType()),
-        T.StructField("last_n", T.LongType()),
-        T.StructField("single", T.BooleanType()),
-        *[T.StructField(f"last_s{i}", T.DoubleType()) for i in range(len(sums))],
-        *sum_fields,
-    ])
-    cols_needed = by + sums
-
-    def summarize(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        state = {"key": None, "n": 0, "s": [0.0] * len(sums)}
-        first, changed, total_n = None, False, 0
-        totals = [0.0] * len(sums)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            keys, _, _ = _local_scan(pdf, by, sums, state)
-            if first is None:
-                first = keys.iloc[0]
-            if not changed and bool((keys != first).any()):
-                changed = True
-            total_n += len(pdf)
-            for i, c in enumerate(sums):
-                totals[i] += float(pdf[c].astype("float64").fillna(0.0).sum())
-        if first is None:
-            return
-        row = {"pid": pid, "n": total_n, "first_key": first, "last_key": state["key"],
-               "last_n": state["n"], "single": not changed}
-        for i in range(len(sums)):
-            row[f"last_s{i}"] = state["s"][i]
-            row[f"s{i}"] = totals[i]
-        yield pd.DataFrame([row])
-
-    narrow = ordered.select(*cols_needed) if cols_needed else ordered.select(F.lit(1).alias("_one"))
-    summ = narrow.mapInPandas(summarize, summ_schema).collect()
-    summ = sorted(summ, key=lambda r: r["pid"])
-
-    # -- driver: carry-in offsets, one entry per partition ----------------------
-    offsets: dict[int, tuple[str, int, list[float]]] = {}
-    carry_key, carry_n, carry_s = None, 0, [0.0] * len(sums)
-    for r in summ:
-        if carry_key is not None and r["first_key"] == carry_key:
-            offsets[r["pid"]] = (carry_key, carry_n, list(carry_s))
-            if r["single"]:
-                carry_n += r["n"]
-                carry_s = [carry_s[i] + r[f"s{i}"] for i in range(len(sums))]
-                continue
-        if r["single"] and not (carry_key is not None and r["first_key"] == carry_key):
-            carry_key, carry_n = r["first_key"], r["n"]
-            carry_s = [r[f"s{i}"] for i in range(len(sums))]
-        else:
-            carry_key, carry_n = r["last_key"], r["last_n"]
-            carry_s = [r[f"last_s{i}"] for i in range(len(sums))]
-    bc = spark.sparkContext.broadcast(offsets)
-
-    # -- pass 2: local running values + carry-in --------------------------------
-    out_schema = T.StructType(list(ordered.schema.fields)
-                              + [T.StructField(rn, T.LongType())]
-                              + [T.StructField(f"{cum_prefix}{c}", T.DoubleType()) for c in sums])
-
-    def finish(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        off = bc.value.get(pid)
-        if off is None:
-            state = {"key": None, "n": 0, "s": [0.0] * len(sums)}
-        else:
-            state = {"key": off[0], "n": off[1], "s": list(off[2])}
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            _, r, cums = _local_scan(pdf, by, sums, state)
-            pdf = pdf.copy()
-            pdf[rn] = r.values
-            for c in sums:
-                pdf[f"{cum_prefix}{c}"] = cums[c].values
-            yield pdf
-
-    return ordered.mapInPandas(finish, out_schema)
+    by, sums = list(by), list(sums)
+    columns = df.columns
+    n_parts = num_partitions or shuffle_partitions(df.sparkSession)
+    in_order = _sort_columns(order)
+    dealt = df.repartitionByRange(n_parts, *[F.col(c).asc_nulls_first() for c in by], *in_order)
+    dealt = cut_lineage(dealt.withColumn(_PART, F.spark_partition_id()))
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in sums}
+
+    local = Window.partitionBy(_PART, *by).orderBy(*in_order)
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = dealt.withColumns({rn: F.row_number().over(local).cast("long"),
+                                 **{f"{cum_prefix}{c}": F.sum(value[c]).over(running) for c in sums}})
+
+    totals = dealt.groupBy(_PART, *by).agg(F.count(F.lit(1)).alias("_k"),
+                                           *[F.sum(value[c]).alias(f"_s{i}") for i, c in enumerate(sums)])
+    spans = totals.groupBy(*by).agg(F.min(_PART).alias("_from"), F.max(_PART).alias("_to")).where("_from < _to")
+    if by:
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+        spanning = totals.alias("a").join(spans.alias("s"), same, "left_semi")
+    else:
+        spanning = totals
+    # a group that spans partitions is alone in all of them but its first and
+    # last, so these are at most two rows per partition
+    before = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = spanning.select(F.col(_PART).alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+                            F.sum("_k").over(before).alias("_k"),
+                            *[F.sum(f"_s{i}").over(before).alias(f"_s{i}") for i in range(len(sums))])
+    here = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)],
+                  F.col(_PART) == F.col("_p"))
+    joined = scanned.join(F.broadcast(carry), here, "left")
+    add = lambda c, k, zero: (F.col(c) + F.coalesce(F.col(k), F.lit(zero))).alias(c)
+    return joined.select(*columns, add(rn, "_k", 0),
+                         *[add(f"{cum_prefix}{c}", f"_s{i}", 0.0) for i, c in enumerate(sums)])
