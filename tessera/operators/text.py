@@ -64,56 +64,26 @@ def tfidf_vocab(df: DataFrame, keys: Sequence[str], text: str, terms: Sequence[s
         for i, t in enumerate(terms)])
 
 
-# A tiny lexicon (LEXICON_MAP_MAX words) is inlined as literals and scored in
-# the row (Spark would scan a map value's keys linearly); up to
-# LEXICON_BROADCAST_MAX words it is
-# broadcast to a hash join; beyond that the join is left to the planner.
-# Both bounds are checked with a count of the lexicon first.
-LEXICON_MAP_MAX = 64
-LEXICON_BROADCAST_MAX = 2_000_000
-
-
 def lexicon_sentiment(df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
                       word: str = "word", polarity: str = "polarity",
-                      out: str = "sentiment", map_max: int = LEXICON_MAP_MAX,
-                      broadcast_max: int = LEXICON_BROADCAST_MAX) -> DataFrame:
+                      out: str = "sentiment") -> DataFrame:
     """Mean polarity of the lexicon words found in the text (0 when none).
 
-    The lexicon is an input table (one polarity per word; repeated words are
-    averaged).  When its size is within ``map_max`` its words become
-    literals and every document is scored inside its own row -- no explode,
-    join or shuffle.  A larger lexicon is joined to
-    the exploded tokens (broadcast while within ``broadcast_max``); the
-    per-document average is then combined map-side, since all tokens of a
-    document come from the same input row.
+    The lexicon is an input table; words are lower-cased, repeated words are
+    averaged and words without a polarity do not count.  One row per input row,
+    also where ``keys`` repeat.  Every row sends its words, and one empty word
+    that keeps it when it has none, to one hash join with the lexicon, which the
+    planner broadcasts by its size in bytes; the averages are combined map-side.
     """
     keys = list(keys)
-    lex = (lexicon.select(F.lower(F.col(word)).alias(word), F.col(polarity).cast("double")
-                          .alias("_pol"))
-           .groupBy(word).agg(F.avg("_pol").alias("_pol")))
-    n_lex = lex.count()
-    if n_lex <= map_max:
-        # At most ``map_max`` (word, polarity) pairs, as checked: they become
-        # literals, so tokens are screened by a hash-set ``IN`` and only the
-        # lexicon words that occur are scored, all inside the row.
-        pairs = [(r[word], r["_pol"]) for r in lex.collect()]
-        words = [w for w, _ in pairs]
-
-        def polarity_of(x):
-            e = F.lit(None).cast("double")
-            for w, p in pairs:
-                e = F.when(x == F.lit(w), F.lit(p)).otherwise(e)
-            return e
-
-        hits = F.filter(tokens(text), lambda x: x.isin(words)) if words else F.array()
-        scored = df.select(*keys, F.transform(hits, polarity_of).alias("_p"))
-        mean = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p) / F.size("_p")
-        return scored.select(*keys, F.when(F.size("_p") > 0, mean).otherwise(F.lit(0.0))
-                             .alias(out))
-    toks = df.select(*keys, F.explode(tokens(text)).alias(word))
-    side = F.broadcast(lex) if n_lex <= broadcast_max else lex
-    scored = toks.join(side, word, "inner").groupBy(*keys).agg(F.avg("_pol").alias(out))
-    return df.select(*keys).join(scored, keys, "left").fillna(0.0, [out])
+    lex = (lexicon.select(F.lower(F.col(word)).alias("_word"), F.col(polarity).cast("double").alias("_pol"))
+           .where((F.col("_word") != "") & F.col("_pol").isNotNull())
+           .groupBy("_word").agg(F.avg("_pol").alias("_pol")))
+    words = F.concat(F.array(F.lit("")), F.coalesce(tokens(text), F.array().cast("array<string>")))
+    rows = df.select(*keys, words.alias("_words"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select(*keys, "_row", F.explode("_words").alias("_word"))
+    return (rows.join(lex, "_word", "left").groupBy("_row", *keys)
+            .agg(F.coalesce(F.avg("_pol"), F.lit(0.0)).alias(out)).drop("_row"))
 
 
 def truncate_tokens(df: DataFrame, col: str, n: int = 128, out: str = "tokens") -> DataFrame:

@@ -57,6 +57,25 @@ def q_lexicon_sentiment(spark, sf):
     return out.select("doc_id", r6("sentiment").alias("sentiment"))
 
 
+_WIDE_LEXICON = [(w, p) for w, p in _LEXICON if w != "que"] + [("que", None), ("the", 0.4), ("THE", -0.2)] + [
+    (f"{a}{b}", (ord(a) - ord(b)) / 50) for a in "abcdeimno" for b in "deinorstuw"]
+
+
+@query("lexicon_sentiment_wide", f"""
+WITH lex AS (SELECT lower(word) AS word, avg(polarity) AS polarity FROM (VALUES {", ".join(
+    f"('{w}', CAST({'NULL' if p is None else p} AS DOUBLE))" for w, p in _WIDE_LEXICON)}) v(word, polarity)
+  WHERE polarity IS NOT NULL GROUP BY 1),
+r AS (SELECT row_number() OVER () AS rid, source, {_TOK} AS toks FROM documents),
+tk AS (SELECT rid, unnest(toks) AS word FROM r),
+s AS (SELECT rid, avg(polarity) AS sentiment FROM tk JOIN lex USING (word) GROUP BY rid)
+SELECT source, round(coalesce(sentiment, 0.0), 6) + 0.0 AS sentiment FROM r LEFT JOIN s USING (rid)""", "text")
+def q_lexicon_sentiment_wide(spark, sf):
+    """More than 64 words, words twice and without polarity, and a key with many rows."""
+    lex = spark.createDataFrame(_WIDE_LEXICON, "word string, polarity double")
+    out = TX.lexicon_sentiment(t(spark, sf, "documents"), ["source"], "text", lex)
+    return out.select("source", r6("sentiment").alias("sentiment"))
+
+
 @query("truncate_tokens", f"""
 SELECT doc_id, array_to_string(({_TOK})[1:128], ' ') AS tokens FROM documents""", "text")
 def q_truncate_tokens(spark, sf):

@@ -9,10 +9,11 @@ group runs in one task.  We instead
    every requested probability, a bracket ``[lo, hi]`` that must contain the
    exact order statistics;
 2. count the rows below each bracket (a second distributed aggregate);
-3. rank only the rows inside the brackets -- about ``8 n / accuracy`` rows per
-   group and probability -- and interpolate linearly between the two order
-   statistics at ``(n - 1) * p`` (the rule used by pandas, NumPy and DuckDB's
-   ``quantile_cont``).
+3. count the rows inside the brackets by value (map-side, so a value held by
+   most rows is one row), run the counts over these distinct values -- about
+   ``8 n / accuracy`` per group and probability at most -- and interpolate
+   linearly between the two order statistics at ``(n - 1) * p`` (the rule used
+   by pandas, NumPy and DuckDB's ``quantile_cont``).
 
 Groups whose sketch bracket would not hold (never, given the sketch's error
 bound; kept as a guard) fall back to their min/max range, which is still exact.
@@ -25,6 +26,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
+from .ordered import ordered_scan
+
 DEFAULT_ACCURACY = 100_000
 
 
@@ -33,12 +37,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
                     accuracy: int = DEFAULT_ACCURACY, few_groups: bool = False) -> DataFrame:
     """One row per ``by`` group with one double column per probability.
 
-    ``few_groups=True`` declares that the number of ``by`` groups is bounded by
-    something other than the data (e.g. one group per column name); the
-    per-group statistics are then broadcast to the rows instead of joined by a
-    shuffle, so a group holding most of the rows never lands in one task.
+    The per-group statistics are kept in the checkpoint folder and broadcast to
+    the rows when an exact count shows them small (``few_groups=True`` says so
+    without counting), so a group holding most of the rows never lands in one
+    task; with more groups the planner joins them.
     """
-    bc = F.broadcast if (by and few_groups) else (lambda d: d)
+    def bc(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if few_groups else broadcast_if_small(small)
+
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
@@ -59,6 +65,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     j = list(range(len(probs)))
     stat_cols = ["_n", "_min", "_max", "_lo", "_hi"]
     if by:
+        stats = cut_lineage(stats)
         joined = base.join(bc(stats), by, "inner")
     else:  # one global row, attached as a scalar subquery (no join at all)
         one = stats.select(F.struct(*stat_cols).alias("_s")).scalar()
@@ -88,19 +95,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 
     # pass 3: keep only rows inside a bracket (one bracket array per group)
     if by:
-        tagged = base.join(bc(brackets), by, "inner")
+        tagged = base.join(bc(cut_lineage(brackets)), by, "inner")
     else:
         tagged = base.withColumn("_br", brackets.select("_br").scalar())
     inside = (tagged.select(*by, "_x", F.explode(F.filter(
         "_br", lambda r: (F.col("_x") >= r["lo"]) & (F.col("_x") <= r["hi"]))).alias("_b"))
         .select(*by, "_x", "_b.*"))
-    w = Window.partitionBy(*by, "j").orderBy("_x")
-    ranked = inside.withColumn("_r", F.row_number().over(w) - 1 + F.col("b"))
-    picked = (ranked.where((F.col("_r") == F.col("r0")) | (F.col("_r") == F.col("r1")))
-              .groupBy(*by, "j")
-              .agg(F.max(F.when(F.col("_r") == F.col("r0"), F.col("_x"))).alias("v0"),
-                   F.max(F.when(F.col("_r") == F.col("r1"), F.col("_x"))).alias("v1"),
-                   F.first("frac").alias("frac")))
+    values = inside.groupBy(*by, "j", "_x").agg(
+        F.count(F.lit(1)).alias("_w"), *[F.first(c).alias(c) for c in ("b", "r0", "r1", "frac")])
+    w = Window.partitionBy(*by, "j").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.withColumn("_r", F.sum("_w").over(w) + F.col("b"))
+    picked = ranked.groupBy(*by, "j").agg(
+        F.min(F.when(F.col("_r") > F.col("r0"), F.col("_x"))).alias("v0"),
+        F.min(F.when(F.col("_r") > F.col("r1"), F.col("_x"))).alias("v1"),
+        F.first("frac").alias("frac"))
     val = (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("v")
     long = picked.select(*by, "j", val)
     wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(names[i])
@@ -129,9 +137,6 @@ def exact_quantiles_discrete(df: DataFrame, col: str, probs: Sequence[float],
     statistic is the smallest value whose running count passes its rank.
     Same results as :func:`exact_quantiles`, which suits continuous columns.
     """
-    from ..session import cut_lineage
-    from .ordered import ordered_scan
-
     by = list(by)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]

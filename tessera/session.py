@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -41,8 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/ABFS) folder
-    and is used as is.  Only when nothing is configured (unit tests, local
-    runs) do we create a private folder under the system temp directory.
+    and is used as is.  Only when nothing is configured and the master is local
+    (unit tests, local runs) do we create a private folder under the system
+    temp directory; on a cluster that would be a different disk for every
+    executor, so it is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -50,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -93,4 +97,4 @@ def local_path(p: str) -> str:
 
 __all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage",
            "broadcast_if_small",
-           "shuffle_partitions", "local_path", "os"]
+           "shuffle_partitions", "local_path"]

@@ -18,13 +18,51 @@ def test_category_codes_small_and_large_domain_agree(spark):
     assert sorted(r["code"] for r in small) == list(range(len(small)))
 
 
-def test_lexicon_map_and_join_paths_agree(spark):
-    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    lex = spark.createDataFrame([("the", 0.1), ("and", 0.2), ("que", -0.1), ("The", 0.3)],
+def test_lexicon_scores_do_not_depend_on_other_rows_or_words(spark):
+    lex = spark.createDataFrame([("good", 0.8), ("BAD", -0.6), ("odd", None), (None, 1.0), ("good", 0.4)],
                                 "word string, polarity double")
-    a = {r["doc_id"]: r["sentiment"] for r in TX.lexicon_sentiment(d, ["doc_id"], "text", lex)
-         .collect()}
-    b = {r["doc_id"]: r["sentiment"] for r in TX.lexicon_sentiment(d, ["doc_id"], "text", lex,
-                                                                     map_max=0).collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    d = spark.createDataFrame([(1, "good good bad"), (1, "odd"), (2, None), (2, "Good")], "k long, text string")
+    want = [(1, 0.0), (1, (0.6 + 0.6 - 0.6) / 3), (2, 0.0), (2, 0.6)]
+    more = lex.unionByName(spark.createDataFrame([(f"unused{i}", 0.5) for i in range(200)], lex.schema))
+    for words in (lex, more):
+        got = sorted((r["k"], round(r["sentiment"], 9)) for r in
+                     TX.lexicon_sentiment(d, ["k"], "text", words).collect())
+        assert got == [(k, round(v, 9)) for k, v in want]
+
+
+def test_quantiles_with_one_value_on_most_rows(spark):
+    """Ties are one weighted value: no window sees the rows that hold them."""
+    from tessera.plans import quantiles as QT
+    rows = [(i % 3, 7.0 if i % 10 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, x double")
+    import numpy as np
+    got = {r["g"]: (r["q25"], r["q50"], r["q95"]) for r in QT.exact_quantiles(df, "x", [0.25, 0.5, 0.95], by=["g"]).collect()}
+    for g in range(3):
+        v = [x for k, x in rows if k == g]
+        assert got[g] == tuple(float(np.quantile(v, q)) for q in (0.25, 0.5, 0.95))
+    plan = QT.exact_quantiles(df, "x", [0.5])._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Window ")
+    assert "HashAggregate" in below or "SortAggregate" in below
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    import pytest
+
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session)
