@@ -9,15 +9,19 @@ fold membership does not depend on partitioning.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .evaluate import metric_macro_f1
-from .prep import assemble_features
+from .prep import assemble_features, class_weights
 from .seq import stratified_kfold
 
+log = logging.getLogger(__name__)
+
 Fit = Callable[[DataFrame, str, str, str | None], object]
 
 
@@ -51,15 +55,68 @@ def fit_random_forest(train: DataFrame, features, label: str, weight: str | None
     return rf.fit(_vec(train, features))
 
 
+class OneVsRestProbabilities:
+    """Binary models of each class against the rest, as one classifier.
+
+    A binary model without probabilities (linear SVM) gets a logistic fit of the
+    class on its margins (Platt).  The class probabilities are scaled to sum 1.
+    """
+
+    def __init__(self, models: list, margins: list):
+        self.models, self.margins = models, margins
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        out, shares = df, []
+        for c, (m, margin) in enumerate(zip(self.models, self.margins)):
+            names = {"rawPrediction": f"_raw{c}", "prediction": f"_pred{c}", "probability": f"_prob{c}"}
+            scored = m.transform(out)
+            for name, to in names.items():
+                scored = scored.withColumnRenamed(name, to)
+            if margin is None:
+                share = vector_to_array(f"_prob{c}")[1]
+            else:
+                slope, offset = margin
+                share = 1 / (1 + F.exp(-(slope * vector_to_array(f"_raw{c}")[1] + offset)))
+            out = scored.withColumn(f"_share{c}", share)
+            out = out.drop(*names.values())
+            shares.append(F.col(f"_share{c}"))
+        total = sum(shares[1:], shares[0])
+        probs = F.array(*[F.when(total > 0, s / total).otherwise(1.0 / len(shares)) for s in shares])
+        out = out.withColumn("_probs", probs)
+        best = F.array_position("_probs", F.array_max("_probs")) - 1
+        return (out.withColumn("probability", array_to_vector("_probs")).withColumn("prediction", best.cast("double"))
+                .drop("_probs", *[f"_share{c}" for c in range(len(shares))]))
+
+
+def _fit_one_vs_rest(estimator, train: DataFrame, features, label: str, weight: str | None) -> OneVsRestProbabilities:
+    from pyspark.ml.classification import LogisticRegression
+    d = _vec(train, features)
+    n_classes = int(d.agg(F.max(label)).first()[0]) + 1
+    if weight:
+        estimator = estimator.setWeightCol(weight)
+    models, margins = [], []
+    for c in range(n_classes):
+        y = d.withColumn("_y", (F.col(label) == c).cast("double"))
+        m = estimator.copy({estimator.labelCol: "_y", estimator.featuresCol: "features"}).fit(y)
+        scored = m.transform(y)
+        models.append(m)
+        if "probability" in scored.columns:
+            margins.append(None)
+            continue
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        scored = scored.select("_y", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_f"))
+        platt = LogisticRegression(featuresCol="_f", labelCol="_y").fit(scored)
+        margins.append((float(platt.coefficients[0]), float(platt.intercept)))
+    return OneVsRestProbabilities(models, margins)
+
+
 def fit_boosted_trees(train: DataFrame, features, label: str, weight: str | None = None,
                       max_iter: int = 20, seed: int = 42):
-    """One-vs-rest gradient-boosted trees (Spark's GBT is binary)."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-    gbt = GBTClassifier(maxIter=max_iter, seed=seed)
-    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol=label)
-    if weight:
-        ovr = ovr.setWeightCol(weight)
-    return ovr.fit(_vec(train, features))
+    """One-vs-rest gradient-boosted trees (Spark's GBT is binary), with class
+    probabilities."""
+    from pyspark.ml.classification import GBTClassifier
+    return _fit_one_vs_rest(GBTClassifier(maxIter=max_iter, seed=seed), train, features, label, weight)
 
 
 def fit_mlp(train: DataFrame, features, label: str, weight: str | None = None,
@@ -76,12 +133,10 @@ def fit_mlp(train: DataFrame, features, label: str, weight: str | None = None,
 
 def fit_svm(train: DataFrame, features, label: str, weight: str | None = None,
             max_iter: int = 50):
-    """One-vs-rest linear SVM (the RBF kernel has no distributed counterpart)."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="features", labelCol=label)
-    if weight:
-        ovr = ovr.setWeightCol(weight)
-    return ovr.fit(_vec(train, features))
+    """One-vs-rest linear SVM (the RBF kernel has no distributed counterpart),
+    with class probabilities from its margins."""
+    from pyspark.ml.classification import LinearSVC
+    return _fit_one_vs_rest(LinearSVC(maxIter=max_iter), train, features, label, weight)
 
 
 def fit_naive_bayes(train: DataFrame, features, label: str, weight: str | None = None):
@@ -114,8 +169,7 @@ def predict(model, df: DataFrame, features, id_col: str, label: str, name: str,
     """Long prediction rows: run, model, id, y_true, probs (array), pred."""
     from pyspark.ml.functions import vector_to_array
     out = model.transform(_vec(df, features))
-    probs = (vector_to_array("probability") if "probability" in out.columns
-             else vector_to_array("rawPrediction"))
+    probs = vector_to_array("probability")
     return out.select(F.lit(run).alias("run"), F.lit(name).alias("model"), F.col(id_col).alias("id"),
                       F.col(label).cast("int").alias("y_true"), probs.alias("probs"),
                       F.col("prediction").cast("int").alias("pred"))
@@ -123,8 +177,9 @@ def predict(model, df: DataFrame, features, id_col: str, label: str, name: str,
 
 def stack_matrix(preds: DataFrame, id_col: str, models: Sequence[str], n_classes: int) -> DataFrame:
     """One row per id, columns ``{model}_class_{i}`` (ids predicted by every
-    model only).  A pivot on the fixed model list; no per-model joins."""
-    wide = preds.groupBy(id_col).pivot("model", list(models)).agg(F.first("probs"))
+    model only).  A pivot on the fixed model list; no per-model joins.  Of several
+    predictions of a model for one id the smallest is taken."""
+    wide = preds.groupBy(id_col).pivot("model", list(models)).agg(F.min("probs"))
     cols = [F.element_at(F.col(f"`{m}`"), i + 1).alias(f"{m}_class_{i}")
             for m in models for i in range(n_classes)]
     complete = F.lit(True)
@@ -133,15 +188,25 @@ def stack_matrix(preds: DataFrame, id_col: str, models: Sequence[str], n_classes
     return wide.where(complete).select(id_col, *cols)
 
 
+def _folded(train: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:
+    folds = stratified_kfold(train.select(id_col, label), id_col, label, k, seed).select(id_col, "fold")
+    return cut_lineage(train.join(folds, id_col))
+
+
+def _fit_balanced(fit: Fit, train: DataFrame, features, label: str):
+    """``fit`` with balanced class weights, or without where it takes none."""
+    weighted = class_weights(train, label, "balanced", "_weight")
+    return fit(weighted, features, label, None if fit is fit_mlp else "_weight")
+
+
 def out_of_fold(train: DataFrame, id_col: str, label: str, features, fit: Fit, name: str,
                 k: int = 3, seed: int = 42) -> DataFrame:
     """Out-of-fold predictions: each fold is predicted by a model fitted on
-    the other folds (stratified, seeded folds)."""
-    folds = stratified_kfold(train.select(id_col, label), id_col, label, k, seed).select(id_col, "fold")
-    d = train.join(folds, id_col)
+    the other folds (stratified, seeded folds; balanced class weights)."""
+    d = _folded(train, id_col, label, k, seed)
     parts = []
     for f in range(k):
-        m = fit(d.where(F.col("fold") != f), features, label, None)
+        m = _fit_balanced(fit, d.where(F.col("fold") != f), features, label)
         parts.append(predict(m, d.where(F.col("fold") == f), features, id_col, label, name))
     out = parts[0]
     for p in parts[1:]:
@@ -167,38 +232,45 @@ def stack_cv(train: DataFrame, id_col: str, label: str, features,
 def select_meta_learner(train: DataFrame, id_col: str, label: str, features,
                         candidates: dict[str, Fit], classes: Sequence[int], k: int = 5,
                         seed: int = 42) -> DataFrame:
-    """k-fold macro-F1 of every candidate: long table (model, fold, macro_f1)
-    plus the mean per model; the best is ``max_by(model, mean)``."""
-    folds = stratified_kfold(train.select(id_col, label), id_col, label, k, seed).select(id_col, "fold")
-    d = train.join(folds, id_col)
+    """Held-out macro-F1 of every candidate on each of ``k`` folds, fitted with
+    balanced class weights: (model, fold, macro_f1, mean_f1, selected), the
+    model of the best mean being selected (ties: the last name)."""
+    d = _folded(train, id_col, label, k, seed)
     rows = None
     for name, fit in candidates.items():
         for f in range(k):
-            m = fit(d.where(F.col("fold") != f), features, label, None)
+            m = _fit_balanced(fit, d.where(F.col("fold") != f), features, label)
             p = predict(m, d.where(F.col("fold") == f), features, id_col, label, name)
             s = metric_macro_f1(p, "y_true", "pred", classes).select(
                 F.lit(name).alias("model"), F.lit(f).alias("fold"), "macro_f1")
             rows = s if rows is None else rows.unionByName(s)
-    return rows
+    rows = cut_lineage(rows)  # one row per candidate and fold
+    card = model_card(rows).select("model", "mean_f1", "selected")
+    return rows.join(F.broadcast(card), "model")
 
 
-def calibrate_platt(oof: DataFrame, n_classes: int) -> DataFrame:
-    """Per-class sigmoid calibration fitted on out-of-fold scores
-    (``y == c`` against ``probs[c]``), then renormalised to sum 1."""
+def calibrate_platt(oof: DataFrame, n_classes: int, k: int = 3, seed: int = 42) -> DataFrame:
+    """Per-class sigmoid calibration of out-of-fold scores (``y == c`` against
+    ``probs[c]``), scaled to sum 1.
+
+    Cross-fitted: the rows of each of ``k`` stratified folds are calibrated by
+    sigmoids fitted on the other folds.  The fitted numbers are literals, so a
+    row is calibrated in place, without joins."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    out = oof
-    for c in range(n_classes):
-        d = oof.select("id", (F.col("y_true") == c).cast("double").alias("_y"),
-                       F.element_at("probs", c + 1).alias("_s"))
-        d = VectorAssembler(inputCols=["_s"], outputCol="_f").transform(d)
-        m = LogisticRegression(featuresCol="_f", labelCol="_y").fit(d)
-        cal = m.transform(d).select("id", vector_to_array("probability")[1].alias(f"_p{c}"))
-        out = out.join(cal, "id")
-    total = sum((F.col(f"_p{c}") for c in range(n_classes)), F.lit(0.0))
-    return out.select(*oof.columns, F.array(*[F.col(f"_p{c}") / total for c in range(n_classes)])
-                      .alias("calibrated"))
+    from pyspark.ml.functions import array_to_vector
+    d = _folded(oof, "id", "y_true", k, seed)
+    out = F.lit(None).cast("array<double>")
+    for f in range(k):
+        rest, shares = d.where(F.col("fold") != f), []
+        for c in range(n_classes):
+            pairs = rest.select((F.col("y_true") == c).cast("double").alias("_y"),
+                                array_to_vector(F.array(F.element_at("probs", c + 1))).alias("_f"))
+            m = LogisticRegression(featuresCol="_f", labelCol="_y").fit(pairs)
+            z = float(m.coefficients[0]) * F.element_at("probs", c + 1) + float(m.intercept)
+            shares.append(1 / (1 + F.exp(-z)))
+        total = sum(shares[1:], shares[0])
+        out = F.when(F.col("fold") == f, F.array(*[s / total for s in shares])).otherwise(out)
+    return d.select(*oof.columns, "fold", out.alias("calibrated"))
 
 
 def coef_table(model, features: Sequence[str], spark) -> DataFrame:
@@ -225,13 +297,29 @@ def model_card(scores: DataFrame) -> DataFrame:
 
 
 def multi_seed_runs(step: Callable[[int], DataFrame], seeds: Sequence[int]) -> DataFrame:
-    """Union of ``step(seed)`` over seeds with a ``run`` column; a failing
-    seed is skipped (logged as missing) and does not stop the loop."""
-    out = None
+    """Union of ``step(seed)`` over seeds with ``run``, ``status`` and ``error``
+    columns.  A failing seed does not stop the others: it becomes one row with
+    status ``failed``, the error's text and nulls.  If every seed fails the last
+    error is raised, since there is no result to give a schema."""
+    done, failed, last = [], [], None
     for i, s in enumerate(seeds, start=1):
         try:
-            df = step(s).withColumn("run", F.lit(i))
-        except Exception:  # noqa: BLE001 - a failed run must not stop the others
+            df = step(s)
+            df = cut_lineage(df)  # an action: errors of the run surface here
+        except Exception as e:  # noqa: BLE001 - reported in the failed run's row
+            log.warning("run %d (seed %d) failed: %s", i, s, e)
+            failed.append((i, f"{type(e).__name__}: {e}"[:500]))
+            last = e
             continue
-        out = df if out is None else out.unionByName(df)
+        done.append(df.withColumns({"run": F.lit(i), "status": F.lit("ok"), "error": F.lit(None).cast("string")}))
+    if not done:
+        if last is None:
+            raise ValueError("no seeds given")
+        raise last
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    if failed:
+        rows = out.sparkSession.createDataFrame(failed, "run int, error string")
+        out = out.unionByName(rows.withColumn("status", F.lit("failed")), allowMissingColumns=True)
     return out

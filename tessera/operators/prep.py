@@ -118,21 +118,38 @@ def class_weights(df: DataFrame, label: str, form: str = "balanced",
 def oversample_random(train: DataFrame, id_col: str, label: str, target: int | None = None,
                       seed: int = 42) -> DataFrame:
     """Grow every class below ``target`` (default: the largest class) with
-    seeded draws, with replacement, of its own rows; originals are kept.
+    seeded draws, with replacement, of its own rows; originals are kept, rows
+    without a label too (they are never drawn).
     Adds ``_copy`` (0 for originals, 1.. for drawn copies)."""
-    ranked = ordered_scan(train, [id_col], by=[label])
-    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tgt = F.lit(target) if target is not None else sizes.agg(F.max("_nc")).scalar()
-    draws = (sizes.where(F.col("_nc") < tgt)
-             .select(label, "_nc", F.explode(F.sequence(F.lit(1), (tgt - F.col("_nc")).cast("int")))
-                     .alias("_copy")))
-    pick = (F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col("_copy")), F.col("_nc")) + 1)
-    # a row can be drawn several times: join each drawn row once, with its
-    # multiplicity, then expand -- the join keys stay unique on both sides
-    mult = (draws.select(label, pick.alias("_rn")).groupBy(label, "_rn")
-            .agg(F.count(F.lit(1)).alias("_mult")))
-    copies = (mult.join(ranked, [label, "_rn"], "inner")
-              .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mult").cast("int"))))
-              .drop("_rn", "_mult"))
+    ranked = ordered_scan(train.where(F.col(label).isNotNull()), [id_col], by=[label])
+    counted = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).collect()
+    goal = target if target is not None else max((r["_nc"] for r in counted), default=0)
+    # one row per class; the draws of all classes are numbered along one range,
+    # and a draw finds its class by the class's stretch of it
+    spark, at, stretches = train.sparkSession, 0, []
+    for r in sorted(counted, key=lambda r: str(r[label])):
+        need = max(0, goal - r["_nc"])
+        stretches.append((at, at + need, r["_nc"], r[label]))
+        at += need
+    kind = dict(train.dtypes)[label]
+    which, size, first = F.lit(None).cast(kind), F.lit(1), F.lit(0)
+    for lo, hi, n, value in stretches:
+        inside = (F.col("id") >= lo) & (F.col("id") < hi)
+        which = F.when(inside, F.lit(value).cast(kind)).otherwise(which)
+        size = F.when(inside, F.lit(n)).otherwise(size)
+        first = F.when(inside, F.lit(lo)).otherwise(first)
+    draws = spark.range(at).select(which.alias(label), size.alias("_nc"),
+                                   (F.col("id") - first + 1).cast("int").alias("_copy"))
+    pick = oversample_pick(F.lit(seed), F.col(label), F.col("_copy"), F.col("_nc")).alias("_rn")
+    # a row can be drawn several times; the drawn rows are joined by class and position
+    copies = draws.select(label, "_copy", pick).join(ranked, [label, "_rn"], "inner").drop("_rn")
     originals = ranked.drop("_rn").withColumn("_copy", F.lit(0))
-    return originals.unionByName(copies.select(*originals.columns))
+    rest = train.where(F.col(label).isNull()).withColumn("_copy", F.lit(0))
+    return originals.unionByName(copies.select(*originals.columns)).unionByName(rest.select(*originals.columns))
+
+
+def oversample_pick(seed, label, copy, n):
+    """1-based position drawn for a class's copy: an md5 key, so that any SQL
+    engine can repeat the draw."""
+    text = F.concat_ws(":", seed.cast("string"), label.cast("string"), copy.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), n) + 1

@@ -17,13 +17,14 @@ from ...operators.seq import pad_sequence_mask, stratified_split
 from . import query
 from ._common import t
 
-_FEATS = [f"e{i}" for i in range(8)]
+_DIMS = 64
+_FEATS = [f"e{i}" for i in range(_DIMS)]
 
 
 def _emb(spark, sf):
     e = t(spark, sf, "embeddings")
     return e.select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("y"),
-                    *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(8)])
+                    *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(_DIMS)])
 
 
 def _split(spark, sf):
@@ -43,8 +44,8 @@ def _fit_query(fit, name, **kw):
 
 
 @query("assemble_features", """
-SELECT vec_id, 8 AS n_features,
-       round(""" + " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(8)) + """, 6) AS total
+SELECT vec_id, 64 AS n_features,
+       round(""" + " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(64)) + """, 6) AS total
 FROM embeddings""", "ml")
 def q_assemble_features(spark, sf):
     from pyspark.ml.functions import vector_to_array
@@ -93,12 +94,16 @@ def q_class_weights(spark, sf):
 
 
 @query("oversample_random", """
-WITH c AS (SELECT label % 3 AS y, count(*) AS n FROM embeddings GROUP BY 1)
-SELECT CAST(y AS INTEGER) AS y, (SELECT max(n) FROM c) AS n FROM c""", "ml")
+WITH d AS (SELECT vec_id, CAST(label % 3 AS INTEGER) AS y FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM d),
+c AS (SELECT DISTINCT y, n FROM r),
+x AS (SELECT y, n, unnest(range(1, (SELECT max(n) FROM c) - n + 1)) AS copy FROM c),
+k AS (SELECT y, copy, CAST('0x' || substr(md5('42:' || y || ':' || copy), 1, 12) AS BIGINT) % n + 1 AS rn FROM x)
+SELECT vec_id, y, 0 AS copy FROM d
+UNION ALL SELECT r.vec_id, k.y, CAST(k.copy AS INTEGER) FROM k JOIN r ON r.y = k.y AND r.rn = k.rn""", "ml")
 def q_oversample_random(spark, sf):
-    d = _emb(spark, sf)
-    out = P.oversample_random(d, "vec_id", "y", seed=42)
-    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    d = _emb(spark, sf).select("vec_id", "y")
+    return P.oversample_random(d, "vec_id", "y", seed=42).select("vec_id", "y", F.col("_copy").alias("copy"))
 
 
 @query("pca_2", None, "ml")
@@ -200,7 +205,7 @@ def q_select_meta_learner(spark, sf):
     scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
                                    {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
                                    [0, 1, 2], k=5)
-    return scores.select("model", "fold", r6("macro_f1").alias("macro_f1"))
+    return scores.select("model", "fold", r6("macro_f1").alias("macro_f1"), r6("mean_f1").alias("mean_f1"), "selected")
 
 
 @query("model_card", None, "ml")
@@ -208,7 +213,7 @@ def q_model_card(spark, sf):
     train, _ = _split(spark, sf)
     scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
                                    {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
-                                   [0, 1, 2], k=3)
+                                   [0, 1, 2], k=5)
     return M.model_card(scores)
 
 
@@ -217,8 +222,7 @@ def q_calibrate_platt(spark, sf):
     train, _ = _split(spark, sf)
     oof = M.out_of_fold(train, "vec_id", "y", _FEATS, M.fit_logreg, "logreg", k=3)
     cal = M.calibrate_platt(oof, 3)
-    return cal.select("id", r6(F.aggregate("calibrated", F.lit(0.0), lambda s, x: s + x))
-                      .alias("prob_sum"))
+    return cal.select("id", "fold", *[r6(F.element_at("calibrated", c + 1)).alias(f"p{c}") for c in range(3)])
 
 
 @query("coef_table", None, "ml")

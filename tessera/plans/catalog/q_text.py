@@ -58,7 +58,7 @@ def q_lexicon_sentiment(spark, sf):
 
 
 _WIDE_LEXICON = [(w, p) for w, p in _LEXICON if w != "que"] + [("que", None), ("the", 0.4), ("THE", -0.2)] + [
-    (f"{a}{b}", (ord(a) - ord(b)) / 50) for a in "abcdeimno" for b in "deinorstuw"]
+    (f"{a}{b}", (ord(a) - ord(b)) / 47) for a in "abcdeimno" for b in "deinorstuw"]
 
 
 @query("lexicon_sentiment_wide", f"""
