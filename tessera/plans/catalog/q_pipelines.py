@@ -11,7 +11,7 @@ from ._common import t
 _COHORT_SQL = r"""
 WITH items AS (
   SELECT o.o_custkey AS subject_id, l.l_orderkey AS hadm_id, l.l_returnflag, l.l_linestatus,
-         l.l_shipdate, p.p_brand, p.p_name
+         l.l_shipdate, p.p_brand, p.p_name, p.p_type
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey),
 dx AS (SELECT subject_id, hadm_id, regexp_extract(p_brand, '#(\d+)', 1) AS code FROM items),
@@ -25,7 +25,7 @@ diag AS (
 last_ship AS (SELECT l_orderkey AS hadm_id, max(l_shipdate) AS dischtime FROM lineitem GROUP BY 1),
 adm AS (
   SELECT o.o_custkey AS subject_id, o.o_orderkey AS hadm_id, o.o_orderpriority AS insurance,
-         o.o_orderstatus AS admission_type,
+         o.o_orderstatus AS admission_type, o.o_orderdate AS admittime, s.dischtime,
          CASE WHEN floor(date_diff('microsecond', o.o_orderdate, s.dischtime) / 86400000000) < 0
                 OR floor(date_diff('microsecond', o.o_orderdate, s.dischtime) / 86400000000) > 365 THEN NULL
               ELSE CAST(floor(date_diff('microsecond', o.o_orderdate, s.dischtime) / 86400000000) AS BIGINT) END
@@ -47,8 +47,20 @@ tr AS (
          count(*) AS transfer_count,
          '[' || string_agg('["' || upper(l_returnflag || l_linestatus) || '", "' || CAST(l_shipdate AS VARCHAR) || '"]', ', '
                            ORDER BY l_shipdate, upper(l_returnflag || l_linestatus)) || ']' AS curr_careunit_sequence
-  FROM items GROUP BY subject_id, hadm_id)
-SELECT d.subject_id, d.hadm_id, d.codes, d.diagnosis_count, d.has_mental_health, d.has_chronic_pain,
+  FROM items GROUP BY subject_id, hadm_id),
+sv AS (SELECT subject_id, hadm_id, min(p_type) AS curr_service, bool_or(contains(upper(p_type), 'PROMO')) AS seen_by_psych
+       FROM items GROUP BY subject_id, hadm_id),
+pat AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+               CASE WHEN c_custkey % 17 = 0 THEN TIMESTAMP '2100-01-01' ELSE TIMESTAMP '1950-01-01' + to_days(CAST(c_custkey AS INTEGER)) END AS dob,
+               CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '1995-06-01' + to_days(CAST(c_custkey % 2000 AS INTEGER)) END AS dod,
+               CAST(c_custkey % 3 = 0 AS INTEGER) AS expire_flag FROM customer)
+SELECT d.subject_id, d.hadm_id, a.admittime, a.dischtime, s.curr_service, coalesce(s.seen_by_psych, false) AS seen_by_psych,
+       c.gender, c.expire_flag,
+       round(CASE WHEN a.admittime IS NULL OR c.dob IS NULL THEN NULL WHEN year(c.dob) = 2100 THEN 90.0
+             WHEN floor(date_diff('microsecond', c.dob, a.admittime) / 86400000000) / 365.25 BETWEEN 0 AND 120
+             THEN floor(date_diff('microsecond', c.dob, a.admittime) / 86400000000) / 365.25 END, 6) AS approx_age,
+       coalesce(a.admittime <= c.dod AND c.dod <= a.dischtime AND year(c.dod) <> 2100, false) AS in_hospital_mortality,
+       d.codes, d.diagnosis_count, d.has_mental_health, d.has_chronic_pain,
        d.has_mental_health AND d.has_chronic_pain AS co_occurrence,
        CAST(CASE WHEN d.has_mental_health AND d.has_chronic_pain THEN 2 WHEN d.has_chronic_pain THEN 1
             WHEN d.has_mental_health THEN 0 ELSE -1 END AS INTEGER) AS label,
@@ -65,7 +77,8 @@ FROM diag d
 LEFT JOIN adm a ON d.subject_id = a.subject_id AND d.hadm_id = a.hadm_id
 LEFT JOIN rx r ON d.subject_id = r.subject_id AND d.hadm_id = r.hadm_id
 LEFT JOIN tr t ON d.subject_id = t.subject_id AND d.hadm_id = t.hadm_id
-LEFT JOIN customer c ON d.subject_id = c.c_custkey
+LEFT JOIN sv s ON d.subject_id = s.subject_id AND d.hadm_id = s.hadm_id
+LEFT JOIN pat c ON d.subject_id = c.c_custkey
 WHERE {label_filter}
 """
 
@@ -88,13 +101,13 @@ _BINARY = _MULTI.replace(
 @query("cohort_features", _MULTI, "pipeline")
 def cohort_features(spark, sf):
     return driver_cohort(t(spark, sf, "orders"), t(spark, sf, "lineitem"), t(spark, sf, "part"),
-                         t(spark, sf, "customer"))
+                         t(spark, sf, "customer")).withColumn("approx_age", F.round("approx_age", 6))
 
 
 @query("cohort_features_binary", _BINARY, "pipeline")
 def cohort_features_binary(spark, sf):
     return driver_cohort(t(spark, sf, "orders"), t(spark, sf, "lineitem"), t(spark, sf, "part"),
-                         t(spark, sf, "customer"), binary=True)
+                         t(spark, sf, "customer"), binary=True).withColumn("approx_age", F.round("approx_age", 6))
 
 
 __all__ = ["F"]
