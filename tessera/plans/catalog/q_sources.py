@@ -41,17 +41,30 @@ def q_scan_csv(spark, sf):
                       r6("c_acctbal").alias("c_acctbal"))
 
 
+@query("scan_csv_quoted", """
+SELECT doc_id, text, lang FROM documents""", "source")
+def q_scan_csv_quoted(spark, sf):
+    """Line breaks, commas and quotes inside fields come back as written."""
+    path = scratch_path(spark, "documents-csv")
+    d = t(spark, sf, "documents").select("doc_id", "text", "lang")
+    d.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return IO.scan_csv(spark, path, "doc_id bigint, text string, lang string")
+
+
 @query("scan_csv_tolerant", """
-SELECT n_nationkey, n_name, n_regionkey FROM nation""", "source")
+SELECT n_nationkey, n_name, n_regionkey FROM nation
+UNION ALL SELECT NULL, r_name, r_regionkey FROM region
+UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region""", "source")
 def q_scan_csv_tolerant(spark, sf):
     path = scratch_path(spark, "nation-csv")
-    good = t(spark, sf, "nation").select(*[F.col(c).cast("string") for c in
-                                           ("n_nationkey", "n_name", "n_regionkey")])
-    # one broken line per region: a key that is not a number
-    bad = t(spark, sf, "region").select(F.concat(F.lit("x"), "r_name").alias("n_nationkey"),
-                                        F.col("r_name").alias("n_name"),
-                                        F.col("r_regionkey").cast("string").alias("n_regionkey"))
-    good.unionByName(bad).write.option("header", True).csv(path)
+    n, r = t(spark, sf, "nation"), t(spark, sf, "region")
+    line = lambda k, df, *c: df.select(F.lit(k).alias("k"), F.concat_ws(",", *c).alias("value"))
+    lines = (line(1, n, "n_nationkey", "n_name", "n_regionkey")
+             .unionByName(line(1, r, F.concat(F.lit("x"), "r_name"), "r_name", "r_regionkey"))  # no number: null
+             .unionByName(line(1, r, F.col("r_regionkey") + 100, "r_name"))  # a field short
+             .unionByName(line(1, r, "r_regionkey", "r_name", "r_regionkey", "r_name")))  # a field too many
+    header = spark.createDataFrame([(0, "\ufeffN_NATIONKEY,N_NAME,N_REGIONKEY")], "k int, value string")
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
     return IO.scan_csv_tolerant(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 

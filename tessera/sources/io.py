@@ -71,6 +71,18 @@ SYNTHEA_FOREIGN_KEYS = {
     ("encounters", "provider"): ("providers", "id"),
     ("conditions", "patient"): ("patients", "id"),
     ("conditions", "encounter"): ("encounters", "id"),
+    ("procedures", "patient"): ("patients", "id"),
+    ("procedures", "encounter"): ("encounters", "id"),
+    ("medications", "patient"): ("patients", "id"),
+    ("medications", "encounter"): ("encounters", "id"),
+    ("immunizations", "patient"): ("patients", "id"),
+    ("immunizations", "encounter"): ("encounters", "id"),
+    ("observations", "patient"): ("patients", "id"),
+    ("observations", "encounter"): ("encounters", "id"),
+    ("careplans", "patient"): ("patients", "id"),
+    ("careplans", "encounter"): ("encounters", "id"),
+    ("allergies", "patient"): ("patients", "id"),
+    ("allergies", "encounter"): ("encounters", "id"),
 }
 
 
@@ -90,17 +102,27 @@ def _lower_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lstrip(BOM).strip().lower() for c in df.columns])
 
 
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    """Quotes inside quoted fields are doubled (RFC 4180)."""
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line))
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             cols: Sequence[str] | None = None) -> DataFrame:
+             cols: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; names lower-cased, optional column subset.
 
-    With a ``schema`` the reader does no inference pass and the header only
-    names the columns (``enforceSchema``); the ``select`` after the scan is
-    pushed into the reader, so unneeded CSV columns are never converted.
+    Quoted fields may hold line breaks and doubled quotes.  Files without line
+    breaks inside fields can be read with ``multi_line=False``, which lets Spark
+    split a large file over many tasks.
+
+    With a ``schema`` there is no inference pass; its names must be the header's
+    (in any case, in order), else the read fails.  The ``select`` after the scan
+    is pushed into the reader, so unneeded CSV columns are never converted.
     """
-    r = spark.read.option("header", True)
+    r = _csv_reader(spark, multi_line)
     if schema is not None:
-        df = r.schema(schema).csv(path)
+        df = r.option("enforceSchema", False).schema(schema).csv(path)
     else:
         df = r.option("inferSchema", False).csv(path)
     df = _lower_header(df)
@@ -109,11 +131,30 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def scan_csv_tolerant(spark: SparkSession, path: str,
                       schema: T.StructType | str | None = None) -> DataFrame:
-    """Like :func:`scan_csv`, but lines that do not parse against ``schema``
-    are dropped and a UTF-8 byte-order mark on the header is removed."""
-    r = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
-    return _lower_header(df)
+    """Like :func:`scan_csv`, but lines with too many fields are skipped and a
+    UTF-8 byte-order mark on the header is removed.
+
+    Shorter lines are filled with nulls and values that do not parse become
+    null.  Which lines are skipped does not depend on the columns selected
+    afterwards: every line is read as text, judged by its field count, and only
+    then cast.  (A surplus field that is empty cannot be told from a line end.)
+    """
+    r = _csv_reader(spark, False).option("columnPruning", False).option("mode", "PERMISSIVE")
+    if schema is None:
+        names = _lower_header(_csv_reader(spark, False).csv(path)).columns
+        types = {n: T.StringType() for n in names}
+    else:
+        parsed = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        types = {f.name.lower(): f.dataType for f in parsed.fields}
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*types, "_line"]])
+    df = r.schema(text).option("columnNameOfCorruptRecord", "_line").csv(path)
+    wider = ", ".join(f"f{i} string" for i in range(len(types) + 1))
+    surplus = F.from_csv("_line", wider, {"quote": '"', "escape": '"'})[f"f{len(types)}"]
+    # Spark refuses queries that read the raw line alone (a count), so the
+    # condition also reads the first column
+    first = F.length(F.coalesce(F.col(next(iter(types))), F.lit(""))) >= 0
+    kept = df.where((F.col("_line").isNull() | surplus.isNull()) & first)
+    return kept.select(*[F.col(n).try_cast(k).alias(n) for n, k in types.items()])
 
 
 def scan_parquet(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -148,12 +189,12 @@ def scan_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
 
 def ingest_csv_tables(spark: SparkSession, src: str, dst: str,
                       schemas: Mapping[str, T.StructType | str],
-                      order: Sequence[str] | None = None) -> dict[str, str]:
+                      order: Sequence[str] | None = None, multi_line: bool = True) -> dict[str, str]:
     """Load ``{src}/{table}.csv`` with explicit schemas and store each table as
     Parquet under ``{dst}/{table}``, parents first; returns table -> path."""
     out = {}
     for name in (order or list(schemas)):
-        df = scan_csv(spark, f"{src.rstrip('/')}/{name}.csv", schemas[name])
+        df = scan_csv(spark, f"{src.rstrip('/')}/{name}.csv", schemas[name], multi_line=multi_line)
         p = f"{dst.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(p)
         out[name] = p
@@ -199,8 +240,9 @@ def write_features(df: DataFrame, path: str, cols: Sequence[str], fmt: str = "pa
 
 
 def run_summary(df: DataFrame, label: str) -> DataFrame:
-    """One row: ``n_rows`` and a ``class_counts`` map, computed in one pass."""
-    per = df.groupBy(F.col(label).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("v"))
+    """One row: ``n_rows`` and a ``class_counts`` map, computed in one pass; rows
+    without a label are counted as class ``null``."""
+    per = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("k")).agg(F.count(F.lit(1)).alias("v"))
     return per.agg(F.sum("v").alias("n_rows"),
                    F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))
                    .alias("class_counts"))
