@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_code
 from ..plans.ordered import ordered_scan
+from ..session import SMALL_SIDE_MAX, broadcast_if_small, cut_lineage
 
 
 def prefix_table(spark, codes: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -17,24 +18,18 @@ def prefix_table(spark, codes: Mapping[str, Sequence[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "category string, prefix string")
 
 
-# Prefix catalogues up to this many rows are broadcast (checked with a count).
-PREFIX_BROADCAST_MAX = 2_000_000
-
-
 def code_category_flags(df: DataFrame, keys: Sequence[str], code: str,
                         prefixes: DataFrame, categories: Sequence[str] | None = None,
-                        max_prefix_len: int | None = None,
-                        broadcast_max: int = PREFIX_BROADCAST_MAX) -> DataFrame:
+                        max_prefix_len: int | None = None) -> DataFrame:
     """One boolean column per category: any code of the entity starts with
     one of the category's prefixes.
 
-    Every code is expanded into its own prefixes (``1``, ``12``, ``123`` ...
-    up to the longest listed prefix) and equi-joined to the prefix table, so
-    the match is a hash join rather than a nested-loop ``startswith`` join,
-    whatever the size of the prefix table (broadcast while within
-    ``broadcast_max`` rows).  One ``groupBy`` then ORs the matches per entity:
-    a single shuffle, combined map-side, and entities without any code or
-    match still get their all-false row.
+    Only the *distinct* codes are expanded into their own prefixes (``1``,
+    ``12``, ``123`` ... up to the longest listed prefix) and equi-joined to the
+    prefix table, never matched in a nested loop.  The resulting code table, one
+    row of flags per distinct code, is joined back to the rows (broadcast when an
+    exact count shows it small), and one ``groupBy``, combined map-side, ORs the
+    flags per entity.  Entities without any match get their all-false row.
     """
     keys = list(keys)
     if categories is None:
@@ -42,18 +37,16 @@ def code_category_flags(df: DataFrame, keys: Sequence[str], code: str,
                       .orderBy("category").collect()]
     if max_prefix_len is None:
         max_prefix_len = prefixes.agg(F.max(F.length("prefix"))).collect()[0][0] or 1
-    norm = normalize_code(code)
+    rows = df.select(*keys, normalize_code(code).alias("_c"))
     n_chars = F.least(F.length("_c"), F.lit(max_prefix_len))
-    own_prefixes = F.when(F.length("_c") > 0, F.transform(F.sequence(F.lit(1), n_chars),
-                                                           lambda i: F.substring("_c", 1, i)))
-    expanded = df.select(*keys, norm.alias("_c")).select(
-        *keys, F.explode_outer(own_prefixes).alias("prefix"))
-    cat = prefixes.select("prefix", "category")
-    side = F.broadcast(cat) if cat.count() <= broadcast_max else cat
-    hits = expanded.join(side, "prefix", "left")
-    return hits.groupBy(*keys).agg(*[
-        F.coalesce(F.bool_or(F.col("category") == F.lit(c)), F.lit(False)).alias(c)
-        for c in categories])
+    own_prefixes = F.transform(F.sequence(F.lit(1), n_chars), lambda i: F.substring("_c", 1, i))
+    codes = rows.select("_c").where(F.length("_c") > 0).distinct()
+    hits = codes.select("_c", F.explode(own_prefixes).alias("prefix")).join(
+        prefixes.select("prefix", "category"), "prefix")
+    flag = lambda c: F.bool_or(F.col("category") == F.lit(c)).alias(f"_f{categories.index(c)}")
+    table = cut_lineage(hits.groupBy("_c").agg(*[flag(c) for c in categories]))
+    return rows.join(broadcast_if_small(table), "_c", "left").groupBy(*keys).agg(*[
+        F.coalesce(F.bool_or(f"_f{i}"), F.lit(False)).alias(c) for i, c in enumerate(categories)])
 
 
 def label_membership(df: DataFrame, id_col: str, hits: DataFrame, hit_id: str,
@@ -63,31 +56,20 @@ def label_membership(df: DataFrame, id_col: str, hits: DataFrame, hit_id: str,
     return df.join(h, id_col, "left").withColumn(out, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
-# Category domains up to this many distinct values are ranked in one small
-# aggregate and broadcast to the rows (size checked by an exact count first);
-# larger domains are ranked with the skew-proof ordered scan.
-CATEGORY_BROADCAST_MAX = 1_000_000
-
-
 def category_codes(df: DataFrame, col: str, null_token: str | None = None,
-                   code: str = "code", broadcast_max: int = CATEGORY_BROADCAST_MAX) -> DataFrame:
+                   code: str = "code", broadcast_max: int = SMALL_SIDE_MAX) -> DataFrame:
     """Distinct values of ``col`` with their 0-based sorted position.
 
-    A domain within ``broadcast_max`` values is sorted as one array (its size
-    is checked first) and returned marked for broadcast; a larger one is
-    ranked with the ordered scan, so even a high-cardinality column never
-    sorts in one task.
+    The distinct values are ranked by the ordered scan, so even a
+    high-cardinality column never sorts in one task.  The table is marked for
+    broadcast when it holds at most ``broadcast_max`` values.
     """
     v = F.col(col) if null_token is None else F.coalesce(F.col(col).cast("string"),
                                                          F.lit(null_token))
     distinct = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    if distinct.count() <= broadcast_max:
-        ranked = distinct.agg(F.array_sort(F.collect_list("_v")).alias("_a")).select(
-            F.posexplode("_a").alias("_p", "_v"))
-        return F.broadcast(ranked.select(F.col("_v").alias(col), F.col("_p").cast("int")
-                                         .alias(code)))
-    ranked = ordered_scan(distinct, ["_v"])
-    return ranked.select(F.col("_v").alias(col), (F.col("_rn") - 1).cast("int").alias(code))
+    ranked = cut_lineage(ordered_scan(distinct, ["_v"]))
+    codes = ranked.select(F.col("_v").alias(col), (F.col("_rn") - 1).cast("int").alias(code))
+    return broadcast_if_small(codes, broadcast_max)
 
 
 def encode_category(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

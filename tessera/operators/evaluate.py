@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered_scan
+from ..session import cut_lineage
 
 
 def _domain(spark, classes: Sequence[int], name: str):
@@ -86,7 +87,7 @@ def roc_curve(df: DataFrame, y: str, score: str, cls: int,
     with their neighbours, as the usual ROC implementations do.
     """
     pos = F.col(y).cast("int") == F.lit(int(cls))
-    counts = _score_counts(df.where(F.col(score).isNotNull()), y, score, pos)
+    counts = cut_lineage(_score_counts(df.where(F.col(score).isNotNull()), y, score, pos))
     scanned = ordered_scan(counts, [("score", False)], sums=["pos", "neg"])
     tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     tot_s = tot.select(F.struct("P", "N")).scalar()
@@ -132,10 +133,11 @@ def roc_auc(df: DataFrame, y: str, probs: str, classes: Sequence[int]) -> DataFr
     long = long.withColumn("class", F.element_at(cls_arr, F.col("_i") + 1)).where(
         F.col("_i") < len(idx))
     pos = F.col("_y") == F.col("class")
-    counts = long.groupBy("class", "score").agg(
-        F.count_if(pos).cast("double").alias("pos"), F.count_if(~pos).cast("double").alias("neg"))
-    per = _auc_from_counts(counts, ["class"]).select(
-        F.col("class").cast("string").alias("average"), "auc")
+    # read by the range sampling, the scan and the micro row
+    counts = cut_lineage(long.groupBy("class", "score").agg(
+        F.count_if(pos).cast("double").alias("pos"), F.count_if(~pos).cast("double").alias("neg")))
+    per = cut_lineage(_auc_from_counts(counts, ["class"]).select(
+        F.col("class").cast("string").alias("average"), "auc"))  # one row per class
     micro_counts = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     micro = _auc_from_counts(micro_counts, []).select(F.lit("micro").alias("average"), "auc")
     macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("average"), "auc")

@@ -92,27 +92,19 @@ def join_pairwise_models(df: DataFrame, run: str, model: str, value: str,
                          models: Sequence[str] | None = None) -> DataFrame:
     """Paired values of every unordered model pair, matched by run.
 
-    Instead of a self-join on ``run`` we pivot once to ``run x model`` (one
-    row per run, map-side combined) and emit the pair columns from the model
-    catalogue, so the work is linear in runs x pairs and no join is needed.
+    An equi-join on ``run`` of the (run, model) table with itself: each
+    (run, model) is reduced to one value first (the smallest, if it repeats), so
+    the join is as wide as its output.
     Output: run, model_1, model_2, value_1, value_2 (both values present).
     """
-    if models is None:
-        models = [r[0] for r in df.select(model).distinct().orderBy(model).collect()]
-    models = sorted(models)
-    wide = (df.groupBy(run).pivot(model, models)
-            .agg(F.first(F.col(value), ignorenulls=True)))
-    pairs = []
-    for i, a in enumerate(models):
-        for b in models[i + 1:]:
-            pairs.append(F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2"),
-                                  F.col(f"`{a}`").cast("double").alias("value_1"),
-                                  F.col(f"`{b}`").cast("double").alias("value_2")))
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], f"{run} long, model_1 string, model_2 string, value_1 double, value_2 double")
-    out = wide.select(run, F.explode(F.array(*pairs)).alias("_p")).select(run, "_p.*")
-    return out.where(F.col("value_1").isNotNull() & F.col("value_2").isNotNull())
+    one = df.where(F.col(model).isNotNull() & F.col(value).isNotNull())
+    if models is not None:
+        one = one.where(F.col(model).isin(list(models)))
+    one = one.groupBy(run, model).agg(F.min(F.col(value).cast("double")).alias("_v"))
+    a = one.select(run, F.col(model).alias("model_1"), F.col("_v").alias("value_1"))
+    b = one.select(run, F.col(model).alias("model_2"), F.col("_v").alias("value_2"))
+    return a.join(b, run).where(F.col("model_1") < F.col("model_2")).select(
+        run, "model_1", "model_2", "value_1", "value_2")
 
 
 def join_wide_features(dfs: Sequence[DataFrame], keys, how: str = "left") -> DataFrame:

@@ -104,16 +104,23 @@ def build_vocabulary(df: DataFrame, text: str, min_count: int = 1,
 def tokenize_pad(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame,
                  max_len: int = 256, unknown_id: int = 1) -> DataFrame:
     """Token ids of the first ``max_len`` tokens, right-padded with 0, and an
-    attention mask.  Only the kept tokens are exploded and joined, and at most
+    attention mask; one row per input row, also where ``keys`` repeat.
+
+    Each row sends its distinct kept tokens, with all their positions, to the
+    vocabulary join, so a word repeated in a text is one row of the join; at most
     ``max_len`` ids are gathered per row."""
     keys = list(keys)
-    ex = df.select(*keys, F.posexplode(F.slice(tokens(text), 1, max_len)).alias("pos", "token"))
-    ids = ex.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown_id)))
-    per = ids.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda e: e["id"])
-        .alias("_ids"))
-    out = df.select(*keys).join(per, keys, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    kept = F.coalesce(F.slice(tokens(text), 1, max_len), F.array().cast("array<string>"))
+    rows = df.select(*keys, kept.alias("_kept"), F.monotonically_increasing_id().alias("_row"))
+    # an empty token without positions keeps the rows that have no token
+    placed = F.transform(F.array_distinct("_kept"), lambda w: F.struct(w.alias("token"), F.filter(
+        F.transform("_kept", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("at")))
+    none = F.array(F.struct(F.lit("").alias("token"), F.array().cast("array<int>").alias("at")))
+    words = rows.select(*keys, "_row", F.explode(F.concat(none, placed)).alias("_w")).select(*keys, "_row", "_w.*")
+    ids = words.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown_id)))
+    pairs = F.transform("at", lambda i: F.struct(i.alias("pos"), F.col("id").alias("id")))
+    out = ids.groupBy("_row", *keys).agg(F.transform(F.array_sort(F.flatten(F.collect_list(pairs))),
+                                                     lambda e: e["id"]).alias("_ids"))
     k = F.size("_ids")
     return out.select(
         *keys,
@@ -131,6 +138,7 @@ def _tokens_col(df: DataFrame, text: str, out: str = "_tok") -> DataFrame:
 def count_vectorize(df: DataFrame, text: str, min_df: float = 10, max_df: float = 0.95,
                     stop_words: Sequence[str] | None = None, out: str = "counts"):
     """Token counts with document-frequency bounds and stop words removed.
+    Every term within the bounds is kept: the vocabulary has no other limit.
     Returns (transformed DataFrame, fitted model)."""
     from pyspark.ml.feature import CountVectorizer, StopWordsRemover
     d = _tokens_col(df, text)
@@ -138,7 +146,8 @@ def count_vectorize(df: DataFrame, text: str, min_df: float = 10, max_df: float
                           stopWords=list(stop_words) if stop_words is not None
                           else StopWordsRemover.loadDefaultStopWords("english"))
     d = sw.transform(d)
-    cv = CountVectorizer(inputCol="_tok_sw", outputCol=out, minDF=float(min_df), maxDF=float(max_df))
+    cv = CountVectorizer(inputCol="_tok_sw", outputCol=out, minDF=float(min_df), maxDF=float(max_df),
+                         vocabSize=2 ** 31 - 1)
     model = cv.fit(d)
     return model.transform(d).drop("_tok", "_tok_sw"), model
 

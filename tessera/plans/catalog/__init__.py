@@ -44,7 +44,6 @@ def load_all() -> dict[str, Query]:
         q_pipelines,
         q_scalars,
         q_seq,
-        q_sets,
         q_sources,
         q_stats,
         q_text,

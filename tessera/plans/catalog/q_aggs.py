@@ -105,9 +105,9 @@ def q_agg_notes(spark, sf):
 
 
 @query("agg_concat_text", """
-SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY source""", "agg")
+SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id""", "agg")
 def q_agg_concat_text(spark, sf):
-    return G.agg_concat_text(t(spark, sf, "documents"), ["source"], "text", ["doc_id"])
+    return G.agg_concat_text(t(spark, sf, "conversations"), ["conv_id"], "text", ["turn", "role"])
 
 
 @query("agg_max_label", """

@@ -120,9 +120,9 @@ def _patient_sql() -> str:
         f"avg(value) FILTER (WHERE lower(regexp_replace(event_type, '[^0-9a-zA-Z]+', '_', 'g')) = '{m}') AS {m}"
         for m in DRIVER_MEASURES)
     meds = ", ".join(f"(SELECT quantile_cont({c}, 0.5) FROM j) AS med_{c}"
-                     for c in ["age", "healthcare_expenses", *DRIVER_MEASURES])
+                     for c in ["age", "healthcare_expenses", "healthcare_coverage", *DRIVER_MEASURES])
     fills = ", ".join(f"round(coalesce(CAST(j.{c} AS DOUBLE), m.med_{c}), 6) AS {c}"
-                      for c in ["age", "healthcare_expenses", *DRIVER_MEASURES])
+                      for c in ["age", "healthcare_expenses", "healthcare_coverage", *DRIVER_MEASURES])
     return f"""
 WITH items AS (SELECT o.o_custkey, o.o_orderdate, l.l_shipdate, l.l_partkey, p.p_name, p.p_type
                FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -146,6 +146,7 @@ obs AS (SELECT user_id AS patient, {obs} FROM events GROUP BY 1),
 fo AS (SELECT o_custkey AS id, min(o_orderdate) AS birthdate FROM orders GROUP BY 1),
 base AS (SELECT c.c_custkey AS id, c.c_mktsegment AS race, n.n_name AS ethnicity,
                 CAST(c.c_acctbal AS DOUBLE) AS healthcare_expenses,
+                CASE WHEN c.c_custkey % 9 <> 0 THEN c.c_nationkey * 125.5::double END AS healthcare_coverage,
                 CAST(floor(floor(date_diff('microsecond', fo.birthdate, TIMESTAMP '2025-01-01 00:00:00')
                                  / 86400000000) / 365) AS BIGINT) AS age,
                 CAST(coalesce(c.c_mktsegment = 'HOUSEHOLD', false) AS INTEGER) AS is_female
@@ -177,5 +178,5 @@ def patient_features(spark, sf):
     out = driver_patient_features(t(spark, sf, "customer"), t(spark, sf, "nation"),
                                   t(spark, sf, "orders"), t(spark, sf, "lineitem"),
                                   t(spark, sf, "part"), t(spark, sf, "events"))
-    dbl = ["age", "healthcare_expenses", "avg_condition_duration", *DRIVER_MEASURES]
+    dbl = ["age", "healthcare_expenses", "healthcare_coverage", "avg_condition_duration", *DRIVER_MEASURES]
     return out.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in out.columns])

@@ -45,7 +45,8 @@ def patient_features(patients: DataFrame, conditions: DataFrame, medications: Da
                      encounters: DataFrame, procedures: DataFrame, observations: DataFrame,
                      spec: PatientSpec | None = None) -> DataFrame:
     """Inputs (column names):
-    patients(id, birthdate, gender, race, ethnicity, healthcare_expenses),
+    patients(id, birthdate, gender, race, ethnicity, healthcare_expenses,
+    healthcare_coverage),
     conditions(patient, description, start, stop), medications(patient, description),
     encounters(patient), procedures(patient, description),
     observations(patient, description, value)."""
@@ -74,6 +75,7 @@ def patient_features(patients: DataFrame, conditions: DataFrame, medications: Da
 
     base = patients.select(
         "id", "race", "ethnicity", F.col("healthcare_expenses").cast("double"),
+        F.col("healthcare_coverage").cast("double"),
         D.age_as_of("birthdate", F.lit(s.as_of).cast("timestamp_ntz")).alias("age"),
         (F.col("gender") == F.lit(s.female_value)).cast("int").alias("is_female"))
     out = (base.join(hits, "id", "left").join(cond_f, "id", "left").join(med_f, "id", "left")
@@ -87,7 +89,7 @@ def patient_features(patients: DataFrame, conditions: DataFrame, medications: Da
     # joins run once and the result is kept in the checkpoint folder.
     out = cut_lineage(out)
     out = encode_labels_all(out, exclude=["id"])
-    return fill_median(out, ["age", "healthcare_expenses", *s.measures])
+    return fill_median(out, ["age", "healthcare_expenses", "healthcare_coverage", *s.measures])
 
 
 # -- driver-table adapter ----------------------------------------------------------
@@ -108,6 +110,8 @@ def driver_patient_features(customer, nation, orders, lineitem, part, events) ->
                 .select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("race"),
                         F.col("n_name").alias("ethnicity"),
                         F.col("c_acctbal").alias("healthcare_expenses"),
+                        F.when(F.col("c_custkey") % 9 != 0, F.col("c_nationkey") * 125.5)
+                        .alias("healthcare_coverage"),
                         F.when(F.col("c_mktsegment") == "HOUSEHOLD", "F").otherwise("M")
                         .alias("gender"))
                 .join(first_order, "id", "left"))
