@@ -17,9 +17,7 @@ from tests.conftest import SF_SMALL
 SQL = E.oracle_sql()
 QUERIES = E.queries()
 
-# Model fits are slow at any scale; a few representative ones are run rows-only.
-ROWS_ONLY = ["standardize_sequence", "pca_2", "kmeans_5", "fit_logreg", "fit_naive_bayes",
-             "batch_embed", "count_vectorize", "coef_table"]
+CLASSIFIERS = ["fit_logreg", "fit_random_forest", "fit_boosted_trees", "fit_mlp", "fit_svm", "fit_naive_bayes"]
 
 
 def _norm(v):
@@ -58,11 +56,64 @@ def test_query_matches_oracle(spark, duck, name):
     assert _canon(scols, srows) == _canon(dcols, drows)
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_queries_run(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+def _rows(spark, name):
+    return QUERIES[name](spark, SF_SMALL).collect()
+
+
+def _n(spark, table):
+    return spark.read.parquet(f"{SF_SMALL}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", CLASSIFIERS)
+def test_classifiers_give_probabilities(spark, name):
+    rows = _rows(spark, name)
+    assert len({r["id"] for r in rows}) == len(rows) == _n(spark, "embeddings")
+    assert all(r["pred"] in (0, 1, 2) and 1 / 3 - 1e-6 <= r["p_max"] <= 1 for r in rows)
+
+
+def test_calibrated_probabilities_sum_to_one(spark):
+    rows = _rows(spark, "calibrate_platt")
+    assert {r["fold"] for r in rows} == {0, 1, 2}
+    assert all(abs(r["p0"] + r["p1"] + r["p2"] - 1) < 1e-5 and min(r["p0"], r["p1"], r["p2"]) >= 0 for r in rows)
+
+
+def test_meta_learner_scores_are_complete(spark):
+    rows = _rows(spark, "select_meta_learner")
+    assert sorted((r["model"], r["fold"]) for r in rows) == [(m, f) for m in ("logreg", "naive_bayes") for f in range(5)]
+    mean = {m: sum(r["macro_f1"] for r in rows if r["model"] == m) / 5 for m in ("logreg", "naive_bayes")}
+    assert all(abs(r["mean_f1"] - mean[r["model"]]) < 1e-5 for r in rows)
+    assert {r["model"] for r in rows if r["selected"]} == {max(mean, key=lambda m: (mean[m], m))}
+
+
+def test_projections_and_clusters(spark):
+    rows = _rows(spark, "pca_2")
+    v1, v2 = (sum(r[c] ** 2 for r in rows) for c in ("pca_1", "pca_2"))
+    cross = sum(r["pca_1"] * r["pca_2"] for r in rows)
+    assert len(rows) == _n(spark, "embeddings") and v1 >= v2 > 0 and abs(cross) < 1e-3 * v1
+    clusters = _rows(spark, "kmeans_5")
+    assert {r["note_cluster"] for r in clusters} == set(range(5))
+
+
+def test_failed_seeds_are_reported(spark):
+    from tessera.operators import models as M
+
+    def step(seed):
+        if seed == 2:
+            raise ValueError("no luck")
+        return spark.createDataFrame([(seed, 0.5)], "seed int, accuracy double")
+
+    rows = M.multi_seed_runs(step, [1, 2, 3]).orderBy("run").collect()
+    assert [(r["run"], r["status"], r["seed"]) for r in rows] == [(1, "ok", 1), (2, "failed", None), (3, "ok", 3)]
+    assert "no luck" in rows[1]["error"]
+    with pytest.raises(ValueError):
+        M.multi_seed_runs(step, [2])
+
+
+@pytest.mark.parametrize("name", ["standardize_sequence", "batch_embed", "count_vectorize", "tfidf_ngrams", "lda_topics",
+                                  "coef_table", "run_params_metrics", "stack_cv", "model_card", "fit_logreg_tabular"])
+def test_other_rows_only_queries(spark, name):
+    rows = _rows(spark, name)
+    assert rows and len(set(map(str, rows))) == len(rows)
 
 
 def test_entry_smoke(spark):
