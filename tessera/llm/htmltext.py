@@ -8,8 +8,8 @@ smoothed with a Gaussian over neighbouring lines; lines above the standard
 deviation of the smoothed ratios (the threshold) form the content cluster.
 
 The content regions are the containers (article, main, section, division, list,
-table cell ...) that hold a line of the cluster, and containers inside those
-which are not mostly links.  If an article or main element is among them, regions
+table cell ...) that hold a line of the cluster, and containers inside those;
+containers that are mostly links are never content.  If an article or main element is among them, regions
 outside such elements are left out.  Every line of a region is kept, so a short
 paragraph of an article is never lost.
 
@@ -184,12 +184,13 @@ def extract(html: str | None) -> str:
     ratios = smooth([0.0 if r.boilerplate else len(t) / max(1, n) for t, n, r in lines])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
-    own = [x for x, (_, _, r) in zip(ratios, lines) if not r.boilerplate]
+    plain = [not r.boilerplate and r.link_chars <= LINK_SHARE * r.chars for _, _, r in lines]
+    own = [x for x, p in zip(ratios, plain) if p]
     if not own:
         return ""
     threshold = min(threshold, max(own))
-    for x, (_, _, r) in zip(ratios, lines):
-        if x >= threshold and not r.boilerplate:
+    for x, p, (_, _, r) in zip(ratios, plain, lines):
+        if x >= threshold and p:
             r.content = True
     for r in page.regions:  # parents come before the regions inside them
         if not r.content and r.parent is not None and r.parent.content and not r.boilerplate:
