@@ -7,16 +7,18 @@ if every pair of every bucket had been verified.
 
 * Small buckets (at most ``SMALL`` members) have all their pairs verified: at
   most ``(SMALL - 1) / 2`` pairs per membership.
-* In larger buckets each round picks one pivot and verifies it against the
-  members of other components only.  A few rounds join nearly all of a group of
-  copies, at one pair per membership and round.
-* What is then still split is finished exactly: every member outside its
-  bucket's largest component is verified against the members of other
-  components.
+* In larger buckets ``PIVOTS`` members, those with the smallest seeded hashes,
+  are verified against all others: ``PIVOTS`` pairs per membership at most, and
+  fewer where the same copies share many buckets.  This joins nearly all of a
+  group of copies.
+* Buckets that still hold several components are finished exactly: every member
+  outside its bucket's largest component is verified against the members of other
+  components, except pairs that the caller's bound rules out and that the caller
+  does not name otherwise.
 
 Vertices are ``binary`` or ``long`` values of any kind that sorts.  Components
 come from alternating large-star and small-star steps over checkpointed edge
-tables, so nothing of the graph reaches the driver but counts.
+tables, so nothing of the graph reaches the driver but emptiness tests.
 """
 
 from __future__ import annotations
@@ -29,11 +31,17 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 SMALL = 8
-PIVOT_ROUNDS = 3
+PIVOTS = 3
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is itself a u."""
+    return (edges.groupBy("u").count().where("count > 1").isEmpty()
+            and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` edges to ``(v, c)``: each vertex of an edge and the smallest
     vertex of its component.  Self loops are harmless; nulls are not allowed.
@@ -43,66 +51,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
     form stars.  Only aggregates and equi-joins are used."""
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u != v").distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("v"), F.col("v").alias("c"))
-    signature = None
-    while True:
+    while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         e = cut_lineage(small)
-        # a star forest is a fixed point: every u has one v, and no v is a u
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if signature == (now["n"], now["h"]):
-            break
-        signature = (now["n"], now["h"])
     return (e.select(F.col("u").alias("v"), F.col("v").alias("c"))
             .unionByName(e.select("v", F.col("v").alias("c")).distinct()))
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, "bucket")
-
-
-def link_components(members: DataFrame, verify: Verify, small: int = SMALL,
-                    rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivots: int = PIVOTS,
+                    outline: Verify | None = None, possible: Callable | None = None,
+                    named: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``members`` (bucket, v), distinct; ``verify`` takes distinct pairs ``(a, b)``
     with a < b and returns those that are linked.  Returns (v, c) for every vertex
-    that has a link; c is the smallest vertex of its component."""
+    that has a link; c is the smallest vertex of its component.
+
+    For the exact finish, ``outline`` may describe vertices ``(v)`` by a struct
+    column ``o`` (taking the given vertices as all there are), ``possible`` tell
+    from two such structs that a pair cannot be ruled out, and ``named`` list pairs
+    ``(a, b)`` of two sets of vertices that are to be verified in any case."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     m = cut_lineage(members.join(sizes, "bucket"))
     few = m.where(F.col("n") <= small).select("bucket", "v")
     many = m.where(F.col("n") > small).select("bucket", "v")
-    pairs = _pairs(few.withColumnRenamed("v", "a"), few.withColumnRenamed("v", "b")).where("a < b")
-    edges = cut_lineage(verify(pairs.select("a", "b").distinct()))
-    comp = cut_lineage(connected_components(edges))
-    if many.isEmpty():
+    hashes = [F.xxhash64("v", F.lit(r)) for r in range(pivots)]
+    chosen = many.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by("v", h) for h in hashes))).alias("p"))
+    stars = many.join(chosen, "bucket").select("v", F.explode("p").alias("p")).where("v != p")
+    pairs = (few.withColumnRenamed("v", "a").join(few.withColumnRenamed("v", "b"), "bucket").where("a < b").select("a", "b")
+             .unionByName(stars.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))))
+    comp = cut_lineage(connected_components(verify(pairs.distinct())))
+    own = many.join(comp, "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
+    by_comp = own.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    split = (by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("k", "c")).alias("major"))
+             .where("comps > 1").drop("comps"))
+    open_ = cut_lineage(own.join(split, "bucket"))
+    if open_.isEmpty():
         return comp
-    for r in range(rounds + 1):
-        own = many.join(comp, "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
-        split = (own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
-                                           F.min_by("v", F.xxhash64("v", F.lit(r))).alias("p"))
-                 .where("lo != hi").drop("lo", "hi"))
-        open_ = cut_lineage(own.join(split, "bucket"))
-        if open_.isEmpty():
-            break
-        if r < rounds:
-            pivots = open_.where("v = p").select("bucket", F.col("c").alias("pc"))
-            pairs = (open_.join(pivots, "bucket").where("c != pc")
-                     .select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")))
-        else:
-            by_comp = open_.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-            major = by_comp.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("major"))
-            rest = (open_.join(major, "bucket").where("c != major")
-                    .select("bucket", F.col("v").alias("x"), F.col("c").alias("xc")))
-            pairs = (_pairs(rest, open_.select("bucket", "v", "c")).where("c != xc")
-                     .select(F.least("v", "x").alias("a"), F.greatest("v", "x").alias("b")))
-        pairs = pairs.distinct()
-        found = verify(pairs)
-        stars = comp.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))
-        comp = cut_lineage(connected_components(stars.unionByName(found.select("a", "b"))))
-    return comp
+    outside = F.col("c") != F.col("major")
+    if outline is not None:
+        open_ = cut_lineage(open_.join(outline(open_.select("v").distinct()), "v"))
+    else:
+        open_ = open_.withColumn("o", F.lit(None))
+    rest = open_.where(outside).select("bucket", F.col("v").alias("x"), F.col("c").alias("xc"), F.col("o").alias("xo"))
+    # two members outside the largest component meet twice; keep one order
+    meet = (rest["bucket"] == open_["bucket"]) & (rest["xc"] != open_["c"]) & (
+        (open_["c"] == open_["major"]) | (rest["x"] < open_["v"]))
+    if possible is not None:
+        meet = meet & possible(rest["xo"], open_["o"])
+    left = rest.join(open_, meet).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
+    if named is not None:
+        left = left.unionByName(named(open_.where(outside).select("v").distinct(), open_.select("v").distinct()))
+    left = left.distinct()
+    stars = comp.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))
+    return cut_lineage(connected_components(stars.unionByName(verify(left).select("a", "b"))))

@@ -79,6 +79,6 @@ def test_connected_components_of_random_graphs(spark):
 def test_buckets_are_finished_exactly(spark):
     """Links v ~ v + 7 only: no pivot sees all of its bucket."""
     members = spark.createDataFrame([(b, v) for b in (1, 2) for v in range(b * 100, b * 100 + 40)], "bucket long, v long")
-    comp = link_components(members, lambda p: p.where("b - a = 7"), rounds=1)
+    comp = link_components(members, lambda p: p.where("b - a = 7"), pivots=1)
     got = {r.v: r.c for r in comp.collect()}
     assert got == {v: b * 100 + (v - b * 100) % 7 for b in (1, 2) for v in range(b * 100, b * 100 + 40)}
