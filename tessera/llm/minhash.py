@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -47,6 +47,7 @@ ROWS = 4
 BANDS = COORDS // ROWS
 SEED = 20_011
 VOCABULARY_CACHE = 400_000
+RARE = 8  # a shingle held by more of the open candidates counts as common
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -164,15 +165,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     size = classes.select("key", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        p = (pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-             .join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        p = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+             .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+             .withColumns({"na": F.size("sa"), "nb": F.size("sb")})
              .where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")))
-        p = (p.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-             .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b"))
         p = p.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return p.where(100 * F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    linked = link_components(members, verify)
+    def tokens(vertices: DataFrame) -> DataFrame:
+        return sets.join(vertices.withColumnRenamed("v", "key"), "key").select(
+            F.col("key").alias("v"), F.explode("shingles").alias("s"))
+
+    def outline(vertices: DataFrame) -> DataFrame:
+        """(v, o): set size and how many of the shingles are common, that is held by
+        more than ``RARE`` of the vertices."""
+        each = tokens(vertices)
+        common = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("s")
+        held = each.join(common, "s").groupBy("v").agg(F.count("*").alias("common"))
+        return vertices.join(size.withColumnRenamed("key", "v"), "v").join(held, "v", "left").select(
+            "v", F.struct("n", F.coalesce("common", F.lit(0)).alias("common")).alias("o"))
+
+    def possible(x: Column, y: Column) -> Column:
+        """Whether two sets can be similar enough by common shingles alone."""
+        most = F.least(x["common"], y["common"])
+        return 100 * most >= SIMILARITY * (x["n"] + y["n"] - most)
+
+    def named(rest: DataFrame, vertices: DataFrame) -> DataFrame:
+        """Pairs that share a rare shingle: at most ``RARE`` for each that is held."""
+        each = tokens(vertices)
+        rare = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df").between(2, RARE)).select("s")
+        each = each.join(rare, "s")
+        mine = each.join(rest, "v", "left_semi").select("s", F.col("v").alias("x"))
+        return (mine.join(each, "s").where("x != v")
+                .select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct())
+
+    linked = link_components(members, verify, outline=outline, possible=possible, named=named)
     grouped = classes.join(linked.select(F.col("v").alias("key"), "c"), "key", "left")
     ids = (grouped.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id")))
     named = (grouped.where("c is not null or copies > 1").join(ids, "c", "left")
