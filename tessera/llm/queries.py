@@ -31,7 +31,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_classes(_table(spark, sf_dir, "documents"))
+    return linededup.near_lines(_table(spark, sf_dir, "documents"))
 
 
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
