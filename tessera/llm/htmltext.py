@@ -7,11 +7,13 @@ word of ``class`` or ``id``) stay in the sequence with ratio 0.  The ratios are
 smoothed with a Gaussian over neighbouring lines; lines above the standard
 deviation of the smoothed ratios (the threshold) form the content cluster.
 
-The content regions are the containers (article, main, section, division, list,
-table cell ...) that hold a line of the cluster, and containers inside those;
-containers that are mostly links are never content.  If an article or main element is among them, regions
-outside such elements are left out.  Every line of a region is kept, so a short
-paragraph of an article is never lost.
+Lines belong to containers (article, main, section, division, list, table cell
+...).  If a container inside an article or main element holds a line of the
+cluster, the whole innermost such element is the content region, and regions
+outside such elements are left out; else the smallest container around all lines
+of the cluster is.  Every line of a region is kept, in containers at any depth, so
+a short paragraph, list or table of an article is not lost; only boilerplate and
+containers whose own text is mostly links are left out.
 
 Character references are decoded, white space inside a line becomes one space,
 and lines are joined by one space.  Row-local: there is no shuffle; memory is one
@@ -67,10 +69,10 @@ _WEIGHTS = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(-RADIUS, RADIUS + 1
 
 
 class _Region:
-    __slots__ = ("parent", "boilerplate", "article", "chars", "link_chars", "content")
+    __slots__ = ("parent", "boilerplate", "article", "top", "chars", "link_chars", "content")
 
-    def __init__(self, parent: "_Region | None", boilerplate: bool, article: bool):
-        self.parent, self.boilerplate, self.article = parent, boilerplate, article
+    def __init__(self, parent: "_Region | None", boilerplate: bool, article: bool, top: bool = False):
+        self.parent, self.boilerplate, self.article, self.top = parent, boilerplate, article, top
         self.chars = self.link_chars = 0
         self.content = False
 
@@ -130,7 +132,8 @@ class PageLines(HTMLParser):
             self.end_line()
         if block or drop:
             if tag in CONTAINERS or drop != region.boilerplate:
-                region = _Region(region, drop, region.article or tag in ("article", "main"))
+                top = tag in ("article", "main")
+                region = _Region(region, drop, region.article or top, top)
                 self.regions.append(region)
             self.open.append((tag, region))
 
@@ -160,6 +163,29 @@ class PageLines(HTMLParser):
         self.text.append(data)
 
 
+def article_of(region: _Region) -> _Region:
+    """The innermost article or main element around a region inside one."""
+    while not region.top:
+        region = region.parent
+    return region
+
+
+def common_ancestor(regions: list[_Region]) -> _Region:
+    """The smallest region that holds all of ``regions``."""
+    def path(r: _Region | None) -> list[_Region]:
+        out = []
+        while r is not None:
+            out.append(r)
+            r = r.parent
+        return out[::-1]
+
+    common = path(regions[0])
+    for r in regions[1:]:
+        if r is not regions[0]:
+            common = [x for x, y in zip(common, path(r)) if x is y]
+    return common[-1]
+
+
 def smooth(values: list[float]) -> list[float]:
     out = []
     for i in range(len(values)):
@@ -189,14 +215,14 @@ def extract(html: str | None) -> str:
     if not own:
         return ""
     threshold = min(threshold, max(own))
-    for x, p, (_, _, r) in zip(ratios, plain, lines):
-        if x >= threshold and p:
-            r.content = True
+    cluster = list(dict.fromkeys(r for x, p, (_, _, r) in zip(ratios, plain, lines) if x >= threshold and p))
+    inside = [r for r in cluster if r.article]
+    for r in map(article_of, inside) if inside else [common_ancestor(cluster)]:
+        r.content = True
     for r in page.regions:  # parents come before the regions inside them
-        if not r.content and r.parent is not None and r.parent.content and not r.boilerplate:
-            r.content = r.link_chars <= LINK_SHARE * r.chars
-    inside = any(r.content and r.article for _, _, r in lines)
-    return " ".join(t for t, _, r in lines if r.content and (r.article or not inside))
+        if r.parent is not None and r.parent.content and not r.boilerplate:
+            r.content = True
+    return " ".join(t for (t, _, r), p in zip(lines, plain) if r.content and p)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

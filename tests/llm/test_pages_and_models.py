@@ -98,6 +98,19 @@ def test_main_text_of_varied_pages():
     assert htmltext.extract("<article><p>" + "y" * 50_000 + "</article>") == "y" * 50_000
 
 
+def test_main_text_in_child_containers():
+    """Sections, a div per paragraph, lists and tables of an article, next to long paragraphs."""
+    long = " ".join(["This paragraph is long enough to stand out among the short lines of a page."] * 8)
+    inner = f"""<section><h2>First</h2><div><p>{long}</p></div><div><p>Short one.</p></div><div><div><p>Deep.</p></div></div></section>
+<section><h2>Second</h2><ul><li>a point<li>next</ul><table><tr><td>cell</td><td>2</td></tr></table></section>
+<div class="share">Share</div><ul><li><a href=a>A link elsewhere</a></ul><div><p>{long}</p></div><div><p>End.</p></div>"""
+    want = f"First {long} Short one. Deep. Second a point next cell 2 {long} End."
+    page = "<body><div>Slogan</div>%s<div>Imprint line</div></body>"
+    assert htmltext.extract(page % f"<article>{inner}</article>") == want
+    assert htmltext.extract(page % f"<main><div>{inner}</div></main>") == want
+    assert htmltext.extract(page % f"<div>{inner}</div>") == want
+
+
 def test_main_text_edges(spark):
     rows = [(1, None, None), (None, "u", "<p>x"), (None, "u", "<p>x")]
     out = htmltext.main_texts(H.with_clashing_columns(spark.createDataFrame(rows, PAGES))).collect()
