@@ -8,6 +8,8 @@ from its label, split 80/20 by the seeded hash split.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ...functions._util import r6
@@ -124,14 +126,21 @@ def q_kmeans_5(spark, sf):
     return out.select("vec_id", "note_cluster")
 
 
-for _name, _fit, _kw in [
+_FITS = [
     ("fit_logreg", M.fit_logreg, {}),
     ("fit_random_forest", M.fit_random_forest, {"num_trees": 200}),
-    ("fit_boosted_trees", M.fit_boosted_trees, {"max_iter": 10}),
-    ("fit_mlp", M.fit_mlp, {"hidden": (128, 64), "max_iter": 50}),
+    ("fit_boosted_trees", M.fit_boosted_trees, {}),
+    ("fit_mlp", M.fit_mlp, {"hidden": (128, 64)}),
     ("fit_svm", M.fit_svm, {}),
     ("fit_naive_bayes", M.fit_naive_bayes, {}),
-]:
+]
+# All classifiers of the library, and the bases of the stacking model.
+_CANDIDATES = {name.removeprefix("fit_"): partial(fit, **kw) if kw else fit for name, fit, kw in _FITS if fit is not M.fit_mlp}
+_CANDIDATES["mlp"] = M.fit_mlp  # by itself: it takes no class weights
+_BASES = {"logreg": M.fit_logreg, "random_forest": partial(M.fit_random_forest, num_trees=100),
+          "boosted_trees": M.fit_boosted_trees}
+
+for _name, _fit, _kw in _FITS:
     query(_name, None, "ml")(_fit_query(_fit, _name, **_kw))
 
 
@@ -192,8 +201,7 @@ def q_stack_matrix(spark, sf):
 @query("stack_cv", None, "ml")
 def q_stack_cv(spark, sf):
     train, _ = _split(spark, sf)
-    meta, mat = M.stack_cv(train, "vec_id", "y", _FEATS,
-                           {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes}, k=3)
+    meta, mat = M.stack_cv(train, "vec_id", "y", _FEATS, _BASES, k=3)
     feats = [c for c in mat.columns if c not in ("id", "y")]
     p = M.predict(meta, mat, feats, "id", "y", "stacker")
     return p.select("id", "pred")
@@ -211,9 +219,7 @@ def q_select_meta_learner(spark, sf):
 @query("model_card", None, "ml")
 def q_model_card(spark, sf):
     train, _ = _split(spark, sf)
-    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
-                                   {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
-                                   [0, 1, 2], k=5)
+    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS, _CANDIDATES, [0, 1, 2], k=5)
     return M.model_card(scores)
 
 
@@ -255,4 +261,4 @@ def q_multi_seed_runs(spark, sf):
         p = M.predict(m, d.where("is_val"), _FEATS, "vec_id", "y", "logreg")
         return metric_accuracy(p, "y_true", "pred").select(r6("accuracy").alias("accuracy"),
                                                            F.lit(seed).alias("seed"))
-    return M.multi_seed_runs(step, [42 + i for i in range(1, 4)])
+    return M.multi_seed_runs(step, [42 + i for i in range(1, 31)])

@@ -153,5 +153,5 @@ def q_tfidf_ngrams(spark, sf):
 def q_lda_topics(spark, sf):
     counts, _ = TX.count_vectorize(t(spark, sf, "documents").select("doc_id", "text"), "text",
                                    min_df=10, max_df=0.95)
-    out, _ = TX.lda_topics(counts, "counts", k=5, seed=42, max_iter=10)
+    out, _ = TX.lda_topics(counts, "counts", k=5, seed=42)
     return out.select("doc_id", *[r6(f"topic_{i}").alias(f"topic_{i}") for i in range(1, 6)])
