@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import decontam, htmltext, linededup, minhash, packing, quality, secrets, toxicity, urlfilter, warc
+from . import decontam, htmltext, linededup, merkle, minhash, packing, quality, secrets, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op1_secret_scan": op1_secret_scan,
     "op7_html_text": op7_html_text,
     "op5_toxicity": op5_toxicity,
@@ -69,6 +74,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": merkle.oracle_sql(),
     "op2_warc_archives": warc.oracle_sql(),
     "op6_length_buckets": packing.oracle_sql(),
     "op8_quality_rules": quality.oracle_sql(),
