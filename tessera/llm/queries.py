@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import decontam, htmltext, linededup, merkle, minhash, packing, quality, secrets, toxicity, urlfilter, warc
+from . import chatlog, decontam, htmltext, linededup, merkle, minhash, packing, quality, secrets, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+CONTROL_TALK = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(own.columns).unionByName(own)
+    return chatlog.read_back(chatlog.format_conversations(rows))
+
+
 QUERIES = {
+    "op12_chat_format": op12_chat_format,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op1_secret_scan": op1_secret_scan,
     "op7_html_text": op7_html_text,
@@ -74,6 +84,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op12_chat_format": chatlog.oracle_sql(extra=CONTROL_TALK),
     "op11_merkle_manifest": merkle.oracle_sql(),
     "op2_warc_archives": warc.oracle_sql(),
     "op6_length_buckets": packing.oracle_sql(),
