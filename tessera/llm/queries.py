@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import scratch_path
 
-from . import chatlog, decontam, htmltext, linededup, merkle, minhash, packing, quality, secrets, toxicity, urlfilter, warc
+from . import chatlog, decontam, htmltext, linededup, merkle, minhash, packing, quality, secrets, toxicity, trie, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,12 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatlog.read_back(chatlog.format_conversations(rows))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op13_prefix_trie": op13_prefix_trie,
     "op12_chat_format": op12_chat_format,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op1_secret_scan": op1_secret_scan,
@@ -84,6 +89,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op13_prefix_trie": trie.oracle_sql(),
     "op12_chat_format": chatlog.oracle_sql(extra=CONTROL_TALK),
     "op11_merkle_manifest": merkle.oracle_sql(),
     "op2_warc_archives": warc.oracle_sql(),
