@@ -32,6 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -189,10 +191,14 @@ def judge_quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows kept by the rules, with the input's columns unchanged."""
+    """The rows kept by the rules, with the input's columns unchanged.
+
+    Rows are written with their verdict and filtered when read again: a filter on
+    the verdict itself would be pushed below the projections and repeat the shared
+    expressions at each of their uses."""
     refs = language_references(docs)
     marked = with_quality(docs.withColumn("_all", F.struct(*docs.columns)), refs, limits)
-    return marked.where("kept").select("_all.*")
+    return stored(marked.select("_all", "kept"), "quality").where("kept").select("_all.*")
 
 
 def oracle_sql(limits: Limits = Limits(), table: str = "documents") -> str:

@@ -212,7 +212,8 @@ def all_equal(nodes: DataFrame, rows: DataFrame, texts: DataFrame, hot_rows: int
         return False
     several = nodes.where("ref != ref_most").select("depth", "key", F.col("n_convs").alias("weight"))
     used = join_counted(rows.select("depth", "key", "ref"), several, ["depth", "key"], rows.count(), hot_rows).distinct()
-    said = used.join(texts.select("ref", "role", "text"), "ref")
+    # a table of its own: where it is small, the planner moves no text
+    said = stored(used, "trie-refs").join(texts.select("ref", "role", "text"), "ref")
     turn = F.struct("role", "text")
     return said.groupBy("depth", "key").agg((F.min(turn) != F.max(turn)).alias("differ")).where("differ").isEmpty()
 

@@ -153,3 +153,13 @@ def test_url_edges(spark):
     pages = H.with_clashing_columns(_urls(spark, ["http://x.org/", None, "http://x.org/"]))
     assert urlfilter.judge_urls(pages).count() == 3
     assert urlfilter.judge_urls(_urls(spark, []).limit(0)).count() == 0
+
+
+def test_stage_filters_on_the_finished_verdict(spark):
+    """The plan of the stage reads the verdict; no rule is evaluated in a filter."""
+    from tessera.llm import quality
+    docs = H.table(spark, "documents")
+    kept = quality.passing(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "kept" in plan and "regexp_replace" not in plan and "split(" not in plan
+    assert sorted(kept.collect()) == sorted(docs.join(quality.judge_quality(docs).where("kept"), "doc_id", "left_semi").collect())
