@@ -11,17 +11,24 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .evaluate import metric_macro_f1
-from .prep import assemble_features, class_weights
+from .encode import encode_category
+from .prep import assemble_features, class_weights, standardize
+from .resample import METHODS, oversample
 from .seq import stratified_kfold
 
 log = logging.getLogger(__name__)
 
+# Folded tables get a partition per this many rows, and independent fits run at once.
+ROWS_PER_TASK = 20_000
+FIT_THREADS = 6
+
 Fit = Callable[[DataFrame, str, str, str | None], object]
 
 
@@ -193,38 +200,79 @@ def _folded(train: DataFrame, id_col: str, label: str, k: int, seed: int) -> Dat
     return cut_lineage(train.join(folds, id_col))
 
 
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than ``rows`` need: iterative fits pay for each task."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def _fit_balanced(fit: Fit, train: DataFrame, features, label: str):
     """``fit`` with balanced class weights, or without where it takes none."""
     weighted = class_weights(train, label, "balanced", "_weight")
     return fit(weighted, features, label, None if fit is fit_mlp else "_weight")
 
 
-def out_of_fold(train: DataFrame, id_col: str, label: str, features, fit: Fit, name: str,
-                k: int = 3, seed: int = 42) -> DataFrame:
-    """Out-of-fold predictions: each fold is predicted by a model fitted on
-    the other folds (stratified, seeded folds; balanced class weights)."""
-    d = _folded(train, id_col, label, k, seed)
-    parts = []
-    for f in range(k):
-        m = _fit_balanced(fit, d.where(F.col("fold") != f), features, label)
-        parts.append(predict(m, d.where(F.col("fold") == f), features, id_col, label, name))
+class Folds:
+    """Training rows in ``k`` stratified, seeded folds: features are assembled once
+    and the folded table is kept on reliable storage.  The class counts of the folds
+    (classes x folds numbers) give every fold's balanced weights as literals, so a
+    fit reads the table and joins nothing."""
+
+    def __init__(self, train: DataFrame, id_col: str, label: str, features, k: int, seed: int):
+        folds = stratified_kfold(train.select(id_col, label), id_col, label, k, seed).select(id_col, "fold")
+        table = _vec(train.join(folds, id_col), features).select(id_col, label, "features", "fold")
+        table = cut_lineage(table)
+        counts = table.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).collect()
+        self.id_col, self.label, self.k = id_col, label, k
+        self.counts = {(r["fold"], r[label]): r["n"] for r in counts}
+        self.table = _compact(table, sum(self.counts.values()))
+
+    def training(self, fold: int) -> DataFrame:
+        """Rows of the other folds with ``_weight``, n / (classes * n of the class)."""
+        sizes: dict = {}
+        for (f, y), n in self.counts.items():
+            if f != fold:
+                sizes[y] = sizes.get(y, 0) + n
+        weight = F.lit(None).cast("double")
+        for y, n in sizes.items():
+            weight = F.when(F.col(self.label) == y, sum(sizes.values()) / (len(sizes) * n)).otherwise(weight)
+        return self.table.where(F.col("fold") != fold).withColumn("_weight", weight)
+
+    def held_out(self, name: str, fit: Fit, fold: int) -> DataFrame:
+        """Predictions of a fold by a model of the others."""
+        model = fit(self.training(fold), "features", self.label, None if fit is fit_mlp else "_weight")
+        return predict(model, self.table.where(F.col("fold") == fold), "features", self.id_col, self.label, name)
+
+
+def at_once(jobs: Sequence[Callable[[], object]], threads: int = FIT_THREADS) -> list:
+    """Results of independent Spark jobs started from a thread pool, in order; the
+    first error is raised."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+def _out_of_fold(folds: Folds, fits: dict[str, Fit]) -> DataFrame:
+    parts = at_once([partial(folds.held_out, name, fit, f) for name, fit in fits.items() for f in range(folds.k)])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def out_of_fold(train: DataFrame, id_col: str, label: str, features, fit: Fit, name: str,
+                k: int = 3, seed: int = 42) -> DataFrame:
+    """Out-of-fold predictions: each fold is predicted by a model fitted on
+    the other folds (stratified, seeded folds; balanced class weights)."""
+    return _out_of_fold(Folds(train, id_col, label, features, k, seed), {name: fit})
+
+
 def stack_cv(train: DataFrame, id_col: str, label: str, features,
              bases: dict[str, Fit], final: Fit = fit_logreg, k: int = 3, seed: int = 42):
     """Stacked generalisation: out-of-fold base predictions -> meta model.
     Returns (meta model, stacked training matrix)."""
-    preds = None
-    for name, fit in bases.items():
-        p = out_of_fold(train, id_col, label, features, fit, name, k, seed)
-        preds = p if preds is None else preds.unionByName(p)
+    preds = _out_of_fold(Folds(train, id_col, label, features, k, seed), bases)
     n_classes = int(train.agg(F.max(label)).first()[0]) + 1
     mat = stack_matrix(preds, "id", list(bases), n_classes)
-    mat = mat.join(train.select(F.col(id_col).alias("id"), label), "id")
+    mat = cut_lineage(mat.join(train.select(F.col(id_col).alias("id"), label), "id"))
     feats = [c for c in mat.columns if c not in ("id", label)]
     return final(mat, feats, label, None), mat
 
@@ -232,23 +280,63 @@ def stack_cv(train: DataFrame, id_col: str, label: str, features,
 def select_meta_learner(train: DataFrame, id_col: str, label: str, features,
                         candidates: dict[str, Fit], classes: Sequence[int], k: int = 5,
                         seed: int = 42) -> DataFrame:
-    """Held-out macro-F1 of every candidate on each of ``k`` folds, fitted with
-    balanced class weights: (model, fold, macro_f1, mean_f1, selected), the
-    model of the best mean being selected (ties: the last name)."""
-    d = _folded(train, id_col, label, k, seed)
-    rows = None
-    for name, fit in candidates.items():
-        for f in range(k):
-            m = _fit_balanced(fit, d.where(F.col("fold") != f), features, label)
-            p = predict(m, d.where(F.col("fold") == f), features, id_col, label, name)
-            s = metric_macro_f1(p, "y_true", "pred", classes).select(
-                F.lit(name).alias("model"), F.lit(f).alias("fold"), "macro_f1")
-            rows = s if rows is None else rows.unionByName(s)
-    rows = cut_lineage(rows)  # one row per candidate and fold
+    """Held-out macro-F1 and accuracy of every candidate on each of ``k`` folds, fitted
+    with balanced class weights: (model, fold, macro_f1, accuracy, mean_f1, selected),
+    the model of the best mean being selected (ties: the last name)."""
+    folds = Folds(train, id_col, label, features, k, seed)
+
+    def score(name: str, fit: Fit, f: int) -> tuple:
+        p = folds.held_out(name, fit, f).groupBy("y_true", "pred").agg(F.count(F.lit(1)).alias("n"))
+        return (name, f, *_scores_of({(r["y_true"], r["pred"]): r["n"] for r in p.collect()}, classes))
+
+    done = at_once([partial(score, name, fit, f) for name, fit in candidates.items() for f in range(k)])
+    rows = train.sparkSession.createDataFrame(done, "model string, fold int, macro_f1 double, accuracy double")
     card = model_card(rows).select("model", "mean_f1", "selected")
     return rows.join(F.broadcast(card), "model")
 
 
+def _scores_of(counts: dict, classes: Sequence[int]) -> tuple[float, float]:
+    """Macro-F1 over ``classes`` and accuracy of (truth, prediction) counts."""
+    f1 = []
+    for c in classes:
+        hit = counts.get((c, c), 0)
+        said, held = (sum(n for pair, n in counts.items() if pair[at] == c) for at in (1, 0))
+        f1.append(2 * hit / (said + held) if said + held else 0.0)
+    total = sum(counts.values())
+    return sum(f1) / len(f1), sum(n for (y, p), n in counts.items() if y == p) / total if total else 0.0
+
+
+def select_resampler(train: DataFrame, id_col: str, label: str, cols: Sequence[str], cat_cols: Sequence[str] = (),
+                     methods: Sequence[str] = METHODS, fit: Fit = fit_random_forest, k: int = 3, seed: int = 42) -> DataFrame:
+    """Held-out macro-F1 of ``fit`` after each resampling method: (method, fold,
+    held_out, macro_f1, mean_f1, selected), the best mean being selected (ties: the
+    last name).
+
+    Only the rows of the other folds are resampled and fit the scaler, so no
+    synthetic row, and nothing made from a held-out row, is scored.  All methods are
+    scored on the same rows."""
+    coded = train.where(F.col(label).isNotNull()).select(id_col, label, *cols, *cat_cols)
+    for c in cat_cols:
+        coded = encode_category(coded, c)
+    table = _folded(coded, id_col, label, k, seed)
+    classes = sorted(r[0] for r in table.select(label).distinct().collect())
+    features = [*cols, *cat_cols]
+
+    def score(method: str, f: int) -> tuple:
+        made = cut_lineage(oversample(method, table.where(F.col("fold") != f).drop("fold"), id_col, label, cols, cat_cols, seed=seed))
+        n = made.count()
+        scaled, (held,) = standardize(made, [table.where(F.col("fold") == f)], features)
+        model = _fit_balanced(fit, _compact(_vec(scaled, features), n), "features", label)
+        p = predict(model, held, features, id_col, label, method).groupBy("y_true", "pred").agg(F.count(F.lit(1)).alias("n"))
+        counts = {(r["y_true"], r["pred"]): r["n"] for r in p.collect()}
+        return method, f, sum(counts.values()), _scores_of(counts, classes)[0]
+
+    done = at_once([partial(score, m, f) for m in methods for f in range(k)])
+    rows = train.sparkSession.createDataFrame(done, "method string, fold int, held_out long, macro_f1 double")
+    card = model_card(rows.withColumnRenamed("method", "model")).select(F.col("model").alias("method"), "mean_f1", "selected")
+    return rows.join(F.broadcast(card), "method")
+
+
 def calibrate_platt(oof: DataFrame, n_classes: int, k: int = 3, seed: int = 42) -> DataFrame:
     """Per-class sigmoid calibration of out-of-fold scores (``y == c`` against
     ``probs[c]``), scaled to sum 1.
@@ -288,14 +376,36 @@ def run_params_metrics(spark, run: int, params: dict, metrics: dict) -> DataFram
 
 
 def model_card(scores: DataFrame) -> DataFrame:
-    """Candidate comparison: mean/std macro-F1 per model, best flagged."""
+    """Candidate comparison: mean/std macro-F1 per model, its scores by fold, and the
+    best flagged."""
+    by_fold = F.transform(F.sort_array(F.collect_list(F.struct("fold", "macro_f1"))), lambda x: x["macro_f1"])
     per = scores.groupBy("model").agg(F.avg("macro_f1").alias("mean_f1"),
                                       F.stddev_samp("macro_f1").alias("std_f1"),
-                                      F.count(F.lit(1)).alias("folds"))
+                                      F.count(F.lit(1)).alias("folds"), by_fold.alias("fold_scores"))
     best = per.agg(F.max_by("model", F.struct("mean_f1", F.col("model")))).scalar()
     return per.withColumn("selected", F.col("model") == best)
 
 
+def model_card_report(scores: DataFrame, prefix: str) -> DataFrame:
+    """The selected model's card as (section, item, value) rows: what was selected, its
+    accuracy and macro-F1 with the scores of all folds, and every candidate's mean."""
+    card = model_card(scores)
+    best = card.where("selected")
+    accuracy = scores.groupBy("model").agg(F.avg("accuracy").alias("accuracy"))
+    best = best.join(accuracy, "model")
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
+    number = lambda c: F.format_string("%.4f", F.col(c))
+    folds = best.select(F.posexplode("fold_scores").alias("f", "score"))
+    parts = [row(best, "model", F.lit("metric_prefix"), F.lit(prefix)), row(best, "model", F.lit("selected"), F.col("model")),
+             row(best, "performance", F.lit("accuracy"), number("accuracy")), row(best, "performance", F.lit("macro_f1"), number("mean_f1")),
+             row(folds, "performance", F.format_string("macro_f1_fold_%d", F.col("f") + 1), number("score")),
+             row(card, "candidates", F.col("model"), number("mean_f1"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def multi_seed_runs(step: Callable[[int], DataFrame], seeds: Sequence[int]) -> DataFrame:
     """Union of ``step(seed)`` over seeds with ``run``, ``status`` and ``error``
     columns.  A failing seed does not stop the others: it becomes one row with

@@ -42,6 +42,7 @@ def load_all() -> dict[str, Query]:
         q_joins,
         q_ml,
         q_pipelines,
+        q_resample,
         q_scalars,
         q_seq,
         q_sources,

@@ -210,17 +210,16 @@ def q_stack_cv(spark, sf):
 @query("select_meta_learner", None, "ml")
 def q_select_meta_learner(spark, sf):
     train, _ = _split(spark, sf)
-    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS,
-                                   {"logreg": M.fit_logreg, "naive_bayes": M.fit_naive_bayes},
-                                   [0, 1, 2], k=5)
-    return scores.select("model", "fold", r6("macro_f1").alias("macro_f1"), r6("mean_f1").alias("mean_f1"), "selected")
+    scores = M.select_meta_learner(train, "vec_id", "y", _FEATS, _CANDIDATES, [0, 1, 2], k=5)
+    return scores.select("model", "fold", r6("macro_f1").alias("macro_f1"), r6("accuracy").alias("accuracy"),
+                         r6("mean_f1").alias("mean_f1"), "selected")
 
 
 @query("model_card", None, "ml")
 def q_model_card(spark, sf):
     train, _ = _split(spark, sf)
     scores = M.select_meta_learner(train, "vec_id", "y", _FEATS, _CANDIDATES, [0, 1, 2], k=5)
-    return M.model_card(scores)
+    return M.model_card_report(scores, "embeddings")
 
 
 @query("calibrate_platt", None, "ml")

@@ -25,6 +25,8 @@ def _arguments(monkeypatch, spark, module, operator, name):
 def test_candidates_bases_and_seeds(spark, monkeypatch):
     args, _ = _arguments(monkeypatch, spark, M, "select_meta_learner", "model_card")
     assert set(args[4]) == {"logreg", "random_forest", "boosted_trees", "mlp", "svm", "naive_bayes"}
+    args, _ = _arguments(monkeypatch, spark, M, "select_meta_learner", "select_meta_learner")
+    assert len(args[4]) == 6
     args, _ = _arguments(monkeypatch, spark, M, "stack_cv", "stack_cv")
     assert set(args[4]) == {"logreg", "random_forest", "boosted_trees"}
     args, _ = _arguments(monkeypatch, spark, M, "multi_seed_runs", "multi_seed_runs")

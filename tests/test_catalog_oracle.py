@@ -79,8 +79,9 @@ def test_calibrated_probabilities_sum_to_one(spark):
 
 def test_meta_learner_scores_are_complete(spark):
     rows = _rows(spark, "select_meta_learner")
-    assert sorted((r["model"], r["fold"]) for r in rows) == [(m, f) for m in ("logreg", "naive_bayes") for f in range(5)]
-    mean = {m: sum(r["macro_f1"] for r in rows if r["model"] == m) / 5 for m in ("logreg", "naive_bayes")}
+    models = ("boosted_trees", "logreg", "mlp", "naive_bayes", "random_forest", "svm")
+    assert sorted((r["model"], r["fold"]) for r in rows) == [(m, f) for m in models for f in range(5)]
+    mean = {m: sum(r["macro_f1"] for r in rows if r["model"] == m) / 5 for m in models}
     assert all(abs(r["mean_f1"] - mean[r["model"]]) < 1e-5 for r in rows)
     assert {r["model"] for r in rows if r["selected"]} == {max(mean, key=lambda m: (mean[m], m))}
 
@@ -94,6 +95,16 @@ def test_projections_and_clusters(spark):
     assert {r["note_cluster"] for r in clusters} == set(range(5))
 
 
+def test_model_card_lists_all_candidates(spark):
+    rows = [tuple(r) for r in _rows(spark, "model_card")]
+    means = {item: float(v) for section, item, v in rows if section == "candidates"}
+    assert len(means) == 6 and {s for s, *_ in rows} == {"model", "performance", "candidates"}
+    card = {item: v for section, item, v in rows if section != "candidates"}
+    assert card["macro_f1"] == f"{max(means.values()):.4f}" and means[card["selected"]] == max(means.values())
+    folds = [float(v) for item, v in card.items() if item.startswith("macro_f1_fold_")]
+    assert len(folds) == 5 and abs(sum(folds) / 5 - float(card["macro_f1"])) < 2e-4
+
+
 def test_failed_seeds_are_reported(spark):
     from tessera.operators import models as M
 
@@ -110,7 +121,7 @@ def test_failed_seeds_are_reported(spark):
 
 
 @pytest.mark.parametrize("name", ["standardize_sequence", "batch_embed", "count_vectorize", "tfidf_ngrams", "lda_topics",
-                                  "coef_table", "run_params_metrics", "stack_cv", "model_card", "fit_logreg_tabular"])
+                                  "coef_table", "run_params_metrics", "stack_cv", "select_resampler", "fit_logreg_tabular"])
 def test_other_rows_only_queries(spark, name):
     rows = _rows(spark, name)
     assert rows and len(set(map(str, rows))) == len(rows)
