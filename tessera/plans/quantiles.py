@@ -10,10 +10,14 @@ group runs in one task.  We instead
    exact order statistics;
 2. count the rows below each bracket (a second distributed aggregate);
 3. count the rows inside the brackets by value (map-side, so a value held by
-   most rows is one row), run the counts over these distinct values -- about
-   ``8 n / accuracy`` per group and probability at most -- and interpolate
-   linearly between the two order statistics at ``(n - 1) * p`` (the rule used
-   by pandas, NumPy and DuckDB's ``quantile_cont``).
+   most rows is one row): about ``8 n / accuracy`` distinct values per group and
+   probability at most;
+4. while a bracket may hold more than ``MAX_VALUES`` distinct values, narrow it:
+   cut points from a mergeable sketch divide it into ``CELLS`` cells, a histogram
+   counts them (``CELLS`` numbers a bracket), and only the cells that hold the two
+   order statistics are kept.  What is left is a sorted array of bounded size, in
+   which the statistics at ``(n - 1) * p`` are found and interpolated linearly
+   (the rule used by pandas, NumPy and DuckDB's ``quantile_cont``).
 
 Groups whose sketch bracket would not hold (never, given the sketch's error
 bound; kept as a guard) fall back to their min/max range, which is still exact.
@@ -22,14 +26,19 @@ bound; kept as a guard) fall back to their min/max range, which is still exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
 from .ordered import ordered_scan
 
 DEFAULT_ACCURACY = 100_000
+# Distinct values of a bracket that are gathered into one array, and the cells into
+# which a larger bracket is divided at a time.
+MAX_VALUES = 20_000
+CELLS = 256
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -90,12 +99,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         b = F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0))
         rows.append(F.struct(F.lit(i).alias("j"), lo.alias("lo"), hi.alias("hi"),
                              b.cast("long").alias("b"), r0.cast("long").alias("r0"),
-                             r1.cast("long").alias("r1"), (h - r0).alias("frac")))
+                             r1.cast("long").alias("r1"), (h - r0).alias("frac"),
+                             F.when(ok, F.col(f"_c{i}")).otherwise(F.col("_n")).alias("rows")))
     brackets = st.select(*by, F.array(*rows).alias("_br"))
 
     # pass 3: keep only rows inside a bracket (one bracket array per group)
+    brackets = cut_lineage(brackets)
     if by:
-        tagged = base.join(bc(cut_lineage(brackets)), by, "inner")
+        tagged = base.join(bc(brackets), by, "inner")
     else:
         tagged = base.withColumn("_br", brackets.select("_br").scalar())
     inside = (tagged.select(*by, "_x", F.explode(F.filter(
@@ -103,12 +114,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         .select(*by, "_x", "_b.*"))
     values = inside.groupBy(*by, "j", "_x").agg(
         F.count(F.lit(1)).alias("_w"), *[F.first(c).alias(c) for c in ("b", "r0", "r1", "frac")])
-    w = Window.partitionBy(*by, "j").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.withColumn("_r", F.sum("_w").over(w) + F.col("b"))
-    picked = ranked.groupBy(*by, "j").agg(
-        F.min(F.when(F.col("_r") > F.col("r0"), F.col("_x"))).alias("v0"),
-        F.min(F.when(F.col("_r") > F.col("r1"), F.col("_x"))).alias("v1"),
-        F.first("frac").alias("frac"))
+    most = brackets.agg(F.max(F.array_max(F.transform("_br", lambda r: r["rows"])))).first()[0] or 0
+    while most > MAX_VALUES:
+        values = _narrowed(cut_lineage(values), by)
+        most = values.groupBy(*by, "j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    one = F.first(F.struct("b", "r0", "r1", "frac")).alias("_at")
+    arrays = values.groupBy(*by, "j").agg(F.sort_array(F.collect_list(F.struct("_x", "_w"))).alias("_vs"), one)
+    picked = arrays.select(*by, "j", _value_at("_vs", F.col("_at.b"), F.col("_at.r0")).alias("v0"),
+                           _value_at("_vs", F.col("_at.b"), F.col("_at.r1")).alias("v1"), F.col("_at.frac").alias("frac"))
     val = (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("v")
     long = picked.select(*by, "j", val)
     wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(names[i])
@@ -119,6 +132,41 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     return wide.select(*names)
 
 
+def _value_at(values: str, before: Column, rank: Column) -> Column:
+    """Value of the 0-based ``rank`` in a sorted array of (value, count) structs that
+    ``before`` rows precede."""
+    start = F.struct(before.cast("long").alias("seen"), F.lit(None).cast("double").alias("x"))
+    step = lambda s, v: F.struct((s["seen"] + v["_w"]).alias("seen"),
+                                 F.when(s["x"].isNull() & (s["seen"] + v["_w"] > rank), v["_x"]).otherwise(s["x"]).alias("x"))
+    return F.aggregate(values, start, step)["x"]
+
+
+def _narrowed(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The values of each bracket whose cell holds one of its two order statistics."""
+    key = [*by, "j"]
+    cuts = values.groupBy(*key).agg(F.array_distinct(F.percentile_approx(
+        "_x", [(i + 1) / CELLS for i in range(CELLS - 1)], 50 * CELLS)).alias("_cuts"))
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    cut = cut_lineage(_beside(values, cuts, key).withColumn("_cell", cell).drop("_cuts"))
+    cells = cut.groupBy(*key, "_cell").agg(F.sum("_w").alias("_w"), F.first(F.struct("b", "r0", "r1")).alias("_at"))
+    # at most CELLS rows a bracket
+    sums = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("_cell").cast("double").alias("_x"), "_w"))).alias("_vs"),
+                                   F.first("_at").alias("_at"))
+    sums = sums.withColumns({f"_cell{i}": _value_at("_vs", F.col("_at.b"), F.col(f"_at.r{i}")) for i in (0, 1)})
+    skipped = F.aggregate(F.filter("_vs", lambda v: v["_x"] < F.col("_cell0")), F.lit(0).cast("long"), lambda s, v: s + v["_w"])
+    sums = sums.select(*key, "_cell0", "_cell1", skipped.alias("_skipped"))
+    kept = _beside(cut, sums, key).where(F.col("_cell").between(F.col("_cell0"), F.col("_cell1")))
+    return kept.withColumn("b", F.col("b") + F.col("_skipped")).select(*values.columns)
+
+
+def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key; null keys are equal)."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    right = table.withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(right, same).drop(*names.values())
+
+
 def exact_median(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median",
                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     return exact_quantiles(df, col, [0.5], by, [name], accuracy)
