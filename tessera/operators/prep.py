@@ -11,12 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered_scan
 from ..session import broadcast_if_small
 
+MOMENT_ROWS = 16  # partial covariances that reach the driver
+
 
 def assemble_features(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -73,19 +77,74 @@ def standardize_sequence(train: DataFrame, others: Sequence[DataFrame], seq: str
     return apply(train), [apply(o) for o in others]
 
 
+def _moments(df: DataFrame, array: str, dim: int):
+    """Count, mean and centred outer-product sum of an array column in one pass.
+
+    Every task merges its batches to one row of ``dim * dim + dim + 1`` numbers, a
+    second step merges these to at most ``MOMENT_ROWS`` rows; rows with nulls, NaNs
+    or another length are left out."""
+    def merged(parts):
+        n, mean, outer = 0, np.zeros(dim), np.zeros((dim, dim))
+        for k, m, o in parts:
+            if k:
+                delta, total = m - mean, n + k
+                outer += o + np.outer(delta, delta) * (n * k / total)
+                mean = mean + delta * (k / total)
+                n = total
+        return n, mean, outer
+
+    def row(part):
+        n, mean, outer = part
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tobytes()]), pa.array([outer.tobytes()])],
+                                          names=["n", "mean", "outer"])
+
+    def batches(it):
+        for b in it:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            if len(x):
+                m = x.mean(0)
+                yield len(x), m, (x - m).T @ (x - m)
+
+    def parts(it):
+        for b in it:
+            for n, m, o in zip(*(c.to_pylist() for c in b.columns)):
+                yield n, np.frombuffer(m), np.frombuffer(o).reshape(dim, dim)
+
+    schema = "n bigint, mean binary, outer binary"
+    complete = (F.size(array) == dim) & ~F.exists(array, lambda x: x.isNull() | F.isnan(x))
+    first = df.where(complete).select(array).mapInArrow(lambda it: iter([row(merged(batches(it)))]), schema)
+    second = first.repartition(MOMENT_ROWS).mapInArrow(lambda it: iter([row(merged(parts(it)))]), schema)
+    return merged((r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["outer"]).reshape(dim, dim)) for r in second.collect())
+
+
 def pca_2(df: DataFrame, vec: str, k: int = 2, prefix: str = "pca_") -> DataFrame:
-    """First ``k`` principal components of the centred vectors; each
-    component's sign is fixed so that its largest loading is positive."""
-    from pyspark.ml.feature import PCA, StandardScaler
+    """First ``k`` principal components of the centred vectors (an ML vector or
+    an array of doubles); each component's sign is fixed so that its largest
+    loading is positive.
+
+    The covariance is taken in one mergeable pass, its eigenvectors on the driver
+    (``dim`` squared numbers), and rows are projected by expressions.  Rows without a
+    complete vector get null components."""
     from pyspark.ml.functions import vector_to_array
-    centred = StandardScaler(withMean=True, withStd=False, inputCol=vec,
-                             outputCol="_c").fit(df).transform(df)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    pc = model.pc.toArray()  # d x k loadings (model parameters, small)
-    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    out = model.transform(centred).withColumn("_p", vector_to_array("_p"))
-    return out.select(*df.columns, *[(F.col("_p")[j] * signs[j]).alias(f"{prefix}{j + 1}")
-                                     for j in range(k)])
+    is_array = dict(df.dtypes)[vec].startswith("array")
+    d = df.withColumn("_pca_x", F.transform(vec, lambda x: x.cast("double")) if is_array else vector_to_array(vec))
+    dim = d.agg(F.max(F.size("_pca_x"))).first()[0] or 0
+    empty = [F.lit(None).cast("double").alias(f"{prefix}{j + 1}") for j in range(k)]
+    if dim < 1:
+        return df.select(*df.columns, *empty)
+    n, mean, outer = _moments(d, "_pca_x", dim)
+    if not n:
+        return df.select(*df.columns, *empty)
+    _, vectors = np.linalg.eigh(outer / max(1, n - 1))
+    complete = (F.size("_pca_x") == dim) & ~F.exists("_pca_x", lambda x: x.isNull() | F.isnan(x))
+    out = []
+    for j in range(k):
+        w = vectors[:, -1 - j] if j < dim else np.zeros(dim)
+        w = w if w[np.abs(w).argmax()] >= 0 else -w
+        terms = F.zip_with("_pca_x", F.array(*map(F.lit, w.tolist())), lambda x, a: x * a)
+        score = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) - float(mean @ w)
+        out.append(F.when(complete, score).alias(f"{prefix}{j + 1}"))
+    return d.select(*df.columns, *out)
 
 
 def kmeans_5(df: DataFrame, vec: str, k: int = 5, seed: int = 42, out: str = "cluster"):

@@ -7,6 +7,7 @@ encoder of :func:`batch_embed` is a column expression or an aggregation.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Sequence
 
@@ -129,56 +130,91 @@ def tokenize_pad(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame
         .alias("attention_mask"))
 
 
-# -- pyspark.ml vectorisers and topics ---------------------------------------------
+# -- vectorisers and topics ----------------------------------------------------------
+
+def _kept_tokens(df: DataFrame, text: str, stop_words: Sequence[str] | None, out: str) -> DataFrame:
+    """Word tokens without the stop words (default: the library's English list)."""
+    from pyspark.ml.feature import StopWordsRemover
+    sw = StopWordsRemover(inputCol="_tok", outputCol=out,
+                          stopWords=list(stop_words) if stop_words is not None
+                          else StopWordsRemover.loadDefaultStopWords("english"))
+    toks = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    return sw.transform(df.withColumn("_tok", toks)).drop("_tok")
+
+
+def term_statistics(df: DataFrame, terms: str) -> DataFrame:
+    """(term, cnt, df): occurrences and rows of each element of an array column.
+
+    A row's sorted array marks the first of equal terms, so one exchange, combined
+    map-side, counts both."""
+    firsts = df.select(F.sort_array(terms).alias("_s")).select(F.explode(F.transform("_s", lambda x, i: F.struct(
+        x.alias("term"), F.when(F.get("_s", i - 1) == x, 0).otherwise(1).alias("first")))).alias("_t")).select("_t.*")
+    return firsts.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"), F.sum("first").alias("df"))
+
+
+def exact_vocabulary(df: DataFrame, terms: str, min_df: float = 1, max_df: float = 1.0,
+                     max_features: int | None = None) -> DataFrame:
+    """(term, cnt, df, idx): the terms within the document-frequency bounds, numbered
+    from 0 by descending count, ties by term, so the vocabulary and its order are
+    determined by the data alone.  Bounds below 1 (``min_df``) and up to 1.0 (``max_df``)
+    are shares of the rows, others counts."""
+    stats = term_statistics(df, terms)
+    if min_df > 1 or max_df != 1.0:
+        n = df.count()
+        low = min_df if min_df >= 1 else min_df * n
+        high = max_df * n if isinstance(max_df, float) and max_df <= 1 else max_df
+        stats = stats.where((F.col("df") >= low) & (F.col("df") <= high))
+    order = [("cnt", False), "term"]
+    if max_features is not None:  # a top-N: each task keeps its own first N
+        stats = stats.orderBy(F.col("cnt").desc(), "term").limit(max_features)
+    ranked = ordered_scan(cut_lineage(stats), order)
+    return ranked.select("term", "cnt", "df", (F.col("_rn") - 1).cast("int").alias("idx"))
 
-def _tokens_col(df: DataFrame, text: str, out: str = "_tok") -> DataFrame:
-    return df.withColumn(out, tokens(text))
+
+def _vector_model(vocabulary: list, terms: str, out: str):
+    from pyspark.ml.feature import CountVectorizerModel
+    names = [r["term"] for r in vocabulary] or [""]  # the library wants one term at least
+    return CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol=out)
 
 
 def count_vectorize(df: DataFrame, text: str, min_df: float = 10, max_df: float = 0.95,
                     stop_words: Sequence[str] | None = None, out: str = "counts"):
     """Token counts with document-frequency bounds and stop words removed.
-    Every term within the bounds is kept: the vocabulary has no other limit.
-    Returns (transformed DataFrame, fitted model)."""
-    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
-    d = _tokens_col(df, text)
-    sw = StopWordsRemover(inputCol="_tok", outputCol="_tok_sw",
-                          stopWords=list(stop_words) if stop_words is not None
-                          else StopWordsRemover.loadDefaultStopWords("english"))
-    d = sw.transform(d)
-    cv = CountVectorizer(inputCol="_tok_sw", outputCol=out, minDF=float(min_df), maxDF=float(max_df),
-                         vocabSize=2 ** 31 - 1)
-    model = cv.fit(d)
-    return model.transform(d).drop("_tok", "_tok_sw"), model
+    Every term within the bounds is kept, numbered by :func:`exact_vocabulary`.
+    Returns (transformed DataFrame, model); the model holds the vocabulary, as any
+    vector model does (the long form is ``exact_vocabulary``)."""
+    d = _kept_tokens(df, text, stop_words, "_tok_sw")
+    vocabulary = exact_vocabulary(d, "_tok_sw", min_df, max_df).orderBy("idx").collect()
+    model = _vector_model(vocabulary, "_tok_sw", out)
+    return model.transform(d).drop("_tok_sw"), model
 
 
 def tfidf_ngrams(df: DataFrame, text: str, n: int = 2, max_features: int = 20000,
                  stop_words: Sequence[str] | None = None, out: str = "tfidf"):
     """1..n-grams, stop words removed, the ``max_features`` most frequent
-    terms, smoothed idf (+1) and L2-normalised rows."""
-    from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer,
-                                    StopWordsRemover)
+    terms (ties by term), smoothed idf ln((1 + rows) / (1 + df)) + 1 and
+    L2-normalised rows.  Returns (transformed DataFrame, count model)."""
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
-    d = _tokens_col(df, text)
-    sw = StopWordsRemover(inputCol="_tok", outputCol="_g1",
-                          stopWords=list(stop_words) if stop_words is not None
-                          else StopWordsRemover.loadDefaultStopWords("english"))
-    d = sw.transform(d)
-    cols = ["_g1"]
+    d = _kept_tokens(df, text, stop_words, "_g1")
+    grams = [F.col("_g1")]
     for k in range(2, n + 1):
-        d = NGram(n=k, inputCol="_g1", outputCol=f"_g{k}").transform(d)
-        cols.append(f"_g{k}")
-    d = d.withColumn("_grams", F.concat(*[F.col(c) for c in cols]))
-    cv = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features).fit(d)
+        starts = F.when(F.size("_g1") >= k, F.sequence(F.lit(1), F.size("_g1") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        grams.append(_grams("_g1", starts, k))
+    d = d.withColumn("_grams", F.concat(*grams))
+    vocabulary = exact_vocabulary(d, "_grams", max_features=max_features).orderBy("idx").collect()
+    rows = df.count()
+    cv = _vector_model(vocabulary, "_grams", "_tf")
     d = cv.transform(d)
-    # Spark's idf is ln((n+1)/(df+1)); the smoothed form adds 1.  Scaling the
-    # sparse tf vector by (idf + 1) keeps it sparse.
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(d)
-    scale = Vectors.dense(idf.idf.toArray() + 1.0)
+    # scaling keeps the vector sparse
+    scale = Vectors.dense([math.log((1 + rows) / (1 + r["df"])) + 1 for r in vocabulary] or [1.0])
     d = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_idf1").transform(d)
     d = Normalizer(inputCol="_idf1", outputCol=out, p=2.0).transform(d)
-    drop = ["_tok", "_grams", "_tf", "_idf1"] + cols
-    return d.drop(*drop), cv
+    return d.drop("_g1", "_grams", "_tf", "_idf1"), cv
+
+
+def _grams(words: str, starts, k: int):
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
 
 
 def lda_topics(df: DataFrame, counts: str = "counts", k: int = 5, seed: int = 42,
@@ -248,5 +284,5 @@ def embed_resume(df: DataFrame, done: DataFrame | None, keys: Sequence[str], tex
 
 
 __all__ = ["SYMPTOM_TERMS", "tfidf_vocab", "lexicon_sentiment", "truncate_tokens",
-           "build_vocabulary", "tokenize_pad", "count_vectorize", "tfidf_ngrams", "lda_topics",
+           "build_vocabulary", "tokenize_pad", "term_statistics", "exact_vocabulary", "count_vectorize", "tfidf_ngrams", "lda_topics",
            "hashing_encoder", "batch_embed", "embed_resume", "pd"]

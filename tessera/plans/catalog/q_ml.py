@@ -72,7 +72,16 @@ def q_standardize(spark, sf):
                        r6("c_nationkey_z").alias("c_nationkey_z"))
 
 
-@query("standardize_sequence", None, "ml")
+@query("standardize_sequence", """
+WITH l AS (SELECT user_id, coalesce(value, 0) AS v, coalesce(CAST(nullif(regexp_extract(props, '(\\d+)', 1), '') AS DOUBLE), 0) AS k, event_type,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+u AS (SELECT user_id, sum(v) AS v, sum(k) AS k, sum(v * v) AS vv, sum(k * k) AS kk, arg_min(event_type, r) AS y
+      FROM l WHERE r <= 10 GROUP BY user_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || user_id), user_id)
+                <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_val FROM u),
+m AS (SELECT sum(v) / (10 * count(*)) AS mv, sum(k) / (10 * count(*)) AS mk, sum(vv) / (10 * count(*)) AS qv, sum(kk) / (10 * count(*)) AS qk
+      FROM s WHERE NOT is_val)
+SELECT user_id, round((v - 10 * mv) / sqrt(qv - mv * mv) + (k - 10 * mk) / sqrt(qk - mk * mk), 6) AS seq_total FROM u, m""", "ml")
 def q_standardize_sequence(spark, sf):
     e = t(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("double"))
     seqs = pad_sequence_mask(e, "user_id", "ts", ["value", "k"], "event_type", 10, "event_id")

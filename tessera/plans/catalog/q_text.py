@@ -133,20 +133,58 @@ def q_batch_embed(spark, sf):
                                                        lambda a, x: a + x * x))).alias("norm"))
 
 
-@query("count_vectorize", None, "text")
+# Stop words given to the vectorisers here: frequent words of the four languages.
+_STOP = ["the", "of", "and", "to", "in", "is", "that", "der", "die", "und", "den", "la", "le", "les", "et", "de", "el", "que", "los"]
+_KEPT = f"list_filter({_TOK}, lambda w: w NOT IN ({', '.join(repr(w) for w in _STOP)}))"
+
+
+@query("exact_vocabulary", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce({_KEPT}, []) AS w FROM documents),
+g AS (SELECT rid, unnest(w) AS term FROM d),
+v AS (SELECT term, count(*) AS cnt, count(DISTINCT rid) AS df FROM g GROUP BY term)
+SELECT term, cnt, df, (row_number() OVER (ORDER BY cnt DESC, term) - 1)::integer AS idx FROM v
+WHERE df >= 10 AND df <= 0.95 * (SELECT count(*) FROM documents)""", "text")
+def q_exact_vocabulary(spark, sf):
+    d = TX._kept_tokens(t(spark, sf, "documents"), "text", _STOP, "kept")
+    return TX.exact_vocabulary(d, "kept", 10, 0.95)
+
+
+@query("count_vectorize", f"""
+WITH d AS (SELECT doc_id, coalesce({_KEPT}, []) AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS term FROM d),
+c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term),
+v AS (SELECT term, row_number() OVER (ORDER BY sum(n) DESC, term) - 1 AS idx FROM c GROUP BY term
+      HAVING count(*) >= 10 AND count(*) <= 0.95 * (SELECT count(*) FROM documents)),
+s AS (SELECT doc_id, count(*) AS n_terms, sum(n) AS total, sum(n * (idx + 1)) AS weighted FROM c JOIN v USING (term) GROUP BY doc_id)
+SELECT doc_id, (SELECT count(*) FROM v)::integer AS size, coalesce(n_terms, 0)::integer AS n_terms,
+       coalesce(total, 0)::bigint AS total, coalesce(weighted, 0)::bigint AS weighted FROM documents LEFT JOIN s USING (doc_id)""", "text")
 def q_count_vectorize(spark, sf):
     from pyspark.ml.functions import vector_to_array
-    out, _ = TX.count_vectorize(t(spark, sf, "documents"), "text", min_df=10, max_df=0.95)
-    return out.select("doc_id", F.size(F.filter(vector_to_array("counts"), lambda x: x > 0))
-                      .alias("n_terms"))
-
-
-@query("tfidf_ngrams", None, "text")
+    out, model = TX.count_vectorize(t(spark, sf, "documents"), "text", min_df=10, max_df=0.95, stop_words=_STOP)
+    d = out.select("doc_id", vector_to_array("counts").alias("c"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x).cast("long")
+    return d.select("doc_id", F.lit(len(model.vocabulary)).alias("size"), F.size(F.filter("c", lambda x: x > 0)).alias("n_terms"),
+                    total(F.col("c")).alias("total"), total(F.transform("c", lambda x, i: x * (i + 1))).alias("weighted"))
+
+
+@query("tfidf_ngrams", f"""
+WITH d AS (SELECT doc_id, coalesce({_KEPT}, []) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
+c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term),
+v AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY sum(n) DESC, term) - 1 AS idx FROM c GROUP BY term),
+x AS (SELECT doc_id, idx, n * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term) WHERE idx < 20000),
+s AS (SELECT doc_id, count(*) AS n_terms, sum(w * w) AS sq, sum(w * (idx % 97 + 1)) AS weighted FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_terms, 0)::integer AS n_terms, CASE WHEN sq > 0 THEN 1::double ELSE 0::double END AS norm,
+       round(coalesce(weighted / sqrt(sq), 0.0), 6) AS weighted FROM documents LEFT JOIN s USING (doc_id)""", "text")
 def q_tfidf_ngrams(spark, sf):
     from pyspark.ml.functions import vector_to_array
-    out, _ = TX.tfidf_ngrams(t(spark, sf, "documents"), "text", n=2, max_features=20000)
-    return out.select("doc_id", r6(F.sqrt(F.aggregate(vector_to_array("tfidf"), F.lit(0.0),
-                                                       lambda a, x: a + x * x))).alias("norm"))
+    out, _ = TX.tfidf_ngrams(t(spark, sf, "documents"), "text", n=2, max_features=20000, stop_words=_STOP)
+    d = out.select("doc_id", vector_to_array("tfidf").alias("v"))
+    # only what is not zero
+    d = d.select("doc_id", F.filter(F.transform("v", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["x"] != 0).alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, e: a + f(e))
+    return d.select("doc_id", F.size("v").alias("n_terms"), F.round(F.sqrt(total(lambda e: e["x"] * e["x"])), 6).alias("norm"),
+                    r6(total(lambda e: e["x"] * (e["i"] % 97 + 1))).alias("weighted"))
 
 
 @query("lda_topics", None, "text")

@@ -120,7 +120,7 @@ def test_failed_seeds_are_reported(spark):
         M.multi_seed_runs(step, [2])
 
 
-@pytest.mark.parametrize("name", ["standardize_sequence", "batch_embed", "count_vectorize", "tfidf_ngrams", "lda_topics",
+@pytest.mark.parametrize("name", ["batch_embed", "lda_topics",
                                   "coef_table", "run_params_metrics", "stack_cv", "select_resampler", "fit_logreg_tabular"])
 def test_other_rows_only_queries(spark, name):
     rows = _rows(spark, name)

@@ -66,3 +66,93 @@ def test_logreg_probabilities_sum_to_one(spark):
     sums = p.select(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
     assert len(sums) == d.count()
     assert all(abs(r["s"] - 1.0) < 1e-9 for r in sums)
+
+
+def test_pca_equals_numpy_on_the_whole_table(spark):
+    import numpy as np
+
+    from tessera.operators import prep as P
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 1000).alias("v"))
+    got = {r.vec_id: (r.pca_1, r.pca_2) for r in P.pca_2(e.repartition(5), "v").collect()}
+    rows = e.orderBy("vec_id").collect()
+    x = np.array([r.v for r in rows])
+    c = x - x.mean(0)
+    _, _, w = np.linalg.svd(c, full_matrices=False)
+    w = w[:2] * np.sign([r[np.abs(r).argmax()] for r in w[:2]])[:, None]
+    assert np.allclose([got[r.vec_id] for r in rows], c @ w.T, atol=1e-8)
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [3.0, 2.0]), (5, [1.0])], "vec_id long, v array<double>")
+    out = {r.vec_id: r.pca_1 for r in P.pca_2(odd, "v").collect()}
+    assert out == {1: -1.0, 4: 1.0, 2: None, 3: None, 5: None}
+    assert P.pca_2(odd.limit(0), "v").count() == 0
+
+
+def _three_classes(spark, dims=4):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    feats = [f"e{i}" for i in range(dims)]
+    return feats, e.select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("y"), *[
+        F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(feats)])
+
+
+def test_logistic_fit_is_stationary_and_predicts_its_formula(spark):
+    """The weighted likelihood's gradient is near zero, and probabilities are the softmax
+    of the coefficients the table lists."""
+    import numpy as np
+
+    from tessera.operators.prep import class_weights
+    feats, d = _three_classes(spark)
+    d = class_weights(d, "y").cache()
+    m = M.fit_logreg(d, feats, "y", "weight")
+    rows = d.orderBy("vec_id").collect()
+    x, y, w = (np.array([[r[f] for f in feats] for r in rows]), np.array([r.y for r in rows]), np.array([r.weight for r in rows]))
+    table = {(int(str(r["class"]).split("_")[-1]), r["feature"]): r["coefficient"] for r in M.coef_table(m, feats, spark).collect()}
+    coef = np.array([[table[c, f] for f in feats] for c in range(3)])
+    z = x @ coef.T + m.interceptVector.toArray()
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    gradient = ((p - np.eye(3)[y]) * w[:, None]).T @ np.c_[x, np.ones(len(x))] / w.sum()
+    assert np.abs(gradient).max() < 1e-4
+    got = {r.id: r.probs for r in M.predict(m, d, feats, "vec_id", "y", "lr").collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], p, atol=1e-9)
+
+
+def test_platt_sigmoids_are_fitted_on_the_other_folds(spark):
+    """Each fold's calibrated values follow the sigmoids that maximise the likelihood of the rest."""
+    import numpy as np
+    feats, d = _three_classes(spark)
+    oof = M.out_of_fold(d, "vec_id", "y", feats, M.fit_logreg, "lr").cache()
+    cal = M.calibrate_platt(oof, 3).collect()
+    for f in range(3):
+        rest = [r for r in cal if r.fold != f]
+        shares = []
+        for c in range(3):
+            s, t = np.array([r.probs[c] for r in rest]), np.array([r.y_true == c for r in rest], float)
+            a = np.zeros(2)
+            for _ in range(50):  # Newton's method
+                xx = np.c_[s, np.ones(len(s))]
+                q = 1 / (1 + np.exp(-xx @ a))
+                a -= np.linalg.solve((xx * (q * (1 - q))[:, None]).T @ xx + 1e-12 * np.eye(2), xx.T @ (q - t))
+            shares.append(lambda r, a=a, c=c: 1 / (1 + np.exp(-(a[0] * r.probs[c] + a[1]))))
+        for r in cal:
+            if r.fold == f:
+                v = np.array([g(r) for g in shares])
+                assert np.allclose(r.calibrated, v / v.sum(), atol=2e-3)
+
+
+def test_clusters_are_nearest_centres_and_topics_sum_to_one(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from tessera.operators import prep as P
+    from tessera.operators import text as TX
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        "vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    out, model = P.kmeans_5(e, "v")
+    centres = np.array(model.clusterCenters())
+    for r in out.collect():
+        d = ((centres - r.v.toArray()) ** 2).sum(1)
+        assert d[r.cluster] <= d.min() + 1e-12
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    counts, _ = TX.count_vectorize(docs, "text", min_df=5)
+    topics, _ = TX.lda_topics(counts, "counts", k=5, max_iter=3)
+    sums = topics.select("counts", sum((F.col(f"topic_{i}") for i in range(1, 6)), F.lit(0.0)).alias("s")).collect()
+    assert len(sums) == docs.count()
+    assert all(abs(r.s - 1) < 1e-6 or r.counts.numNonzeros() == 0 for r in sums)
