@@ -72,8 +72,10 @@ def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivo
 
     For the exact finish, ``outline`` may describe vertices ``(v)`` by a struct
     column ``o`` (taking the given vertices as all there are), ``possible`` tell
-    from two such structs that a pair cannot be ruled out, and ``named`` list pairs
-    ``(a, b)`` of two sets of vertices that are to be verified in any case."""
+    from two such structs and the bucket they meet in that a pair cannot be ruled
+    out there (it may leave a pair to another bucket that both are in), and
+    ``named`` list pairs ``(a, b)`` of two sets of vertices that are to be verified
+    in any case."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     m = cut_lineage(members.join(sizes, "bucket"))
     few = m.where(F.col("n") <= small).select("bucket", "v")
@@ -101,7 +103,7 @@ def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivo
     meet = (rest["bucket"] == open_["bucket"]) & (rest["xc"] != open_["c"]) & (
         (open_["c"] == open_["major"]) | (rest["x"] < open_["v"]))
     if possible is not None:
-        meet = meet & possible(rest["xo"], open_["o"])
+        meet = meet & possible(rest["xo"], open_["o"], open_["bucket"])
     left = rest.join(open_, meet).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
     if named is not None:
         left = left.unionByName(named(open_.where(outside).select("v").distinct(), open_.select("v").distinct()))

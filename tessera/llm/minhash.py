@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "key binary, shingles array<bigint>")
     sets = cut_lineage(sets.join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    size = classes.select("key", "n")
+    size = classes.select("key", "n", "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -177,18 +177,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col("key").alias("v"), F.explode("shingles").alias("s"))
 
     def outline(vertices: DataFrame) -> DataFrame:
-        """(v, o): set size and how many of the shingles are common, that is held by
-        more than ``RARE`` of the vertices."""
+        """(v, o): set size, how many of the shingles are common, that is held by
+        more than ``RARE`` of the vertices, and the band keys."""
         each = tokens(vertices)
         common = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("s")
         held = each.join(common, "s").groupBy("v").agg(F.count("*").alias("common"))
         return vertices.join(size.withColumnRenamed("key", "v"), "v").join(held, "v", "left").select(
-            "v", F.struct("n", F.coalesce("common", F.lit(0)).alias("common")).alias("o"))
+            "v", F.struct("n", F.coalesce("common", F.lit(0)).alias("common"), "bands").alias("o"))
 
-    def possible(x: Column, y: Column) -> Column:
-        """Whether two sets can be similar enough by common shingles alone."""
+    def possible(x: Column, y: Column, bucket: Column) -> Column:
+        """Whether two sets can be similar enough by common shingles alone; a pair is
+        taken in the first band that it shares, however many it shares."""
         most = F.least(x["common"], y["common"])
-        return 100 * most >= SIMILARITY * (x["n"] + y["n"] - most)
+        similar = 100 * most >= SIMILARITY * (x["n"] + y["n"] - most)
+        return similar & (F.get(F.array_intersect(x["bands"], y["bands"]), F.lit(0)) == bucket)
 
     def named(rest: DataFrame, vertices: DataFrame) -> DataFrame:
         """Pairs that share a rare shingle: at most ``RARE`` for each that is held."""
