@@ -98,12 +98,12 @@ def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivo
         open_ = cut_lineage(open_.join(outline(open_.select("v").distinct()), "v"))
     else:
         open_ = open_.withColumn("o", F.lit(None))
-    rest = open_.where(outside).select("bucket", F.col("v").alias("x"), F.col("c").alias("xc"), F.col("o").alias("xo"))
+    rest = open_.where(outside).select(F.col("bucket").alias("at"), F.col("v").alias("x"), F.col("c").alias("xc"), F.col("o").alias("xo"))
     # two members outside the largest component meet twice; keep one order
-    meet = (rest["bucket"] == open_["bucket"]) & (rest["xc"] != open_["c"]) & (
+    meet = (rest["at"] == open_["bucket"]) & (rest["xc"] != open_["c"]) & (
         (open_["c"] == open_["major"]) | (rest["x"] < open_["v"]))
     if possible is not None:
-        meet = meet & possible(rest["xo"], open_["o"], open_["bucket"])
+        meet = meet & possible(rest["xo"], open_["o"], rest["at"])
     left = rest.join(open_, meet).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
     if named is not None:
         left = left.unionByName(named(open_.where(outside).select("v").distinct(), open_.select("v").distinct()))
