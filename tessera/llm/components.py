@@ -11,10 +11,8 @@ if every pair of every bucket had been verified.
   are verified against all others: ``PIVOTS`` pairs per membership at most, and
   fewer where the same copies share many buckets.  This joins nearly all of a
   group of copies.
-* Buckets that still hold several components are finished exactly: every member
-  outside its bucket's largest component is verified against the members of other
-  components, except pairs that the caller's bound rules out and that the caller
-  does not name otherwise.
+* Buckets that still hold several components are finished exactly: pairs of
+  members of different components are verified, as the caller's index lists them.
 
 Vertices are ``binary`` or ``long`` values of any kind that sorts.  Components
 come from alternating large-star and small-star steps over checkpointed edge
@@ -63,19 +61,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(e.select("v", F.col("v").alias("c")).distinct()))
 
 
-def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivots: int = PIVOTS,
-                    outline: Verify | None = None, possible: Callable | None = None,
-                    named: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(members: DataFrame, verify: Verify, finish: Verify | None = None, small: int = SMALL,
+                    pivots: int = PIVOTS) -> DataFrame:
     """``members`` (bucket, v), distinct; ``verify`` takes distinct pairs ``(a, b)``
     with a < b and returns those that are linked.  Returns (v, c) for every vertex
     that has a link; c is the smallest vertex of its component.
 
-    For the exact finish, ``outline`` may describe vertices ``(v)`` by a struct
-    column ``o`` (taking the given vertices as all there are), ``possible`` tell
-    from two such structs and the bucket they meet in that a pair cannot be ruled
-    out there (it may leave a pair to another bucket that both are in), and
-    ``named`` list pairs ``(a, b)`` of two sets of vertices that are to be verified
-    in any case."""
+    ``finish`` takes the vertices ``(v, c)`` of open buckets with their components so
+    far and lists pairs ``(a, b)`` that hold every link between two components;
+    without it they are the bucket's own pairs."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     m = cut_lineage(members.join(sizes, "bucket"))
     few = m.where(F.col("n") <= small).select("bucket", "v")
@@ -87,26 +81,14 @@ def link_components(members: DataFrame, verify: Verify, small: int = SMALL, pivo
              .unionByName(stars.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))))
     comp = cut_lineage(connected_components(verify(pairs.distinct())))
     own = many.join(comp, "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
-    by_comp = own.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    split = (by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("k", "c")).alias("major"))
-             .where("comps > 1").drop("comps"))
+    split = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_ = cut_lineage(own.join(split, "bucket"))
     if open_.isEmpty():
         return comp
-    outside = F.col("c") != F.col("major")
-    if outline is not None:
-        open_ = cut_lineage(open_.join(outline(open_.select("v").distinct()), "v"))
+    if finish is not None:
+        left = finish(open_.select("v", "c").distinct())
     else:
-        open_ = open_.withColumn("o", F.lit(None))
-    rest = open_.where(outside).select(F.col("bucket").alias("at"), F.col("v").alias("x"), F.col("c").alias("xc"), F.col("o").alias("xo"))
-    # two members outside the largest component meet twice; keep one order
-    meet = (rest["at"] == open_["bucket"]) & (rest["xc"] != open_["c"]) & (
-        (open_["c"] == open_["major"]) | (rest["x"] < open_["v"]))
-    if possible is not None:
-        meet = meet & possible(rest["xo"], open_["o"], rest["at"])
-    left = rest.join(open_, meet).select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b"))
-    if named is not None:
-        left = left.unionByName(named(open_.where(outside).select("v").distinct(), open_.select("v").distinct()))
-    left = left.distinct()
+        x, y = (open_.select("bucket", F.col("v").alias(p), F.col("c").alias(f"{p}c")) for p in "ab")
+        left = x.join(y, "bucket").where("a < b and ac != bc").select("a", "b")
     stars = comp.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))
-    return cut_lineage(connected_components(stars.unionByName(verify(left).select("a", "b"))))
+    return cut_lineage(connected_components(stars.unionByName(verify(left.distinct()).select("a", "b"))))

@@ -32,8 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.session import cut_lineage
 
@@ -47,7 +48,6 @@ ROWS = 4
 BANDS = COORDS // ROWS
 SEED = 20_011
 VOCABULARY_CACHE = 400_000
-RARE = 8  # a shingle held by more of the open candidates counts as common
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -144,6 +144,32 @@ def sketch(docs: DataFrame) -> DataFrame:
         _sketch, f"doc_id {kind}, key binary, n_shingles bigint, bands array<bigint>")
 
 
+def prefix_pairs(vertices: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Pairs ``(a, b)`` of vertices ``(v, c, shingles)`` with different ``c``, among them
+    all that reach the similarity.
+
+    Shingles are ordered by how many of the vertices hold them, rarest first.  Sets
+    ``x``, ``y`` with ``|x| <= |y|`` that are similar share one of the first ``|x| (100 -
+    s) / (100 + s) + 1`` of ``x`` and ``|y| (100 - s) / 100 + 1`` of ``y``; and from the
+    first shingle they share on, enough must be left of both.  A shingle of one
+    vertex alone only takes its place in the order."""
+    s = similarity
+    each = vertices.select("v", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("v")
+    each = each.join(held, "s").withColumns({
+        "k": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("df", "s"))})
+    each = each.withColumn("p", F.col("n") - F.col("k") + F.col("r")).where(100 * (F.col("p") - 1) <= (100 - s) * F.col("n"))
+    each = cut_lineage(each.select("s", "v", "c", "n", "p"))
+    x = each.where((100 + s) * (F.col("p") - 1) <= (100 - s) * F.col("n")).select("s", *(F.col(c).alias("x" + c) for c in "vcnp"))
+    y = each.select("s", *(F.col(c).alias("y" + c) for c in "vcnp"))
+    shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xv") < F.col("yv")))
+    left = 1 + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
+    enough = (100 + s) * left >= s * (F.col("xn") + F.col("yn"))
+    met = x.join(y, (x["s"] == y["s"]) & shorter & (100 * F.col("xn") >= s * F.col("yn")) & enough & (F.col("xc") != F.col("yc")))
+    return met.select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (see the module text)."""
     rows = cut_lineage(sketch(docs))
@@ -162,7 +188,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "key binary, shingles array<bigint>")
     sets = cut_lineage(sets.join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    size = classes.select("key", "n", "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -172,36 +197,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         p = p.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return p.where(100 * F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    def tokens(vertices: DataFrame) -> DataFrame:
-        return sets.join(vertices.withColumnRenamed("v", "key"), "key").select(
-            F.col("key").alias("v"), F.explode("shingles").alias("s"))
-
-    def outline(vertices: DataFrame) -> DataFrame:
-        """(v, o): set size, how many of the shingles are common, that is held by
-        more than ``RARE`` of the vertices, and the band keys."""
-        each = tokens(vertices)
-        common = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("s")
-        held = each.join(common, "s").groupBy("v").agg(F.count("*").alias("common"))
-        return vertices.join(size.withColumnRenamed("key", "v"), "v").join(held, "v", "left").select(
-            "v", F.struct("n", F.coalesce("common", F.lit(0)).alias("common"), "bands").alias("o"))
-
-    def possible(x: Column, y: Column, bucket: Column) -> Column:
-        """Whether two sets can be similar enough by common shingles alone; a pair is
-        taken in the first band that it shares, however many it shares."""
-        most = F.least(x["common"], y["common"])
-        similar = 100 * most >= SIMILARITY * (x["n"] + y["n"] - most)
-        return similar & (F.get(F.array_intersect(x["bands"], y["bands"]), F.lit(0)) == bucket)
-
-    def named(rest: DataFrame, vertices: DataFrame) -> DataFrame:
-        """Pairs that share a rare shingle: at most ``RARE`` for each that is held."""
-        each = tokens(vertices)
-        rare = each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df").between(2, RARE)).select("s")
-        each = each.join(rare, "s")
-        mine = each.join(rest, "v", "left_semi").select("s", F.col("v").alias("x"))
-        return (mine.join(each, "s").where("x != v")
-                .select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct())
-
-    linked = link_components(members, verify, outline=outline, possible=possible, named=named)
+    def finish(vertices: DataFrame) -> DataFrame:
+        return prefix_pairs(sets.select(F.col("key").alias("v"), "shingles").join(vertices, "v"))
+
+    linked = link_components(members, verify, finish)
     grouped = classes.join(linked.select(F.col("v").alias("key"), "c"), "key", "left")
     ids = (grouped.where("c is not null").groupBy("c").agg(F.min("id").alias("component_id")))
     named = (grouped.where("c is not null or copies > 1").join(ids, "c", "left")
