@@ -11,9 +11,11 @@ Documents are mapped in place: there is no shuffle.  The test set is collected
 in blocks of at most ``BLOCK_CHARS`` characters, one pass over the documents per
 block, so nothing of unbounded size is sent to the executors.
 
-Defined cases: null and empty documents match nothing.  Null items and items of
-fewer than ``MIN_CHARS`` characters after normalisation are not searched: they
-cannot be told from ordinary prose.  Items repeated under one ``item_id`` count
+Items of fewer than ``MIN_CHARS`` characters cannot be told from ordinary prose when
+edited; they are found as exact runs of whole words.
+
+Defined cases: null and empty documents match nothing; null items and items
+without a word character are in no document.  Items repeated under one ``item_id`` count
 once, with the smallest distance; ties between places go to the first.  Repeated
 document rows each report.  Extra columns are ignored (stage function: kept).
 Empty tables give an empty result (stage function: every document).
@@ -42,7 +44,11 @@ def normalise(text: str | None) -> str:
 
 
 def budget(n: int, percent: int) -> int:
-    return n * percent // 100
+    return n * percent // 100 if n >= MIN_CHARS else 0
+
+
+def whole_words(doc: str, a: int, b: int) -> bool:
+    return (a == 0 or doc[a - 1] == " ") and (b == len(doc) or doc[b] == " ")
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -105,6 +111,8 @@ class Matcher:
                 n = len(self.items[row][1])
                 k = budget(n, self.percent)
                 begin = last + 1 - size - at
+                if n < MIN_CHARS and not whole_words(doc, begin, begin + n):
+                    continue
                 around[row].append((max(0, begin - k), min(len(doc), begin + n + k)))
         found: dict[object, tuple[int, int, int]] = {}
         for row, spans in around.items():
@@ -132,7 +140,7 @@ def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[li
     for b in range(blocks):
         part = t.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else t
         rows = [(r["item_id"], normalise(r["text"])) for r in part.distinct().collect()]
-        rows = sorted({r for r in rows if len(r[1]) >= MIN_CHARS}, key=lambda r: (str(r[0]), r[1]))
+        rows = sorted({r for r in rows if r[1]}, key=lambda r: (str(r[0]), r[1]))
         if rows:
             yield rows
 

@@ -59,10 +59,26 @@ def test_edges(spark):
     docs = H.with_clashing_columns(H.edge_documents(spark))
     items = _items(spark, [(1, None), (2, ""), (3, "the cat"), (4, "the cat of the house and the dog"), (4, "the dog is in a garden that was"), (None, "of the day 29999 no no")])
     out = decontam.matches(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(1, 4), (None, 4), (6, 4)} and len(out) == 4
+    assert {(r.doc_id, r.item_id) for r in out} == {(i, k) for i in (1, None, 6) for k in (3, 4)} and len(out) == 8
     stay = decontam.uncontaminated(docs, items)
     assert stay.columns == docs.columns and sorted(str(r.doc_id) for r in stay.collect()) == ["2", "3", "4", "5", "None"]
     none = items.limit(0)
     assert decontam.matches(docs, none).count() == 0 and decontam.uncontaminated(docs, none).count() == docs.count()
     empty = H.documents(spark, [])
     assert decontam.matches(empty, items).count() == 0 and decontam.uncontaminated(empty, items).count() == 0
+
+
+def test_short_items_are_exact_runs_of_words(spark):
+    texts = ["The cat's tale", "concatenate", "a cat", "cat", "bobcat cat-", "category", "x y", "x  Y!", "xx yy"]
+    items = [(1, "cat"), (2, "x y"), (3, "!?"), (4, "cat tales")]
+    want = set()
+    for i, t in enumerate(texts):
+        for k, item in items:
+            n = decontam.normalise(item)
+            if n and f" {n} " in f" {decontam.normalise(t)} ":
+                want.add((i, k))
+    out = decontam.matches(H.documents(spark, list(enumerate(texts))), _items(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == want and {r.distance for r in out} == {0} and len(want) == 6
+    for r in out:
+        doc = decontam.normalise(texts[r.doc_id])
+        assert doc[r.end_at - r.item_chars:r.end_at] == decontam.normalise(dict(items)[r.item_id])
