@@ -8,12 +8,14 @@ smoothed with a Gaussian over neighbouring lines; lines above the standard
 deviation of the smoothed ratios (the threshold) form the content cluster.
 
 Lines belong to containers (article, main, section, division, list, table cell
-...).  If a container inside an article or main element holds a line of the
-cluster, the whole innermost such element is the content region, and regions
-outside such elements are left out; else the smallest container around all lines
-of the cluster is.  Every line of a region is kept, in containers at any depth, so
-a short paragraph, list or table of an article is not lost; only boilerplate and
-containers whose own text is mostly links are left out.
+...).  If the cluster has a line in an article, every outermost article of the page
+is content; else, if in a main element, those; else the smallest container around
+the cluster, after strays (single lines in a block of their own beside a block that
+holds most of the cluster's text) are left out.  Every line of a region is kept,
+in containers at any depth.  Boilerplate is left out; inside an article, names that
+its sections may have too count only in a class or id without other words, and some
+only where the text is thin or mostly links.  Lists of links are left out where they
+are not in an article or main element.
 
 Character references are decoded, white space inside a line becomes one space,
 and lines are joined by one space.  Row-local: there is no shuffle; memory is one
@@ -61,6 +63,16 @@ SKIPPED_NAMES = frozenset("ad ads adsense advert advertisement advertising adver
                           "overlay pager pagination popup promo promotion recommended related replies reply respond "
                           "share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
                           "widget widgets".split())
+# Of these, names that an article's own sections may have too: inside an article they
+# only count where the text is thin or mostly links.
+WEAK_NAMES = frozenset("ad ads aside banner copyright disclaimer hidden legal login menu notice notices overlay popup promo "
+                       "promotion recommended related share sharing skip social toolbar widget widgets".split())
+# Words of a compound class or id beside which such a name keeps its meaning.
+PLAIN_NAMES = frozenset("area bar block body bottom box button buttons container content footer group header icon icons inner item items "
+                        "left link links list main media outer page panel post right row section site slot text thread title "
+                        "top unit wrap wrapper".split())
+THIN_CHARS = 120
+DOMINANT_SHARE = 0.7
 # Boilerplate only outside an article or main element.
 PAGE_HEADERS = frozenset(["header"])
 
@@ -69,10 +81,10 @@ _WEIGHTS = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(-RADIUS, RADIUS + 1
 
 
 class _Region:
-    __slots__ = ("parent", "boilerplate", "article", "top", "chars", "link_chars", "content")
+    __slots__ = ("parent", "boilerplate", "article", "top", "suspect", "chars", "link_chars", "content")
 
-    def __init__(self, parent: "_Region | None", boilerplate: bool, article: bool, top: bool = False):
-        self.parent, self.boilerplate, self.article, self.top = parent, boilerplate, article, top
+    def __init__(self, parent: "_Region | None", boilerplate: bool, article: bool, top: str = "", suspect: bool = False):
+        self.parent, self.boilerplate, self.article, self.top, self.suspect = parent, boilerplate, article, top, suspect
         self.chars = self.link_chars = 0
         self.content = False
 
@@ -97,13 +109,21 @@ class PageLines(HTMLParser):
                 self.lines.append((line, self.tags, self.open[-1][1]))
                 self.tags = 0
 
-    def _boilerplate(self, tag: str, attrs: list, region: _Region) -> bool:
+    def _boilerplate(self, tag: str, attrs: list, region: _Region) -> bool | None:
+        """None: only if the text turns out thin or mostly links."""
         if tag in SKIPPED or (tag in PAGE_HEADERS and not region.article):
             return True
+        weak = False
         for key, value in attrs:
             if key in ("class", "id") and value:
+                if region.article:
+                    found = set().union(*map(_article_names, value.split()))
+                    if found - WEAK_NAMES:
+                        return True
+                    weak = weak or bool(found)
+                    continue
                 names = {w.lower() for w in _NAME.findall(value)}
-                if names & SKIPPED_NAMES or (names & PAGE_HEADERS and not region.article and tag != "body"):
+                if names & SKIPPED_NAMES or (names & PAGE_HEADERS and tag != "body"):
                     return tag not in ("html", "body", "main")
             elif key == "role" and value and value.lower() in SKIPPED_ROLES:
                 return True
@@ -111,7 +131,7 @@ class PageLines(HTMLParser):
                 return True
             elif key == "style" and value and re.search(r"display\s*:\s*none", value):
                 return True
-        return False
+        return None if weak else False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -128,12 +148,13 @@ class PageLines(HTMLParser):
                 self.open.pop()
         region = self.open[-1][1]
         drop = region.boilerplate or self._boilerplate(tag, attrs, region)
-        if drop and not region.boilerplate and not block:
+        suspect, drop = drop is None, bool(drop)
+        if (drop or suspect) and not region.boilerplate and not block:
             self.end_line()
-        if block or drop:
-            if tag in CONTAINERS or drop != region.boilerplate:
-                top = tag in ("article", "main")
-                region = _Region(region, drop, region.article or top, top)
+        if block or drop or suspect:
+            if tag in CONTAINERS or suspect or drop != region.boilerplate:
+                top = tag if tag in ("article", "main") else ""
+                region = _Region(region, drop, region.article or bool(top), top, suspect)
                 self.regions.append(region)
             self.open.append((tag, region))
 
@@ -163,11 +184,69 @@ class PageLines(HTMLParser):
         self.text.append(data)
 
 
-def article_of(region: _Region) -> _Region:
-    """The innermost article or main element around a region inside one."""
-    while not region.top:
-        region = region.parent
-    return region
+def _article_names(name: str) -> set[str]:
+    """The boilerplate words of one class or id of an element inside an article, if all
+    its other words are plain ones (not ``social-history`` or ``share-prices``)."""
+    names = {w.lower() for w in _NAME.findall(name)}
+    found = names & SKIPPED_NAMES
+    return found if names <= SKIPPED_NAMES | PLAIN_NAMES else set()
+
+
+def settle_suspects(regions: list[_Region]) -> None:
+    """Suspect regions that are thin or mostly links, with all inside them, are boilerplate."""
+    held = {id(r): [r.chars, r.link_chars] for r in regions}
+    for r in reversed(regions):  # parents come before the regions inside them
+        if r.parent is not None:
+            for k, n in enumerate(held[id(r)]):
+                held[id(r.parent)][k] += n
+    for r in regions:
+        chars, links = held[id(r)]
+        if r.parent is not None and r.parent.boilerplate or r.suspect and (chars < THIN_CHARS or links > LINK_SHARE * chars):
+            r.boilerplate = True
+
+
+def articles(regions: list[_Region], cluster: list[_Region]) -> list[_Region]:
+    """Every outermost article element if the cluster has a line in one; else the outermost
+    main elements with such a line; else none."""
+    def outer(r: _Region | None, top: str) -> _Region | None:
+        out = None
+        while r is not None:
+            out = r if r.top == top else out
+            r = r.parent
+        return out
+
+    if any(outer(r, "article") for r in cluster):
+        return [r for r in regions if r.top == "article" and not r.boilerplate and outer(r.parent, "article") is None]
+    return list(dict.fromkeys(m for r in cluster if (m := outer(r, "main"))))
+
+
+def main_region(cluster: list[tuple[str, _Region]], lines: list[tuple[str, int, _Region]]) -> _Region:
+    """The smallest region around the cluster, after leaving out strays: single lines in a
+    block of their own beside a block that holds most of the cluster's text."""
+    while True:
+        around = common_ancestor([r for _, r in cluster])
+
+        def branch(r: _Region) -> _Region | None:
+            while r is not around and r.parent is not around:
+                r = r.parent
+            return r if r is not around else None
+
+        text: dict[int, int] = {}
+        for t, r in cluster:
+            text[id(branch(r))] = text.get(id(branch(r)), 0) + len(t)
+        most = max(text, key=text.get)
+        if most == id(None) or len(text) < 2 or text[most] < DOMINANT_SHARE * sum(text.values()):
+            return around
+        inside: dict[int, int] = {}
+        for _, _, r in lines:
+            up = r
+            while up is not None and up is not around:
+                up = up.parent
+            if up is around:
+                inside[id(branch(r))] = inside.get(id(branch(r)), 0) + 1
+        if any(b != most and (b == id(None) or inside[b] > 1) for b in text):
+            return around
+        cluster = [(t, r) for t, r in cluster if id(branch(r)) == most]
 
 
 def common_ancestor(regions: list[_Region]) -> _Region:
@@ -207,17 +286,18 @@ def extract(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
+    settle_suspects(page.regions)
     ratios = smooth([0.0 if r.boilerplate else len(t) / max(1, n) for t, n, r in lines])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
-    plain = [not r.boilerplate and r.link_chars <= LINK_SHARE * r.chars for _, _, r in lines]
+    # an article's lists of links are part of it, others are menus
+    plain = [not r.boilerplate and (r.article or r.link_chars <= LINK_SHARE * r.chars) for _, _, r in lines]
     own = [x for x, p in zip(ratios, plain) if p]
     if not own:
         return ""
     threshold = min(threshold, max(own))
-    cluster = list(dict.fromkeys(r for x, p, (_, _, r) in zip(ratios, plain, lines) if x >= threshold and p))
-    inside = [r for r in cluster if r.article]
-    for r in map(article_of, inside) if inside else [common_ancestor(cluster)]:
+    cluster = [(t, r) for x, p, (t, _, r) in zip(ratios, plain, lines) if x >= threshold and p]
+    for r in articles(page.regions, [r for _, r in cluster]) or [main_region(cluster, lines)]:
         r.content = True
     for r in page.regions:  # parents come before the regions inside them
         if r.parent is not None and r.parent.content and not r.boilerplate:

@@ -104,11 +104,27 @@ def test_main_text_in_child_containers():
     inner = f"""<section><h2>First</h2><div><p>{long}</p></div><div><p>Short one.</p></div><div><div><p>Deep.</p></div></div></section>
 <section><h2>Second</h2><ul><li>a point<li>next</ul><table><tr><td>cell</td><td>2</td></tr></table></section>
 <div class="share">Share</div><ul><li><a href=a>A link elsewhere</a></ul><div><p>{long}</p></div><div><p>End.</p></div>"""
-    want = f"First {long} Short one. Deep. Second a point next cell 2 {long} End."
+    want = f"First {long} Short one. Deep. Second a point next cell 2 %s{long} End."
     page = "<body><div>Slogan</div>%s<div>Imprint line</div></body>"
-    assert htmltext.extract(page % f"<article>{inner}</article>") == want
-    assert htmltext.extract(page % f"<main><div>{inner}</div></main>") == want
-    assert htmltext.extract(page % f"<div>{inner}</div>") == want
+    assert htmltext.extract(page % f"<article>{inner}</article>") == want % "A link elsewhere "
+    assert htmltext.extract(page % f"<main><div>{inner}</div></main>") == want % "A link elsewhere "
+    assert htmltext.extract(page % f"<div>{inner}</div>") == want % ""
+
+
+def test_main_text_beside_strays_and_odd_names():
+    """A policy bar without a telling name; sections of an article named like boilerplate; an
+    article's list of sources; a second article of short lines."""
+    long = " ".join(["This paragraph is long enough to stand out among the short lines of a page."] * 4)
+    story = f"<div class=story><h1>Head</h1><p>{long}</p><p>{long}</p><p>Short end.</p></div>"
+    page = f"<body><div class=bar>We set small files to remember what you like and for nothing else at all, read our policy on it.</div>{story}<div>Contact</div><div>Weather <b>today</b></div>"
+    assert htmltext.extract(page) == f"Head {long} {long} Short end."
+    body = f"""<h1>T</h1><p>{long}</p><section class="social-history"><p>{long}</p></section><div id="share-prices"><p>Prices rose.</p></div>
+<div class="related"><p>{long}</p></div><div class="social share"><a href=a>Post it</a></div><div class="related-links"><ul><li><a href=a>{long}</a></ul></div>
+<h2>Sources</h2><ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul><div class="comment-list"><p>{long}</p></div>"""
+    want = f"T {long} {long} Prices rose. {long} Sources First source Second source"
+    assert htmltext.extract(f"<body><nav>menu</nav><article>{body}</article><footer>f</footer>") == want
+    second = "<article><h2>Brief</h2><p>All is well.</p></article>"
+    assert htmltext.extract(f"<body><article>{body}</article>{second}<div>Imprint</div>") == want + " Brief All is well."
 
 
 def test_main_text_edges(spark):
@@ -133,6 +149,96 @@ def test_toxicity_learns_no_held_out_label(spark):
     assert sorted(toxicity.score_toxicity(docs, labels).collect()) == sorted(toxicity.score_toxicity(docs, flipped).collect())
 
 
+def _small_corpus():
+    import random
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(120):
+        toxic = k % 3 == 0
+        pool = "bad worse awful you are".split() if toxic else "good kind you are here".split()
+        rows.append((k, " ".join(rng.choice(pool + "a b c".split()) for _ in range(rng.randrange(1, 9)))))
+        labels.append((k, 1, int(toxic)))
+    return rows + [(500, None), (501, "never seen words"), (502, "You are, bad. bad you ARE here")], labels
+
+
+def _brute_models(rows, labels):
+    """Kneser-Ney by dictionaries: word and bigram probabilities of both classes."""
+    from collections import Counter, defaultdict
+    text = dict(rows)
+    train = [(text[i], y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    held, after, total = ([Counter(), Counter()] for _ in range(3))
+    kinds = [defaultdict(set), defaultdict(set)]
+    docs, single = [0, 0], [Counter(), Counter()]
+    for t, y in train:
+        ws = toxicity.words(t)
+        docs[y] += 1
+        single[y].update(set(ws))
+        held[y].update(set(zip([None, *ws], ws)))
+    for y in (0, 1):
+        for (u, w), n in held[y].items():
+            after[y][w] += 1
+            total[y][u] += n
+            kinds[y][u].add(w)
+    every = Counter(w for _, t in rows for w in toxicity.words(t))
+    share = {w: n / sum(every.values()) for w, n in every.items()}
+    d = toxicity.DISCOUNT
+
+    def p(y, w):
+        k = sum(after[y].values())
+        return (max(after[y][w] - d, 0) + d * len(after[y]) * share[w]) / k
+
+    def q(y, u, w):
+        m = total[y][u]
+        return (max(held[y][u, w] - d, 0) + d * len(kinds[y][u]) * p(y, w)) / m if m else p(y, w)
+
+    def evident(n0, n1):
+        e = (n0 + n1) * docs[1] / sum(docs)
+        return abs(n1 - e) > toxicity.EVIDENCE * (e + 1) ** 0.5
+
+    def ratio(t):
+        import math
+        ws, out = toxicity.words(t), []
+        for u, w in zip([None, *ws], ws):
+            r = math.log(p(1, w) / p(0, w)) if evident(single[0][w], single[1][w]) else 0.0
+            if evident(held[0][u, w], held[1][u, w]):
+                r = math.log(q(1, u, w) / q(0, u, w))
+            out.append(r)
+        return sum(out) / len(out) if out else 0.0
+    return p, q, ratio, every, total
+
+
+def test_toxicity_models_sum_to_one_and_score_by_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(toxicity, "EVIDENCE", 1.0)
+    rows, labels = _small_corpus()
+    docs = H.documents(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    counts = toxicity.count_expressions(docs, toxicity.training_rows(table, False))
+    models = toxicity.word_models(counts, docs).cache()
+    p, q, ratio, every, total = _brute_models(rows, labels)
+    sums = models.agg(F.sum("p0"), F.sum("p1"), F.count("*")).first()
+    assert abs(sums[0] - 1) < 1e-9 and abs(sums[1] - 1) < 1e-9 and sums[2] == len(every)
+    hashes = toxicity.WordHashes()
+    key = {w: int(toxicity.word_hashes(w.decode(), hashes)[0]) for w in every}
+    key[None] = 0
+    got = {r.w: (r.p0, r.p1) for r in models.collect()}
+    assert all(abs(got[key[w]][y] - p(y, w)) < 1e-12 for w in every for y in (0, 1))
+    # every pair of a context: what follows it sums to one in each class
+    n = {(r.u, r.w): (r.n0, r.n1) for r in counts.where("u is not null").collect()}
+    contexts = [u for u in ({None} | set(every)) if total[0][u] and total[1][u]]
+    pairs = [(key[u], key[w], *n.get((key[u], key[w]), (0, 0))) for u in contexts for w in every]
+    made = toxicity.bigram_models(counts, spark.createDataFrame(pairs, "u long, w long, n0 long, n1 long"), models)
+    bigrams = {(r.u, r.w): (r.p0, r.p1) for r in made.collect()}
+    for u in contexts:
+        for y in (0, 1):
+            assert abs(sum(bigrams[key[u], key[w]][y] for w in every) - 1) < 1e-9
+            assert all(abs(bigrams[key[u], key[w]][y] - q(y, u, w)) < 1e-12 for w in every)
+    model = toxicity.fit_counts(docs, table)
+    assert len(model.words) and len(model.bigrams)
+    for _, t in rows:
+        assert abs(model.ratio(toxicity.word_hashes(t, hashes)) - ratio(t)) < 1e-9
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(400)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     rows = [(k, ("nasty words here " if k % 2 else "kind words here ") + f"n{k}") for k in range(400)]
