@@ -67,9 +67,9 @@ def link_components(members: DataFrame, verify: Verify, finish: Verify | None =
     with a < b and returns those that are linked.  Returns (v, c) for every vertex
     that has a link; c is the smallest vertex of its component.
 
-    ``finish`` takes the vertices ``(v, c)`` of open buckets with their components so
-    far and lists pairs ``(a, b)`` that hold every link between two components;
-    without it they are the bucket's own pairs."""
+    ``finish`` takes the memberships ``(bucket, v, c)`` of open buckets with the
+    components so far and lists pairs ``(a, b)`` that hold every link between two
+    components; without it they are the bucket's own pairs."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     m = cut_lineage(members.join(sizes, "bucket"))
     few = m.where(F.col("n") <= small).select("bucket", "v")
@@ -86,7 +86,7 @@ def link_components(members: DataFrame, verify: Verify, finish: Verify | None =
     if open_.isEmpty():
         return comp
     if finish is not None:
-        left = finish(open_.select("v", "c").distinct())
+        left = finish(open_)
     else:
         x, y = (open_.select("bucket", F.col("v").alias(p), F.col("c").alias(f"{p}c")) for p in "ab")
         left = x.join(y, "bucket").where("a < b and ac != bc").select("a", "b")

@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         p = p.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return p.where(100 * F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    def finish(vertices: DataFrame) -> DataFrame:
-        return prefix_pairs(sets.select(F.col("key").alias("v"), "shingles").join(vertices, "v"))
+    def finish(open_: DataFrame) -> DataFrame:
+        return prefix_pairs(sets.select(F.col("key").alias("v"), "shingles").join(open_.select("v", "c").distinct(), "v"))
 
     linked = link_components(members, verify, finish)
     grouped = classes.join(linked.select(F.col("v").alias("key"), "c"), "key", "left")
