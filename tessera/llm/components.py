@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from .stored import stored
 
 SMALL = 8
 PIVOTS = 3
@@ -47,8 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star links the larger neighbours of a vertex to the smallest vertex
     around it, small-star the smaller ones; the two are repeated until the edges
     form stars.  Only aggregates and equi-joins are used."""
-    e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .where("u != v").distinct())
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                    .where("u != v").distinct(), "components")
     while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        e = cut_lineage(small)
+        e = stored(small, "components")
     return (e.select(F.col("u").alias("v"), F.col("v").alias("c"))
             .unionByName(e.select("v", F.col("v").alias("c")).distinct()))
 
@@ -71,7 +71,7 @@ def link_components(members: DataFrame, verify: Verify, finish: Verify | None =
     components so far and lists pairs ``(a, b)`` that hold every link between two
     components; without it they are the bucket's own pairs."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    m = cut_lineage(members.join(sizes, "bucket"))
+    m = stored(members.join(sizes, "bucket"), "components")
     few = m.where(F.col("n") <= small).select("bucket", "v")
     many = m.where(F.col("n") > small).select("bucket", "v")
     hashes = [F.xxhash64("v", F.lit(r)) for r in range(pivots)]
@@ -79,10 +79,10 @@ def link_components(members: DataFrame, verify: Verify, finish: Verify | None =
     stars = many.join(chosen, "bucket").select("v", F.explode("p").alias("p")).where("v != p")
     pairs = (few.withColumnRenamed("v", "a").join(few.withColumnRenamed("v", "b"), "bucket").where("a < b").select("a", "b")
              .unionByName(stars.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b"))))
-    comp = cut_lineage(connected_components(verify(pairs.distinct())))
+    comp = stored(connected_components(verify(pairs.distinct())), "components")
     own = many.join(comp, "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
     split = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = cut_lineage(own.join(split, "bucket"))
+    open_ = stored(own.join(split, "bucket"), "components")
     if open_.isEmpty():
         return comp
     if finish is not None:
@@ -91,4 +91,4 @@ def link_components(members: DataFrame, verify: Verify, finish: Verify | None =
         x, y = (open_.select("bucket", F.col("v").alias(p), F.col("c").alias(f"{p}c")) for p in "ab")
         left = x.join(y, "bucket").where("a < b and ac != bc").select("a", "b")
     stars = comp.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b"))
-    return cut_lineage(connected_components(stars.unionByName(verify(left.distinct()).select("a", "b"))))
+    return stored(connected_components(stars.unionByName(verify(left.distinct()).select("a", "b"))), "components")

@@ -36,9 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import cut_lineage
-
 from .components import link_components
+from .stored import stored
 
 WIDTH = 5
 SIMILARITY = 75
@@ -160,7 +159,7 @@ def prefix_pairs(vertices: DataFrame, similarity: int = SIMILARITY) -> DataFrame
     each = each.join(held, "s").withColumns({
         "k": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("df", "s"))})
     each = each.withColumn("p", F.col("n") - F.col("k") + F.col("r")).where(100 * (F.col("p") - 1) <= (100 - s) * F.col("n"))
-    each = cut_lineage(each.select("s", "v", "c", "n", "p"))
+    each = stored(each.select("s", "v", "c", "n", "p"), "minhash")
     x = each.where((100 + s) * (F.col("p") - 1) <= (100 - s) * F.col("n")).select("s", *(F.col(c).alias("x" + c) for c in "vcnp"))
     y = each.select("s", *(F.col(c).alias("y" + c) for c in "vcnp"))
     shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xv") < F.col("yv")))
@@ -172,14 +171,14 @@ def prefix_pairs(vertices: DataFrame, similarity: int = SIMILARITY) -> DataFrame
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (see the module text)."""
-    rows = cut_lineage(sketch(docs))
+    rows = stored(sketch(docs), "minhash")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"),
         F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
-    classes = cut_lineage(classes)
+    classes = stored(classes, "minhash")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("v"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = cut_lineage(members.join(shared, "bucket"))
+    members = stored(members.join(shared, "bucket"), "minhash")
     candidates = members.select(F.col("v").alias("key")).distinct().join(classes.select("key", "id"), "key")
     # texts are fetched once, by id, and only for candidates; the digest tells
     # rows apart that share an id
@@ -187,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").alias("d").join(
         wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "key binary, shingles array<bigint>")
-    sets = cut_lineage(sets.join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    sets = stored(sets.join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key"]), "minhash")
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
