@@ -5,22 +5,28 @@ values, access keys and hexadecimal runs.  The method adds spans of kind
 ``random``: unbroken runs of at least ``MIN_TOKEN`` characters of
 ``[A-Za-z0-9+/_-]``, clear of base spans, that look like random data.
 
-* *Encoding.*  hex, base32, base36 or base64, the smallest alphabet that holds
-  the token, gives each character a code.
-* *Battery.*  Under a uniform alphabet: a chi-squared test of uniformity (by the
-  number of equal character pairs, an affine form of the statistic that stays
-  usable on short tokens), a runs test above and below the alphabet's middle,
-  and a lag-one serial-correlation test.  A token whose smallest p-value times
-  three is below ``ALPHA`` is not random.
-* *False-discovery control.*  Against ordinary text, in which neighbours change
-  character class (lower, upper, digit, other) with probability at most
-  ``CLASS_CHANGE``, a token's class changes have the Chernoff p-value
-  ``exp(-pairs * KL)``.  The Benjamini-Hochberg step-up at rate ``FDR`` runs over
-  all tokens of the table, separately in each length stratum, so long tokens,
-  where evidence is cheap, do not lend significance to short ones.  P-values are
-  counted in bins of a tenth of a decade and a bin is judged by its upper edge,
+* *Encoding.*  hex, letters of one case, base32, base36 or base64, the smallest
+  alphabet that holds the token, gives each character a code.
+* *Battery, against random data.*  Under a uniform alphabet: a chi-squared test of
+  uniformity (by the number of equal character pairs, an affine form of the
+  statistic that stays usable on short tokens), a runs test above and below the
+  alphabet's middle, and a lag-one serial-correlation test.  A token whose smallest
+  p-value times three is below ``ALPHA`` is not random.
+* *Battery, against ordinary text.*  Frequencies of neighbouring characters are
+  counted over all words shorter than a token in all rows (with
+  ``PRIOR`` pseudo-counts of a text whose neighbours change class - lower, upper,
+  digit, other - with probability ``CLASS_CHANGE``, for tables with little text).
+  They hold what the three tests look at: uneven use of characters, runs of a class,
+  and serial dependence.  The likelihood ratio of a uniform alphabet to ordinary
+  text has mean one under ordinary text, so its inverse, times the number of
+  alphabets, is a p-value at every length.
+* *False-discovery control.*  The Benjamini-Hochberg step-up at rate ``FDR`` runs over
+  the p-values against ordinary text of all tokens of the table, separately in each
+  length stratum, so long tokens, where evidence is cheap, do not lend significance to
+  short ones.  P-values are counted in bins of a tenth of a decade and a bin is judged by its upper edge,
   which makes the step-up slightly conservative and its table bounded: the driver
-  reads at most ``len(STRATA) * MAX_BIN`` counts.
+  reads at most ``len(STRATA) * MAX_BIN`` counts, and the counts of at most
+  ``len(SYMBOLS) ** 2`` pairs of characters.
 
 Everything is DataFrame expressions.  A document's spans and token statistics are
 checkpointed once (texts are not), then judged against the thresholds.  Positions
@@ -34,6 +40,8 @@ columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +58,7 @@ MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHA = 0.001
 CLASS_CHANGE = 0.08
+PRIOR = 100.0
 FDR = 0.01
 STRATA = [20, 32, 48, 64]  # smallest token length of each stratum
 BINS_PER_DECADE = 10
@@ -57,7 +66,8 @@ MAX_BIN = 1000
 BLOCK = 128
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
+SYMBOLS = _LOWER + _UPPER + _DIGITS + "+/_-"  # the characters of tokens
+ALPHABETS = {"hex": _DIGITS + "abcdef", "letters": _LOWER, "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
              "base64": _UPPER + _LOWER + _DIGITS + "+/"}
 
 SPAN = "struct<start:int,kind:int,stop:int>"
@@ -125,6 +135,7 @@ def upper_tail(z: Column) -> Column:
 
 def _encoding(token: Column) -> Column:
     return (F.when(F.rlike(token, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), "hex")
+            .when(F.rlike(token, F.lit("^([a-z]+|[A-Z]+)$")), "letters")
             .when(F.rlike(token, F.lit("^[A-Z2-7]+$")), "base32")
             .when(F.rlike(token, F.lit("^([0-9a-z]+|[0-9A-Z]+)$")), "base36").otherwise("base64"))
 
@@ -133,7 +144,7 @@ def uniform_p(token: Column) -> Column:
     """Smallest p-value of the battery times three, under a uniform alphabet."""
     def by_encoding(e: Column) -> Column:
         alphabet = F.element_at(F.create_map(*(F.lit(x) for kv in ALPHABETS.items() for x in kv)), e)
-        plain = (F.when(e.isin("hex", "base36"), F.lower(token))
+        plain = (F.when(e.isin("hex", "letters", "base36"), F.lower(token))
                  .when(e == "base64", F.translate(token, "-_", "+/")).otherwise(token))
         size = F.length(alphabet).cast("double")
         return let(F.transform(F.split(plain, ""), lambda c: F.call_function("instr", alphabet, c) - 1),
@@ -167,20 +178,42 @@ def uniform_p(token: Column) -> Column:
     return let(_encoding(token), by_encoding)
 
 
-def ordinary_bin(token: Column) -> Column:
-    """Bin (tenths of a decade) of the p-value of the token's class changes under
-    ordinary text; larger is less ordinary."""
-    kind = lambda c: (F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1)
-                      .when(c.between("0", "9"), 2).otherwise(3))
-    def changes(kinds: Column) -> Column:
-        k = F.size(F.filter(kinds, lambda x, i: F.coalesce(x != F.get(kinds, i - 1), F.lit(False)))).cast("double")
-        return let(k / (F.size(kinds) - 1), lambda share: bits(share, F.size(kinds) - 1))
-    def bits(x: Column, pairs: Column) -> Column:
-        kl = (F.when(x > 0, x * F.log(x / CLASS_CHANGE)).otherwise(F.lit(0.0))
-              + F.when(x < 1, (1 - x) * F.log((1 - x) / (1 - CLASS_CHANGE))).otherwise(F.lit(0.0)))
-        decades = F.when(x > CLASS_CHANGE, pairs * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
-        return F.least(F.lit(MAX_BIN), F.floor(decades * BINS_PER_DECADE)).cast("int")
-    return let(F.transform(F.split(token, ""), kind), changes)
+def neighbour_counts(docs: DataFrame) -> DataFrame:
+    """How often each pair of token characters stands side by side in the words,
+    shorter than tokens, of all rows: pair, k."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9+/_-]+")).alias("w"))
+    words = words.where(F.length("w").between(2, MIN_TOKEN - 1)).groupBy("w").agg(F.count("*").alias("n"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, 2))
+    return words.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("k"))
+
+
+def ordinary_model(counts: dict[str, int]) -> list[float]:
+    """Decimal logarithm of the probability of each character after each other one in
+    ordinary text, by rows of ``SYMBOLS``; a row's probabilities sum to one."""
+    classes = [_LOWER, _UPPER, _DIGITS, SYMBOLS[-4:]]
+    of = {c: group for group in classes for c in group}
+    out = []
+    for x in SYMBOLS:
+        total = sum(counts.get(x + y, 0) for y in SYMBOLS)
+        for y in SYMBOLS:
+            same = of[x] is of[y]
+            share = (1 - CLASS_CHANGE) / len(of[x]) if same else CLASS_CHANGE / (len(SYMBOLS) - len(of[x]))
+            out.append(math.log10((counts.get(x + y, 0) + PRIOR * share) / (total + PRIOR)))
+    return out
+
+
+def ordinary_bin(token: Column, model: Column) -> Column:
+    """Bin (tenths of a decade) of the token's p-value under ordinary text; larger is
+    less ordinary.  ``model`` is the array of ``ordinary_model``."""
+    sizes = F.create_map(*(F.lit(x) for k, v in ALPHABETS.items() for x in (k, float(len(v)))))
+    def decades(codes: Column) -> Column:
+        ordinary = F.aggregate(F.transform(codes, lambda c, i: F.when(
+            i > 0, F.get(model, F.get(codes, i - 1) * len(SYMBOLS) + c)).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+        uniform = (F.size(codes) - 1) * F.log10(F.element_at(sizes, _encoding(token)))
+        return -ordinary - uniform - math.log10(len(ALPHABETS))
+    codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(SYMBOLS), c) - 1)
+    found = F.greatest(F.lit(0.0), let(codes, decades)) * BINS_PER_DECADE
+    return F.least(F.lit(MAX_BIN), F.floor(found)).cast("int")
 
 
 def stratum(length: Column) -> Column:
@@ -190,7 +223,7 @@ def stratum(length: Column) -> Column:
     return out
 
 
-def tokens(text: Column, base: Column) -> Column:
+def tokens(text: Column, base: Column, model: Column) -> Column:
     """Candidate tokens clear of base spans: start, stop, stratum, bin, uniform."""
     matched = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     found = F.arrays_zip(match_starts(text, TOKEN, matched).alias("start"), matched.alias("m"))
@@ -198,7 +231,7 @@ def tokens(text: Column, base: Column) -> Column:
         (b["start"] < x["start"] + F.length(x["m"])) & (x["start"] < b["stop"]))))
     return F.transform(clear, lambda x: F.struct(
         x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("stop"),
-        stratum(F.length(x["m"])).alias("stratum"), ordinary_bin(x["m"]).alias("bin"),
+        stratum(F.length(x["m"])).alias("stratum"), ordinary_bin(x["m"], model).alias("bin"),
         (uniform_p(x["m"]) >= ALPHA).alias("uniform")))
 
 
@@ -226,9 +259,12 @@ def _text_of(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base and random spans (arrays of start, kind, stop)."""
+    counts = {r["pair"]: r["k"] for r in neighbour_counts(docs).collect()}  # at most len(SYMBOLS) ** 2
+    # one literal: an array of numbers, folded from its text
+    model = F.split(F.lit(",".join(map(repr, ordinary_model(counts)))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    rows = cut_lineage(base.select("doc_id", "base", tokens(F.col("_text"), F.col("base")).alias("tokens")))
+    rows = cut_lineage(base.select("doc_id", "base", tokens(F.col("_text"), F.col("base"), model).alias("tokens")))
     counted = rows.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("k"))
     limits = bin_limits([(r["stratum"], r["bin"], r["k"]) for r in counted.collect()])
     limit = F.array(*map(F.lit, limits))

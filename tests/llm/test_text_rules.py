@@ -1,7 +1,11 @@
 """Secret scan, quality rules and URL filters against plain Python."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +60,99 @@ def test_random_tokens(spark):
     assert [text[int(a):int(b)] for k, a, b in spans[1] if k == "random"] == found and spans[2] == []
 
 
+def _tail(z):
+    return 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z ** 3)))
+
+
+def _battery(token):
+    """Encoding and whether the three tests leave the token uniform, from their formulas."""
+    kinds = [("hex", "[0-9a-f]+|[0-9A-F]+"), ("letters", "[a-z]+|[A-Z]+"), ("base32", "[A-Z2-7]+"),
+             ("base36", "[0-9a-z]+|[0-9A-Z]+"), ("base64", ".+")]
+    kind = next(k for k, x in kinds if re.fullmatch(x, token))
+    alphabet = secrets.ALPHABETS[kind]
+    plain = token.replace("-", "+").replace("_", "/") if kind == "base64" else token if kind == "base32" else token.lower()
+    codes, n, a = [alphabet.index(c) for c in plain], len(token), len(alphabet)
+    pairs, same = n * (n - 1), sum(codes.count(c) - 1 for c in codes)
+    z1 = (same - pairs / a) / math.sqrt(2 * pairs / a * (1 - 1 / a))
+    high = [2 * c >= a for c in codes]
+    changes, n1 = sum(x != y for x, y in zip(high, high[1:])), sum(high)
+    product = 2 * n1 * (n - n1)
+    z2 = 40.0
+    if product > n:
+        z2 = abs(changes - product / n) / math.sqrt(max(1e-9, product * (product - n) / (n * n * (n - 1))))
+    mean = sum(codes) / n
+    var = sum((c - mean) ** 2 for c in codes)
+    z3 = abs(sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / var) * math.sqrt(n) if var else 40.0
+    return a, min(1.0, 3 * min(_tail(z1), 2 * _tail(z2), 2 * _tail(z3))) >= secrets.ALPHA
+
+
+def _random_spans(texts):
+    """Spans of kind random by row, one token at a time."""
+    counts = {}
+    for t in texts:
+        for w in re.split("[^A-Za-z0-9+/_-]+", t or ""):
+            if 2 <= len(w) < 20:
+                for x, y in zip(w, w[1:]):
+                    counts[x + y] = counts.get(x + y, 0) + 1
+    model = dict(zip(itertools.product(secrets.SYMBOLS, repeat=2), secrets.ordinary_model(counts)))
+    rows, seen = [], []
+    for t in texts:
+        base = [tuple(map(int, s.split(":")[1:])) for s in _base(t).split(",") if s]
+        rows.append([])
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t or ""):
+            if any(x < m.end() and m.start() < y for x, y in base):
+                continue
+            a, uniform = _battery(m[0])
+            decades = -sum(model[p] for p in zip(m[0], m[0][1:])) - (len(m[0]) - 1) * math.log10(a) - math.log10(5)
+            at = max(k for k, least in enumerate(secrets.STRATA) if len(m[0]) >= least)
+            rows[-1].append((m.start(), m.end(), at, min(1000, int(max(0.0, decades) * 10)), uniform))
+            seen.append((at, rows[-1][-1][3], 1))
+    limits = secrets.bin_limits(seen)
+    return [[f"random:{x}:{y}" for x, y, at, b, uniform in row if uniform and b >= limits[at]] for row in rows]
+
+
+def test_random_spans_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in H.table(spark, "documents").select("doc_id", "text").collect()]
+    rng = random.Random(3)
+    rows += [(10_000 + k, " ".join(_key(rng) for _ in range(30))) for k in range(40)]
+    want = {i: x for (i, _), x in zip(rows, _random_spans([t for _, t in rows]))}
+    out = secrets.find_secrets(H.documents(spark, rows)).collect()
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("random")] for r in out}
+    assert got == want and sum(map(len, want.values())) > 500
+
+
+PLANTED = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "base32": secrets.ALPHABETS["base32"],
+           "base36": secrets.ALPHABETS["base36"], "base64": secrets.ALPHABETS["base64"]}
+
+
+def _key(rng):
+    return "".join(rng.choices(rng.choice(list(PLANTED.values())), k=rng.randrange(20, 70)))
+
+
+def test_planted_keys_are_found(spark):
+    """50 keys of every alphabet and length among all documents."""
+    rng, rows, kinds = random.Random(1), [], {}
+    for kind, alphabet in PLANTED.items():
+        for n in (20, 24, 32, 40):
+            i = 10_000 + len(kinds)
+            kinds[i] = (kind, n)
+            rows.append((i, " ".join("".join(rng.choices(alphabet, k=n)) for _ in range(50))))
+    docs = H.table(spark, "documents").select(*H.documents(spark, rows).columns)
+    out = {r.doc_id: r for r in secrets.find_secrets(docs.unionByName(H.documents(spark, rows))).collect()}
+    shares = {kinds[i]: (out[i].n_random + out[i].n_access + out[i].n_hex) / 50 for i in kinds}
+    print(shares)
+    assert min(shares.values()) >= 0.9
+    clean = [r for i, r in out.items() if i not in kinds]
+    assert sum(r.n_random for r in clean) <= 0.05 * len(clean)
+
+
+def test_ordinary_model_sums_to_one():
+    for counts in ({}, {"ab": 5, "b-": 2, "Z9": 10 ** 12}):
+        model = secrets.ordinary_model(counts)
+        n = len(secrets.SYMBOLS)
+        assert [sum(10 ** x for x in model[k:k + n]) for k in range(0, n * n, n)] == pytest.approx([1.0] * n)
+
+
 def test_false_discovery_step_up():
     # stratum 0: one token of 1e-9 among 1000, below 0.01 / 1000; stratum 1: 1e-4 is not
     counts = [(0, 90, 1), (0, 0, 999), (1, 40, 1), (1, 0, 999), (2, 25, 500), (2, 0, 500)]
