@@ -9,12 +9,15 @@ Pattern rules are written in a small filter syntax over the lower-cased URL:
 Each rule is indexed under the *rarest* of its literal tokens, rarity being the
 number of URLs of the whole table that hold the token.  The tokens of a URL
 fetch the rules indexed under them, and only these run their regular
-expression.  A rule without a complete literal token is fetched by every URL.
-A matching ``allow`` rule wins over matching ``block`` rules.
+expression.  A rule without a complete literal token is indexed under the empty
+token, which every URL holds.  A matching ``allow`` rule wins over matching
+``block`` rules.
 
-All work on rows is DataFrame expressions: one small aggregate for the token
-counts (its result has at most one row per rule token) and one projection.
-The rule index travels inside the plan as a literal; ``MAX_RULES`` bounds it.
+Rules are a table.  Counting joins the URLs' tokens to the rules' tokens, fetching
+joins them to the index; the index is broadcast up to ``BROADCAST_RULES`` rules and
+shuffled beyond, so their number has no limit.  A URL that many rows hold is judged
+once; verdicts meet the rows again by the URL, those of hot URLs by broadcast.
+Everything is DataFrame expressions; the driver reads one number, the rows' count.
 
 Defined cases: a null or empty URL, or one without ``://``, has empty host and
 path; no policy rule fits it and pattern rules see its lower-cased text (null:
@@ -31,8 +34,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of rules carried inside the plan; more raise an error.
-MAX_RULES = 20_000
+from tessera.plans.skew import join_counted
+
+from .stored import stored
+
+# Up to this many rules (a few hundred bytes each) the index is broadcast.
+BROADCAST_RULES = 50_000
 
 # host/path policy of the query contract.
 POLICY = [
@@ -107,7 +114,8 @@ def url_path(url: Column) -> Column:
 
 
 def url_tokens(lowered: Column) -> Column:
-    return F.array_distinct(F.split(lowered, "[^a-z0-9]+"))
+    """The distinct tokens of a URL, and the empty one."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(lowered, "[^a-z0-9]+")))
 
 
 def policy_rule(host: Column, path: Column, policy: Sequence[tuple[str, str]]) -> Column:
@@ -121,49 +129,39 @@ def policy_rule(host: Column, path: Column, policy: Sequence[tuple[str, str]]) -
     return F.coalesce(*whens, F.lit(None).cast("string"))
 
 
-def index_rules(pages: DataFrame, url: str, rules: Sequence[PatternRule]) -> tuple[dict, list]:
-    """Index each rule under its rarest token; returns (index, always-run rules).
-
-    The counts cover every row; the collected result has one row per distinct
-    token of the rule list at most."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} pattern rules; at most {MAX_RULES} travel in the plan")
-    tokens = sorted({t for r in rules for t in r.tokens})
-    counts: dict[str, int] = {}
-    if tokens:
-        lowered = ascii_lower(F.coalesce(F.col(url), F.lit("")))
-        held = F.array_intersect(url_tokens(lowered), F.array(*map(F.lit, tokens)))
-        per = pages.select(F.explode(held).alias("token")).groupBy("token").count()
-        counts = {r["token"]: r["count"] for r in per.collect()}
-    index: dict[str, list[PatternRule]] = {}
-    always: list[PatternRule] = []
-    for r in rules:
-        if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
-        else:
-            always.append(r)
-    return index, always
-
-
-def _rule_array(rules: Sequence[PatternRule]) -> Column:
-    if not rules:
-        return F.expr("cast(array() as array<struct<regex:string,allow:boolean>>)")
-    return F.array(*(F.struct(F.lit(r.regex).alias("regex"), F.lit(r.action == "allow").alias("allow"))
-                     for r in rules))
-
-
-def pattern_verdict(url: Column, index: dict, always: list) -> Column:
-    """``allow`` or ``block`` by the indexed pattern rules; no match: allow."""
-    lowered = ascii_lower(F.coalesce(url, F.lit("")))
-    candidates = _rule_array(always)
-    if index:
-        keys = sorted(index)
-        table = F.create_map(*(x for k in keys for x in (F.lit(k), _rule_array(index[k]))))
-        found = F.array_intersect(url_tokens(lowered), F.array(*map(F.lit, keys)))
-        candidates = F.concat(F.flatten(F.transform(found, lambda t: F.element_at(table, t))), candidates)
-    hits = F.filter(candidates, lambda c: F.rlike(lowered, c["regex"]))
-    return (F.when(F.exists(hits, lambda c: c["allow"]), F.lit("allow"))
-            .when(F.size(hits) > 0, F.lit("block")).otherwise(F.lit("allow")))
+def distinct_urls(pages: DataFrame, url: str) -> DataFrame:
+    """Each lower-cased URL once: low, weight (rows that hold it)."""
+    low = pages.select(ascii_lower(F.coalesce(F.col(url), F.lit(""))).alias("low"))
+    return stored(low.groupBy("low").agg(F.count("*").alias("weight")), "urlfilter")
+
+
+def index_rules(urls: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
+    """One row per rule: rule (its text), regex, allow and the token it is fetched by:
+    the one that the fewest rows of the whole table hold (ties: the first), or the
+    empty one for a rule without tokens.  ``urls`` as from ``distinct_urls``."""
+    rows = [(k, r.text, r.regex, r.action == "allow", r.tokens) for k, r in enumerate(rules)]
+    table = urls.sparkSession.createDataFrame(rows, "n int, rule string, regex string, allow boolean, tokens array<string>")
+    held = table.select("n", F.explode("tokens").alias("token"))
+    wanted = _small(held.select("token").distinct(), sum(len(r.tokens) for r in rules))
+    counts = (urls.select("weight", F.explode(url_tokens(F.col("low"))).alias("token"))
+              .join(wanted, "token", "left_semi").groupBy("token").agg(F.sum("weight").alias("k")))
+    rarity = F.struct(F.coalesce("k", F.lit(0)).alias("k"), "token")
+    rarest = held.join(counts, "token", "left").groupBy("n").agg(F.min(rarity)["token"].alias("token"))
+    return table.join(rarest, "n", "left").select("rule", "regex", "allow", F.coalesce("token", F.lit("")).alias("token"))
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, of at most ``rows`` rows, marked for broadcast within the bound."""
+    return F.broadcast(table) if rows <= BROADCAST_RULES else table
+
+
+def pattern_verdicts(urls: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
+    """Each URL once: low, weight, by_pattern (``allow`` or ``block``; no match: allow)."""
+    index = _small(index_rules(urls, rules).drop("rule"), len(rules))
+    fetched = urls.select("low", "weight", F.explode(url_tokens(F.col("low"))).alias("token")).join(index, "token", "left")
+    allowed = F.max(F.when(F.rlike("low", F.col("regex")), F.col("allow")))
+    verdict = F.when(F.coalesce(allowed, F.lit(True)), "allow").otherwise("block")
+    return fetched.groupBy("low").agg(F.max("weight").alias("weight"), verdict.alias("by_pattern"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -171,13 +169,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                patterns: Sequence[tuple[str, str]] = tuple(PATTERNS)) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict (see the module text)."""
     rules = [PatternRule(a, t) for a, t in patterns]
-    index, always = index_rules(pages, url_col, rules)
-    parts = pages.select(F.col(id_col), F.col(url_col).alias("_url"),
-                         url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    ruled = parts.withColumn("rule", policy_rule(F.col("host"), F.col("path"), policy))
+    url = F.col(url_col)
+    parts = pages.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(url, F.lit(""))).alias("low"),
+                         url_host(url).alias("host"), url_path(url).alias("path"))
+    urls = distinct_urls(pages, url_col)
+    total = urls.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    ruled = (join_counted(parts, stored(pattern_verdicts(urls, rules), "urlfilter"), ["low"], total)
+             .withColumn("rule", policy_rule(F.col("host"), F.col("path"), policy)))
     by_rule = F.coalesce(*(F.when(F.col("rule") == r, F.lit(a)) for a, r in policy))
-    verdict = F.coalesce(by_rule, pattern_verdict(F.col("_url"), index, always))
-    return ruled.select(id_col, "host", "path", "rule", verdict.alias("verdict"))
+    return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(by_rule, "by_pattern").alias("verdict"))
 
 
 def oracle_sql(policy: Sequence[tuple[str, str]] = tuple(POLICY),

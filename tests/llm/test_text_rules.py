@@ -241,9 +241,30 @@ def test_url_patterns_equal_running_every_rule(spark):
     for url, r in zip(urls, out):
         hits = [x.action for x in rules if re.search(x.regex, (url or "").lower())]
         assert r.verdict == ("block" if hits and "allow" not in hits else "allow"), url
-    index, always = urlfilter.index_rules(_urls(spark, urls), "url", rules)
-    assert [r.text for r in always] == ["*ware", "^loan*^", "^x"]
-    assert {k: [r.text for r in v] for k, v in index.items()}["review"] == ["^free^bets^review^"]
+    index = {r.rule: r.token for r in urlfilter.index_rules(urlfilter.distinct_urls(_urls(spark, urls), "url"), rules).collect()}
+    assert [r.text for r in rules if not index[r.text]] == ["*ware", "^loan*^", "^x"]
+    assert index["^free^bets^review^"] == "review" and len(index) == len(rules)
+
+
+@pytest.mark.parametrize("bound", [urlfilter.BROADCAST_RULES, 100])
+def test_thousands_of_url_rules(spark, monkeypatch, bound):
+    """Rules are a table of any length, broadcast or shuffled; most URLs are one and the same."""
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", bound)
+    patterns = [("allow" if k % 3 == 0 else "block", f"^w{k}^v{k % 50}^") for k in range(3000)] + [("block", "^v7^")] * 2
+    rules = [urlfilter.PatternRule(a, t) for a, t in patterns]
+    urls = [f"http://h/w{k * 7 % 4000}/v{k % 90}" for k in range(400)] + ["http://h/w3/v3"] * 400 + [None] * 50
+    out = urlfilter.judge_urls(_urls(spark, urls), policy=[("allow", "none/")], patterns=patterns).orderBy("page_id").collect()
+    hits = {}
+    for u in set(urls):
+        own = [x for x in rules if set(x.tokens) <= set(re.split("[^a-z0-9]+", u or ""))]
+        hits[u] = [x.action for x in own if re.search(x.regex, u or "")]
+    assert [r.verdict for r in out] == ["block" if hits[u] and "allow" not in hits[u] else "allow" for u in urls]
+    assert {"allow", "block"} == {r.verdict for r in out}
+
+
+def test_no_url_rules(spark):
+    out = urlfilter.judge_urls(_urls(spark, ["http://casino.net/", None]), patterns=[]).collect()
+    assert [r.verdict for r in out] == ["allow", "allow"]
 
 
 def test_url_edges(spark):
