@@ -11,7 +11,7 @@ An archive is one ``.zst`` stream of independent frames:
   Zstandard readers pass over.
 
 That separator is what lets Spark write the archives: each frame is one row of a
-text table whose line separator is the eight separator bytes.  The files go
+text table whose line separator is the eight separator bytes, partitioned by archive.  The files go
 through Spark's committer to whatever store the path names, a lost task is
 simply run again, and no executor needs a file system of its own.  A task holds
 the records the dictionary is trained on (``SAMPLE_BYTES`` at most) and then one
@@ -47,6 +47,7 @@ SAMPLE_BYTES = 4_000_000
 SAMPLE_RECORD_BYTES = 64_000
 DICTIONARY_BYTES = 64_000
 LEVEL = 3
+ARCHIVE_BYTES = 128_000_000  # of uncompressed records
 
 RECORD_SCHEMA = ("page_id {}, url string, payload_bytes bigint, payload_digest string, "
                  "record_type string, refers_to {}, payload binary")
@@ -134,6 +135,22 @@ def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield packer.compress(r)
 
 
+def rolled(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES) -> Iterator[tuple[int, int, bytes]]:
+    """(archive, place within it, frame) of the archives that the records fill."""
+    records = iter(records)
+
+    def filling(first: bytes) -> Iterator[bytes]:
+        held = len(first)
+        yield first
+        while held < archive_bytes and (r := next(records, None)) is not None:
+            held += len(r)
+            yield r
+
+    for archive, first in enumerate(records):
+        for place, frame in enumerate(archive_frames(filling(first))):
+            yield archive, place, frame
+
+
 def read_archive(data: bytes) -> Iterator[bytes]:
     """The records of one archive, decompressed one at a time."""
     view, at, unpack = memoryview(data), 0, zstandard.ZstdDecompressor()
@@ -150,28 +167,35 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         at = len(view) - len(one.unused_data)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def records():
-        for b in batches:
-            cols = [b.column(c) for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")]
-            for row in zip(*cols):
-                yield record_bytes(*(x.as_py() for x in row))
-
-    out, held = [], 0
-    for frame in archive_frames(records()):
-        out.append(frame)
-        held += len(frame)
-        if held >= 1_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-            out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) below ``path``."""
-    frames = with_record_types(pages).mapInArrow(_frames, "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) below ``path``: a
+    file per task and archive, in folders by the archive's number within its task."""
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records():
+            for b in batches:
+                cols = [b.column(c) for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")]
+                for row in zip(*cols):
+                    yield record_bytes(*(x.as_py() for x in row))
+
+        def batch():
+            kinds = (pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["archive", "place", "frame"])
+
+        out, held = [], 0
+        for row in rolled(records(), archive_bytes):
+            out.append(row)
+            held += len(row[2])
+            if held >= 1_000_000:
+                yield batch()
+                out, held = [], 0
+        if out:
+            yield batch()
+
+    rows = with_record_types(pages).mapInArrow(frames, "archive int, place bigint, frame binary")
+    # the writer keeps this order, so a dictionary stays before its records
+    rows = rows.sortWithinPartitions("archive", "place")
+    (rows.select("archive", F.col("frame").cast("string")).write.partitionBy("archive")
+     .option("lineSep", SEPARATOR).text(path))
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:

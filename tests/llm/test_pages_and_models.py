@@ -69,6 +69,36 @@ def test_archive_files_are_whole_zstd_streams(spark):
     assert all(bytes(v) == texts[k] for k, v in back.items())
 
 
+def test_archives_roll(spark):
+    """Every archive starts with its own dictionary, holds little more than the bound and reads alone."""
+    path = scratch_path(spark, "warc-roll")
+    pages = H.table(spark, "pages", "/root/testdata/sf0.01")
+    raw = sum(len(r.html.encode()) for r in pages.select("html").collect())
+    bound = raw // 12
+    warc.write_archives(pages.coalesce(1), path, bound)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    longest = max(len(r.html.encode()) for r in pages.select("html").collect()) + 1000
+    assert len(files) >= 5
+    for f in files:
+        assert bytes(f.content[:4]) == (0x184D2A5D).to_bytes(4, "little")
+        assert sum(map(len, warc.read_archive(bytes(f.content)))) <= bound + longest
+    back = {r.page_id: (r.payload_digest, r.record_type) for r in warc.read_archives(spark, path).collect()}
+    want = {r.page_id: (r.payload_digest, r.record_type) for r in warc.with_record_types(pages).collect()}
+    assert back == want
+
+
+def test_rolled_archives_in_memory():
+    records = [bytes([k]) * (k % 5) for k in range(100)]
+    for bound in (1, 7, 1000):
+        frames = {}
+        for archive, place, frame in warc.rolled(iter(records), bound):
+            assert place == len(frames.setdefault(archive, []))
+            frames[archive].append(frame)
+        data = [warc.SEPARATOR.encode("latin-1").join(x) for x in frames.values()]
+        assert [r for d in data for r in warc.read_archive(d)] == records
+    assert list(warc.rolled(iter([]), 5)) == []
+
+
 def test_main_text_of_driver_pages(spark):
     import html as ht
     import re
