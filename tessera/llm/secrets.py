@@ -181,8 +181,11 @@ def uniform_p(token: Column) -> Column:
 def neighbour_counts(docs: DataFrame) -> DataFrame:
     """How often each pair of token characters stands side by side in the words,
     shorter than tokens, of all rows: pair, k."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9+/_-]+")).alias("w"))
-    words = words.where(F.length("w").between(2, MIN_TOKEN - 1)).groupBy("w").agg(F.count("*").alias("n"))
+    # by a plain space first, so that the expression sees each distinct piece once
+    pieces = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("p"))
+    pieces = pieces.groupBy("p").agg(F.count("*").alias("n"))
+    words = pieces.select("n", F.explode(F.split("p", "[^A-Za-z0-9+/_-]+")).alias("w"))
+    words = words.where(F.length("w").between(2, MIN_TOKEN - 1))
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, 2))
     return words.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("k"))
 
