@@ -40,6 +40,7 @@ from .stored import stored
 
 # Up to this many rules (a few hundred bytes each) the index is broadcast.
 BROADCAST_RULES = 50_000
+SALTS = 32
 
 # host/path policy of the query contract.
 POLICY = [
@@ -157,8 +158,12 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 def pattern_verdicts(urls: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
     """Each URL once: low, weight, by_pattern (``allow`` or ``block``; no match: allow)."""
-    index = _small(index_rules(urls, rules).drop("rule"), len(rules))
-    fetched = urls.select("low", "weight", F.explode(url_tokens(F.col("low"))).alias("token")).join(index, "token", "left")
+    # beyond the broadcast, a token that most URLs hold is dealt over SALTS tasks
+    salts = 1 if len(rules) <= BROADCAST_RULES else SALTS
+    index = index_rules(urls, rules).select("regex", "allow", "token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    tokens = urls.select("low", "weight", F.explode(url_tokens(F.col("low"))).alias("token"),
+                         F.pmod(F.xxhash64("low"), F.lit(salts)).cast("int").alias("salt"))
+    fetched = tokens.join(_small(index, len(rules)), ["token", "salt"], "left")
     allowed = F.max(F.when(F.rlike("low", F.col("regex")), F.col("allow")))
     verdict = F.when(F.coalesce(allowed, F.lit(True)), "allow").otherwise("block")
     return fetched.groupBy("low").agg(F.max("weight").alias("weight"), verdict.alias("by_pattern"))

@@ -140,7 +140,6 @@ def test_planted_keys_are_found(spark):
     docs = H.table(spark, "documents").select(*H.documents(spark, rows).columns)
     out = {r.doc_id: r for r in secrets.find_secrets(docs.unionByName(H.documents(spark, rows))).collect()}
     shares = {kinds[i]: (out[i].n_random + out[i].n_access + out[i].n_hex) / 50 for i in kinds}
-    print(shares)
     assert min(shares.values()) >= 0.9
     clean = [r for i, r in out.items() if i not in kinds]
     assert sum(r.n_random for r in clean) <= 0.05 * len(clean)
