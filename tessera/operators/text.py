@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,6 +213,18 @@ def tfidf_ngrams(df: DataFrame, text: str, n: int = 2, max_features: int = 20000
     return d.drop("_g1", "_grams", "_tf", "_idf1"), cv
 
 
+def vector_entries(vector: str) -> Column:
+    """The non-zero entries ``array<struct<x, i>>`` of an ML vector, by index.
+
+    Of a sparse vector only what it stores is read, so a row costs its own terms and
+    not the whole vocabulary."""
+    v = F.unwrap_udt(vector)
+    # a dense vector has no indices
+    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    entries = F.zip_with(v["values"], places, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.filter(F.when(F.size(v["values"]) > 0, entries).otherwise(F.array().cast("array<struct<x:double,i:int>>")), lambda e: e["x"] != 0)
+
+
 def _grams(words: str, starts, k: int):
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
 
@@ -284,5 +296,6 @@ def embed_resume(df: DataFrame, done: DataFrame | None, keys: Sequence[str], tex
 
 
 __all__ = ["SYMPTOM_TERMS", "tfidf_vocab", "lexicon_sentiment", "truncate_tokens",
-           "build_vocabulary", "tokenize_pad", "term_statistics", "exact_vocabulary", "count_vectorize", "tfidf_ngrams", "lda_topics",
+           "build_vocabulary", "tokenize_pad", "term_statistics", "exact_vocabulary", "count_vectorize", "tfidf_ngrams", "vector_entries",
+           "lda_topics",
            "hashing_encoder", "batch_embed", "embed_resume", "pd"]

@@ -177,11 +177,8 @@ s AS (SELECT doc_id, count(*) AS n_terms, sum(w * w) AS sq, sum(w * (idx % 97 +
 SELECT doc_id, coalesce(n_terms, 0)::integer AS n_terms, CASE WHEN sq > 0 THEN 1::double ELSE 0::double END AS norm,
        round(coalesce(weighted / sqrt(sq), 0.0), 6) AS weighted FROM documents LEFT JOIN s USING (doc_id)""", "text")
 def q_tfidf_ngrams(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     out, _ = TX.tfidf_ngrams(t(spark, sf, "documents"), "text", n=2, max_features=20000, stop_words=_STOP)
-    d = out.select("doc_id", vector_to_array("tfidf").alias("v"))
-    # only what is not zero
-    d = d.select("doc_id", F.filter(F.transform("v", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["x"] != 0).alias("v"))
+    d = out.select("doc_id", TX.vector_entries("tfidf").alias("v"))
     total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, e: a + f(e))
     return d.select("doc_id", F.size("v").alias("n_terms"), F.round(F.sqrt(total(lambda e: e["x"] * e["x"])), 6).alias("norm"),
                     r6(total(lambda e: e["x"] * (e["i"] % 97 + 1))).alias("weighted"))
