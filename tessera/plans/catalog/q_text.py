@@ -159,12 +159,11 @@ s AS (SELECT doc_id, count(*) AS n_terms, sum(n) AS total, sum(n * (idx + 1)) AS
 SELECT doc_id, (SELECT count(*) FROM v)::integer AS size, coalesce(n_terms, 0)::integer AS n_terms,
        coalesce(total, 0)::bigint AS total, coalesce(weighted, 0)::bigint AS weighted FROM documents LEFT JOIN s USING (doc_id)""", "text")
 def q_count_vectorize(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     out, model = TX.count_vectorize(t(spark, sf, "documents"), "text", min_df=10, max_df=0.95, stop_words=_STOP)
-    d = out.select("doc_id", vector_to_array("counts").alias("c"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x).cast("long")
-    return d.select("doc_id", F.lit(len(model.vocabulary)).alias("size"), F.size(F.filter("c", lambda x: x > 0)).alias("n_terms"),
-                    total(F.col("c")).alias("total"), total(F.transform("c", lambda x, i: x * (i + 1))).alias("weighted"))
+    d = out.select("doc_id", TX.vector_entries("counts").alias("c"))
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, e: a + f(e)).cast("long")
+    return d.select("doc_id", F.lit(len(model.vocabulary)).alias("size"), F.size("c").alias("n_terms"),
+                    total(lambda e: e["x"]).alias("total"), total(lambda e: e["x"] * (e["i"] + 1)).alias("weighted"))
 
 
 @query("tfidf_ngrams", f"""

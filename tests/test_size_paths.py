@@ -84,3 +84,28 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session)
+
+
+def test_vector_queries_read_only_stored_entries(spark, monkeypatch, tmp_path):
+    """A row costs its own terms: nothing is widened to the vocabulary's size."""
+    import pyspark.ml.functions as MF
+    from pyspark.ml.linalg import Vectors
+
+    from tessera.plans.catalog import load_all
+
+    rows = [(0, Vectors.sparse(2_000_000_000, [3, 7, 1_999_999_999], [2.0, 0.0, 5.0])), (1, Vectors.dense([0.0, 4.0])),
+            (2, Vectors.sparse(2_000_000_000, [], [])), (3, Vectors.dense([]))]
+    got = spark.createDataFrame(rows, ["k", "v"]).select("k", TX.vector_entries("v").alias("e")).collect()
+    assert {r["k"]: [(e["x"], e["i"]) for e in r["e"]] for r in got} == {0: [(2.0, 3), (5.0, 1_999_999_999)], 1: [(4.0, 1)], 2: [], 3: []}
+
+    def widened(*_):
+        raise AssertionError("a vector was made dense")
+    monkeypatch.setattr(MF, "vector_to_array", widened)
+    docs = [(i, "apple pear apple" if i % 2 else "pear plum" if i < 20 else None) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = load_all()
+    counts = {r["doc_id"]: (r["n_terms"], r["total"], r["weighted"]) for r in queries["count_vectorize"].fn(spark, str(tmp_path)).collect()}
+    # apple 24, pear 22 and plum 10 times
+    assert counts[1] == (2, 3, 4) and counts[0] == (2, 2, 5) and counts[22] == (0, 0, 0)
+    grams = {r["doc_id"]: (r["n_terms"], r["norm"]) for r in queries["tfidf_ngrams"].fn(spark, str(tmp_path)).collect()}
+    assert grams[1] == (4, 1.0) and grams[0] == (3, 1.0) and grams[22] == (0, 0.0)
