@@ -9,8 +9,11 @@
    ``t`` of the distance to its k-th neighbour, and a cell with pivot ``p`` and radii
    ``[low, high]`` needs a visit only if ``d(x, p) - high <= t`` and
    ``low - d(x, p) <= t`` for some point ``x`` of the block.
-4. Blocks are sent to those that visit them and read one at a time, sorted behind
-   the visitor; each point keeps its ``k`` best.  Never more than two blocks are in
+4. Visiting blocks are taken in groups, ``GROUPS`` or two a core, and a block is sent
+   once to each group that holds a visitor of it.  There the blocks are read one at a
+   time, sorted behind the visitors; each point keeps its ``k`` best.  So a point is
+   shuffled about once a group, until a group reaches ``GROUP_BYTES`` of points; beyond,
+   groups grow in number.  Never more than a group and one block are in
    memory, and no pair of points leaves a task but the ``k`` kept.
 
 The result is exact whatever the data; the pivots only decide how much can be
@@ -39,6 +42,8 @@ from ..session import cut_lineage
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
+GROUPS = 24
+GROUP_BYTES = 128 << 20
 
 
 class Metric:
@@ -204,6 +209,17 @@ def _search(points: DataFrame, k: int, metric: Metric, block_rows: int, kind: st
     blocks = cut_lineage(dealt.select("block", "vid", "wanted", "m").mapInArrow(
         pack, f"block bigint, ids array<{kind}>, wanted array<boolean>, m binary"))
 
+    # places of the blocks, cell by cell, and the groups cut from them
+    place, at = {}, 0
+    for c in sorted(parts):
+        place[c], at = at, at + parts[c]
+    most = max(GROUPS, 2 * points.sparkSession.sparkContext.defaultParallelism)
+    a_group = max(1, min(-(-at // most), GROUP_BYTES // (8 * dim * block_rows)))
+    groups = -(-at // a_group)
+
+    def group_of(block: int) -> int:
+        return (place[block >> 32] + (block & 0xFFFFFFFF)) // a_group
+
     def unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = _ids(b.column("ids")[i].values)
         m = np.frombuffer(b.column("m")[i].as_py(), np.float64).reshape(len(ids), dim)
@@ -225,13 +241,17 @@ def _search(points: DataFrame, k: int, metric: Metric, block_rows: int, kind: st
                 cells = ((to_pivot - high <= reach) & (low - to_pivot <= reach)).any(0)
                 to = [(c << 32) + p for c in np.flatnonzero(cells).tolist() for p in range(parts.get(c, 0))]
                 to = [x for x in to if x != own]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(to), pa.int64()), pa.array(to, pa.int64())], names=["visitor", "block"])
-
-    wanted = cut_lineage(blocks.mapInArrow(visits, "visitor bigint, block bigint"))
-    own = blocks.where(F.exists("wanted", lambda x: x)).select(F.col("block").alias("visitor"), F.lit(0).alias("turn"), *blocks.columns)
-    seen = blocks.join(wanted, "block").select("visitor", F.lit(1).alias("turn"), *blocks.columns)
-    # the visitor comes first, then the blocks it visits, one at a time
-    queue = own.unionByName(seen).repartition("visitor").sortWithinPartitions("visitor", "turn", "block")
+                # the block itself comes first in its group
+                yield pa.RecordBatch.from_arrays([pa.array([group_of(own)] * (len(to) + 1), pa.int64()), pa.array([own] + to, pa.int64()),
+                                                  pa.array([own] * (len(to) + 1), pa.int64())], names=["visitor", "block", "reader"])
+
+    met = blocks.mapInArrow(visits, "visitor bigint, block bigint, reader bigint")
+    itself = F.col("reader") == F.col("block")
+    # at most a group's blocks read a block
+    wanted = cut_lineage(met.groupBy("visitor", "block", itself.cast("int").alias("turn")).agg(F.collect_set("reader").alias("readers")))
+    seen = blocks.join(wanted, "block").select("visitor", (1 - F.col("turn")).alias("turn"), "readers", *blocks.columns)
+    # the visitors come first, then the blocks they visit, one at a time
+    queue = seen.repartition(groups, "visitor").sortWithinPartitions("visitor", "turn", "block")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(ids: np.ndarray, best: Best) -> pa.RecordBatch:
@@ -242,18 +262,20 @@ def _search(points: DataFrame, k: int, metric: Metric, block_rows: int, kind: st
             values = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(near.tolist(), id_type)], names=["d", "nid"])
             return pa.RecordBatch.from_arrays([pa.array(ids.tolist(), id_type), pa.ListArray.from_arrays(pa.array(ends), values)], names=["vid", "near"])
 
-        at, mine, own, best = None, None, None, None
+        at, held = None, {}
         for b in batches:
             for i in range(b.num_rows):
                 ids, want, m = unpacked(b, i)
                 visitor = b.column("visitor")[i].as_py()
                 if visitor != at:
-                    if at is not None:
-                        yield result(own, best)
-                    at, own, mine, best = visitor, ids[want], m[want], Best(int(want.sum()), k)
-                best.offer(metric, mine, own, m, ids)
-        if at is not None:
-            yield result(own, best)
+                    yield from (result(own, best) for _, own, best in held.values())
+                    at, held = visitor, {}
+                if not b.column("turn")[i].as_py():
+                    held[b.column("block")[i].as_py()] = m[want], ids[want], Best(int(want.sum()), k)
+                for reader in sorted(b.column("readers")[i].as_py()):
+                    mine, own, best = held[reader]
+                    best.offer(metric, mine, own, m, ids)
+        yield from (result(own, best) for _, own, best in held.values())
 
     return queue.mapInArrow(nearest, f"vid {kind}, near array<struct<d:double,nid:{kind}>>")
 

@@ -75,3 +75,23 @@ def test_unusable_vectors_and_few_points(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("near", F.lit("x")).withColumn("weight", F.lit(1))
     assert _got(knn_graph(df, "id", "v", 3)) == {1: [(1.0, 6)], 6: [(1.0, 1)]}
     assert _got(knn_graph(df.where("id < 2"), "id", "v", 3)) == {} and _got(knn_graph(df.limit(0), "id", "v", 3)) == {}
+
+
+def test_a_block_is_sent_once_to_a_group_of_visitors(spark, monkeypatch):
+    """Vectors without structure, so every block visits all others: what is sent grows
+    with the number of groups, not with the number of blocks."""
+    from tessera.operators import neighbors as N
+    kept, keep = [], N.cut_lineage
+
+    def recorded(df):
+        kept.append(keep(df))
+        return kept[-1]
+    monkeypatch.setattr(N, "cut_lineage", recorded)
+    rng = np.random.default_rng(5)
+    rows = [(i, tuple(rng.normal(size=12).round(3))) for i in range(400)]
+    assert _got(knn_graph(_frame(spark, rows), "id", "v", 4, "euclidean", block_rows=2)) == _brute(rows, 4)
+    sent, blocks = ([d for d in kept if c in d.columns][-1].count() for c in ("visitor", "m"))
+    groups = max(24, 2 * spark.sparkContext.defaultParallelism)
+    assert blocks > 4 * groups, (blocks, groups)
+    # some of the places counted for the groups are empty blocks
+    assert sent <= 1.2 * (groups + 1) * blocks, (sent, blocks, groups)
