@@ -205,6 +205,11 @@ def _compact(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
 
 
+def assembled(df: DataFrame, id_col: str, label: str, features) -> DataFrame:
+    """``(id_col, label, features)`` on reliable storage, for fits that share the rows."""
+    return cut_lineage(_vec(df, features).select(id_col, label, "features"))
+
+
 def _fit_balanced(fit: Fit, train: DataFrame, features, label: str):
     """``fit`` with balanced class weights, or without where it takes none."""
     weighted = class_weights(train, label, "balanced", "_weight")
@@ -408,20 +413,23 @@ def model_card_report(scores: DataFrame, prefix: str) -> DataFrame:
 
 def multi_seed_runs(step: Callable[[int], DataFrame], seeds: Sequence[int]) -> DataFrame:
     """Union of ``step(seed)`` over seeds with ``run``, ``status`` and ``error``
-    columns.  A failing seed does not stop the others: it becomes one row with
+    columns.  Independent, so started from a thread pool.  A failing seed does not stop the others: it becomes one row with
     status ``failed``, the error's text and nulls.  If every seed fails the last
     error is raised, since there is no result to give a schema."""
-    done, failed, last = [], [], None
-    for i, s in enumerate(seeds, start=1):
+    def run(i: int, s: int):
         try:
-            df = step(s)
-            df = cut_lineage(df)  # an action: errors of the run surface here
+            return cut_lineage(step(s))  # an action: errors of the run surface here
         except Exception as e:  # noqa: BLE001 - reported in the failed run's row
             log.warning("run %d (seed %d) failed: %s", i, s, e)
-            failed.append((i, f"{type(e).__name__}: {e}"[:500]))
-            last = e
-            continue
-        done.append(df.withColumns({"run": F.lit(i), "status": F.lit("ok"), "error": F.lit(None).cast("string")}))
+            return e
+
+    done, failed, last = [], [], None
+    for i, df in enumerate(at_once([partial(run, i, s) for i, s in enumerate(seeds, start=1)]), start=1):
+        if isinstance(df, Exception):
+            failed.append((i, f"{type(df).__name__}: {df}"[:500]))
+            last = df
+        else:
+            done.append(df.withColumns({"run": F.lit(i), "status": F.lit("ok"), "error": F.lit(None).cast("string")}))
     if not done:
         if last is None:
             raise ValueError("no seeds given")

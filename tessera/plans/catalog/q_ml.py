@@ -16,6 +16,7 @@ from ...functions._util import r6
 from ...operators import models as M
 from ...operators import prep as P
 from ...operators.seq import pad_sequence_mask, stratified_split
+from ...session import cut_lineage
 from . import query
 from ._common import t
 
@@ -261,12 +262,15 @@ def q_run_params_metrics(spark, sf):
 def q_multi_seed_runs(spark, sf):
     from ...operators.evaluate import metric_accuracy
 
+    # read and assembled once for all seeds
+    rows = M.assembled(_emb(spark, sf), "vec_id", "y", _FEATS)
+
     def step(seed: int):
-        d = _emb(spark, sf)
-        s = stratified_split(d, "vec_id", "y", 0.2, seed).select("vec_id", "is_val")
-        d = d.join(s, "vec_id")
-        m = M.fit_logreg(d.where(~F.col("is_val")), _FEATS, "y")
-        p = M.predict(m, d.where("is_val"), _FEATS, "vec_id", "y", "logreg")
+        s = stratified_split(rows.select("vec_id", "y"), "vec_id", "y", 0.2, seed).select("vec_id", "is_val")
+        # a fit reads its rows several times
+        d = cut_lineage(rows.join(s, "vec_id"))
+        m = M.fit_logreg(d.where(~F.col("is_val")), "features", "y")
+        p = M.predict(m, d.where("is_val"), "features", "vec_id", "y", "logreg")
         return metric_accuracy(p, "y_true", "pred").select(r6("accuracy").alias("accuracy"),
                                                            F.lit(seed).alias("seed"))
     return M.multi_seed_runs(step, [42 + i for i in range(1, 31)])

@@ -130,3 +130,17 @@ def test_other_rows_only_queries(spark, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
+
+
+def test_seeds_run_at_once(spark):
+    """Every run waits until another one has started."""
+    from threading import Barrier
+
+    from tessera.operators import models as M
+    both = Barrier(2, timeout=60)
+
+    def step(seed):
+        both.wait()
+        return spark.createDataFrame([(seed,)], "seed int")
+    rows = M.multi_seed_runs(step, [5, 6, 7, 8]).orderBy("run").collect()
+    assert [(r["run"], r["seed"], r["status"], r["error"]) for r in rows] == [(i, 4 + i, "ok", None) for i in range(1, 5)]
