@@ -1,8 +1,9 @@
 """Toxicity (operator 5): class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney bigram models, of toxic and of ordinary labelled
-documents, score every word of a text; the mean log-likelihood ratio, which does
-not grow with the text's length, goes through a logistic calibration.
+documents, score every word of a text.  Two means over the words, which do not grow
+with the text's length, go through a logistic calibration: the log-likelihood ratio
+of the models over all words, and the part of it that has evidence.
 
 * *Words.*  ``p(w) = (max(k(w) - D, 0) + D V s(w)) / K``: ``k(w)`` is the continuation
   count, the number of distinct words before ``w`` in the class, ``K`` the sum of all,
@@ -11,26 +12,30 @@ not grow with the text's length, goes through a logistic calibration.
 * *Bigrams.*  ``p(w | u) = (max(n(u, w) - D, 0) + D t(u) p(w)) / n(u)``: ``n`` counts the
   documents of the class that hold the bigram, ``t(u)`` the distinct words after
   ``u``.  Both sum to one over the words of the table.
+* *Likelihood.*  Every word has the ratio of its bigram in both models.  A bigram that
+  the training rows do not hold backs off to its word, with the weights that the two
+  models give their backoff after ``u``; a word that they do not hold, to the shares.
 * *Evidence.*  An expression (a word, or a bigram) is evident when its documents of
   the toxic class are more than ``EVIDENCE`` standard deviations from what the pooled
-  count leads to expect.  A word is scored by its bigram's ratio if that is
-  evident, else by its own if that is, else its ratio is 0, as both models only
-  know it by the shared counts.  So the mix of languages and topics that the
-  labelled rows happen to have does not add up over a long text.
+  count leads to expect.  In the second mean a word has its bigram's ratio if that is
+  evident, else its own if that is, else 0.  The mix of languages and topics that the
+  labelled rows happen to have adds up in the first mean, not in this one; how much
+  each counts is fitted.
 * Labels are learnt only from rows with ``crc32(doc_id) mod 5 != 0``: remainders
   1 to 3 count expressions, remainder 4 fits the calibration.  Each of the two
   fits takes at most ``MAX_PER_CLASS`` rows of each class, those with the
   smallest hash of their id.  This bound applies to labelled rows alone; the
   shared counts read every document and scoring reads every whole text.
-* Words are keyed by 64-bit hashes in Spark count tables, which are joined; only
-  the evident expressions with their ratios are broadcast, and their number is
-  bounded by the labelled sample.
+* Words are keyed by 64-bit hashes in Spark count tables, which are joined.  The
+  expressions of the training rows with their ratios are broadcast, 12 bytes each;
+  their number is bounded by the labelled sample, not by the table.
 
 A word is a lower-cased (A-Z) run between white space and ASCII punctuation.
 Only the text is scored: labels, lang, source and doc_id are no inputs.
 
-Defined cases: null and empty texts, and texts without words, have ratio 0 and
-the score of that.  Labels that are null, or of rows without ``doc_id``, are not
+Defined cases: null and empty texts, and texts without words, have ratios 0 and
+the score of that.  Without calibration rows of both classes the score is the
+logistic function of the likelihood ratio.  Labels that are null, or of rows without ``doc_id``, are not
 learnt; of several labels of a document the largest counts.  If either class has
 no training rows, all scores are 0.  Repeated rows get equal scores.  A null
 ``doc_id`` is scored and never held out.  Extra columns are ignored.  An empty
@@ -178,50 +183,101 @@ def word_models(counts: DataFrame, docs: DataFrame) -> DataFrame:
     return shared.join(after, "w", "left").select("w", *(p(c).alias(f"p{c}") for c in CLASSES))
 
 
-def bigram_models(counts: DataFrame, pairs: DataFrame, models: DataFrame) -> DataFrame:
-    """(u, w, p0, p1) of the given pairs ``(u, w, n0, n1)``."""
-    context = counts.where("u is not null").groupBy("u").agg(
+def _contexts(counts: DataFrame) -> DataFrame:
+    """(u, m0, m1, t0, t1): what follows ``u`` in each class, counted and distinct."""
+    return counts.where("u is not null").groupBy("u").agg(
         *(F.sum(f"n{c}").alias(f"m{c}") for c in CLASSES), *(F.count_if(F.col(f"n{c}") > 0).alias(f"t{c}") for c in CLASSES))
-    both = pairs.join(context, "u").join(models, "w")
+
+
+def bigram_models(counts: DataFrame, pairs: DataFrame, models: DataFrame) -> DataFrame:
+    """(u, w, p0, p1) of the given pairs ``(u, w, n0, n1)``, and their other columns."""
+    both = pairs.join(_contexts(counts), "u").join(models, "w")
+    more = [c for c in pairs.columns if c not in ("u", "w", "n0", "n1")]
 
     def p(c: int) -> Column:
         n, m, t, back = (F.col(f"{x}{c}") for x in "nmtp")
         return F.when(m > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * t * back) / m).otherwise(back)
 
-    return both.select("u", "w", *(p(c).alias(f"p{c}") for c in CLASSES))
+    return both.select("u", "w", *(p(c).alias(f"p{c}") for c in CLASSES), *more)
+
+
+def context_models(counts: DataFrame) -> DataFrame:
+    """(u, b0, b1): the weight of each class's backoff after ``u``, 1 where the class
+    does not hold ``u``."""
+    context = _contexts(counts)
+    return context.select("u", *(F.when(F.col(f"m{c}") > 0, DISCOUNT * F.col(f"t{c}") / F.col(f"m{c}")).otherwise(1.0).alias(f"b{c}")
+                                 for c in CLASSES))
+
+
+def unseen_ratio(counts: DataFrame) -> float:
+    """Log ratio of a word that no training row holds: its share cancels out."""
+    word = F.col("u").isNull() & F.col("w").isNotNull()
+    # four numbers
+    of = counts.agg(*(F.count_if(word & (F.col(f"n{c}") > 0)).alias(f"types{c}") for c in CLASSES),
+                    *(F.count_if(F.col("u").isNotNull() & (F.col(f"n{c}") > 0)).alias(f"total{c}") for c in CLASSES)).first()
+    weight = [DISCOUNT * of[f"types{c}"] / of[f"total{c}"] if of[f"total{c}"] else 1.0 for c in CLASSES]
+    return math.log(weight[1] / weight[0])
+
+
+class Ratios:
+    """Log ratios by 64-bit hash, looked up by binary search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        at = np.argsort(keys)
+        self.keys, self.values = keys[at], values[at]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def put(self, wanted: np.ndarray, out: np.ndarray) -> None:
+        """Sets ``out`` where ``wanted`` is known."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[at] == wanted
+            out[hit] = self.values[at[hit]]
 
 
 class Model:
-    """The log ratios of the evident expressions, by hash, and the calibration."""
-
-    def __init__(self, singles: list, pairs: list):
-        order = sorted((r["w"], math.log(r["p1"] / r["p0"])) for r in singles)
-        self.words, self.word_ratio = np.array([w for w, _ in order], np.int64), np.array([r for _, r in order])
-        u, w = (np.array([r[c] for r in pairs], np.int64) for c in "uw")
-        ratio = np.array([math.log(r["p1"] / r["p0"]) for r in pairs])
-        b = bigram_hashes(u, w)
-        at = np.argsort(b)
-        self.bigrams, self.bigram_ratio = b[at], ratio[at]
-        self.slope, self.offset = 0.0, 0.0
-
-    @staticmethod
-    def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, out: np.ndarray) -> None:
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            out[hit] = values[at[hit]]
+    """The log ratios of the training rows' expressions, by hash, and the calibration.
+    ``singles`` (w), ``pairs`` (u, w) and ``contexts`` (u) have a ``ratio``; the first two
+    tell which are ``evident``."""
+
+    def __init__(self, singles: pa.Table, pairs: pa.Table, contexts: pa.Table, unseen: float):
+        column = lambda t, c: t.column(c).to_numpy()
+        w, b = column(singles, "w"), bigram_hashes(column(pairs, "u"), column(pairs, "w"))
+        rw, rb = column(singles, "ratio"), column(pairs, "ratio")
+        ew, eb = column(singles, "evident"), column(pairs, "evident")
+        self.words, self.bigrams = Ratios(w[ew], rw[ew]), Ratios(b[eb], rb[eb])
+        self.all_words, self.all_bigrams = Ratios(w, rw.astype(np.float32)), Ratios(b, rb.astype(np.float32))
+        self.contexts = Ratios(column(contexts, "u"), column(contexts, "ratio").astype(np.float32))
+        self.unseen = unseen
+        self.slopes, self.offset = np.zeros(2), 0.0
 
     def ratio(self, ws: np.ndarray) -> float:
-        """Mean log-likelihood ratio of toxic to ordinary over the words."""
+        """Mean of the evident log-likelihood ratios of toxic to ordinary over the words."""
         if not len(ws):
             return 0.0
         out = np.zeros(len(ws))
-        self._look_up(self.words, self.word_ratio, ws, out)
-        self._look_up(self.bigrams, self.bigram_ratio, bigram_hashes(previous(ws), ws), out)
+        self.words.put(ws, out)
+        self.bigrams.put(bigram_hashes(previous(ws), ws), out)
+        return float(out.mean())
+
+    def likelihood(self, ws: np.ndarray) -> float:
+        """Mean log-likelihood ratio of toxic to ordinary over the words."""
+        if not len(ws):
+            return 0.0
+        out, back, before = np.full(len(ws), self.unseen), np.zeros(len(ws)), previous(ws)
+        self.all_words.put(ws, out)
+        self.contexts.put(before, back)
+        out += back
+        self.all_bigrams.put(bigram_hashes(before, ws), out)
         return float(out.mean())
 
-    def score(self, ratio: float) -> float:
-        z = self.slope * ratio + self.offset
+    def means(self, ws: np.ndarray) -> tuple[float, float]:
+        return self.likelihood(ws), self.ratio(ws)
+
+    def score(self, means: tuple[float, float]) -> float:
+        z = float(self.slopes @ means) + self.offset
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -60, 60))))
 
 
@@ -231,35 +287,40 @@ def fit_counts(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_
     if n is None or not (n["n0"] and n["n1"]):
         return None
     expected = (F.col("n0") + F.col("n1")) * (n["n1"] / (n["n0"] + n["n1"]))
-    evident = counts.where("w is not null").where(F.abs(F.col("n1") - expected) > EVIDENCE * F.sqrt(expected + 1))
-    evident = stored(evident, "toxic-evident")
-    models = word_models(counts, docs)
-    singles = evident.where("u is null").select("w").join(models, "w").collect()
-    pairs = bigram_models(counts, evident.where("u is not null"), models).collect()
-    return Model(singles, pairs)
-
-
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression with a small ridge (Newton)."""
-    a, scale = np.zeros(2), max(float(np.std(x)), 1e-9)
-    m = np.stack([x / scale, np.ones_like(x)], 1)
+    evident = (F.abs(F.col("n1") - expected) > EVIDENCE * F.sqrt(expected + 1)).alias("evident")
+    models = stored(word_models(counts, docs), "toxic-words")
+    ratio = F.log(F.col("p1") / F.col("p0")).alias("ratio")
+    # expressions of the bounded training rows
+    singles = counts.where("u is null and w is not null").select("w", evident).join(models, "w").select("w", ratio, "evident")
+    seen = counts.where("u is not null")
+    pairs = bigram_models(counts, seen.select("*", evident), models).select("u", "w", ratio, "evident")
+    contexts = context_models(counts).select("u", F.log(F.col("b1") / F.col("b0")).alias("ratio"))
+    return Model(singles.toArrow(), pairs.toArrow(), contexts.toArrow(), unseen_ratio(counts))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic regression on the columns of ``x`` with a small
+    ridge (Newton)."""
+    a, scale = np.zeros(x.shape[1] + 1), np.maximum(x.std(0), 1e-9)
+    m = np.column_stack([x / scale, np.ones(len(x))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ a, -30, 30)))
         gradient = m.T @ (y - p) - 1e-3 * a
-        hessian = (m * (p * (1 - p))[:, None]).T @ m + 1e-3 * np.eye(2)
+        hessian = (m * (p * (1 - p))[:, None]).T @ m + 1e-3 * np.eye(len(a))
         step = np.linalg.solve(hessian, gradient)
         a = a + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(a[0] / scale), float(a[1])
+    return a[:-1] / scale, float(a[-1])
 
 
-def _ratios(model):
+def _means(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            r = [model.value.ratio(word_hashes(t.as_py(), hashes)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r, pa.float64())], names=[b.schema.names[0], "ratio"])
+            found = [model.value.means(word_hashes(t.as_py(), hashes)) for t in b.column("text")]
+            columns = [pa.array([x[j] for x in found], pa.float64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[b.schema.names[0], "likelihood", "ratio"])
     return run
 
 
@@ -271,12 +332,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS):
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast(model)
     texts = _labelled_texts(docs, training_rows(labels, True, max_per_class))
-    rows = texts.mapInArrow(_ratios(sent), "toxic int, ratio double").toArrow()
-    x, y = rows.column("ratio").to_numpy(), rows.column("toxic").to_numpy().astype(float)
+    rows = texts.mapInArrow(_means(sent), "toxic int, likelihood double, ratio double").toArrow()
+    x = np.column_stack([rows.column(c).to_numpy() for c in ("likelihood", "ratio")])
+    y = rows.column("toxic").to_numpy().astype(float)
     if len(x) and 0 < y.sum() < len(y):
-        model.slope, model.offset = calibrate(x, y)
+        model.slopes, model.offset = calibrate(x, y)
     else:
-        model.slope = 1.0
+        model.slopes = np.array([1.0, 0.0])
     sent.unpersist()
     return sc.broadcast(model)
 
@@ -291,7 +353,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, m = WordHashes(), model.value
             for b in batches:
-                s = [m.score(m.ratio(word_hashes(t.as_py(), hashes))) for t in b.column("text")]
+                s = [m.score(m.means(word_hashes(t.as_py(), hashes))) for t in b.column("text")]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
         scored = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
