@@ -46,10 +46,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,66 +221,91 @@ def unseen_ratio(counts: DataFrame) -> float:
     return math.log(weight[1] / weight[0])
 
 
-class Ratios:
-    """Log ratios by 64-bit hash, looked up by binary search."""
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        at = np.argsort(keys)
-        self.keys, self.values = keys[at], values[at]
+
+class Hashes:
+    """Places of 64-bit hashes in a sorted table.  They spread evenly, so their first
+    bits tell nearly where one is."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys.view(np.uint64))
+        self.keys = keys[self.order]
+        bits = max(1, len(keys).bit_length() - 2)
+        self.shift = np.uint64(64 - bits)
+        lowest = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.starts = np.append(np.searchsorted(self.keys.view(np.uint64), lowest), len(keys)).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def put(self, wanted: np.ndarray, out: np.ndarray) -> None:
-        """Sets ``out`` where ``wanted`` is known."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        out = np.full(len(wanted), -1, np.int32)
+        first = (wanted.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end = self.starts[first], self.starts[first + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        while len(left):
             hit = self.keys[at] == wanted
-            out[hit] = self.values[at[hit]]
+            out[left[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        return out
 
 
 class Model:
-    """The log ratios of the training rows' expressions, by hash, and the calibration.
-    ``singles`` (w), ``pairs`` (u, w) and ``contexts`` (u) have a ``ratio``; the first two
-    tell which are ``evident``."""
-
-    def __init__(self, singles: pa.Table, pairs: pa.Table, contexts: pa.Table, unseen: float):
-        column = lambda t, c: t.column(c).to_numpy()
-        w, b = column(singles, "w"), bigram_hashes(column(pairs, "u"), column(pairs, "w"))
-        rw, rb = column(singles, "ratio"), column(pairs, "ratio")
-        ew, eb = column(singles, "evident"), column(pairs, "evident")
-        self.words, self.bigrams = Ratios(w[ew], rw[ew]), Ratios(b[eb], rb[eb])
-        self.all_words, self.all_bigrams = Ratios(w, rw.astype(np.float32)), Ratios(b, rb.astype(np.float32))
-        self.contexts = Ratios(column(contexts, "u"), column(contexts, "ratio").astype(np.float32))
-        self.unseen = unseen
-        self.slopes, self.offset = np.zeros(2), 0.0
+    """The log ratios of the training rows' expressions, by hash, and of their evident
+    ones apart: words (w), bigrams (key, hash of both words) and the backoff's weights
+    after a word (u)."""
+
+    def __init__(self, singles: dict, pairs: dict, contexts: dict, unseen: float):
+        w, u, ratio = singles["w"], contexts["u"], singles["ratio"]
+        self.words = Hashes(np.union1d(w, u))
+        # the last place is that of words that are not found (-1)
+        n = len(self.words) + 1
+        self.every, self.evident, self.back = np.full(n, unseen, np.float32), np.zeros(n), np.zeros(n, np.float32)
+        at = self.words.find(w)
+        self.every[at], self.evident[at] = ratio, np.where(singles["evident"], ratio, 0.0)
+        self.back[self.words.find(u)] = contexts["ratio"]
+        self.start = self.words.find(np.array([_START]))
+        key, ratio, evident = pairs["key"], pairs["ratio"], pairs["evident"]
+        self.evident_bigrams = Hashes(key[evident])
+        self.evident_ratio = ratio[evident][self.evident_bigrams.order]
+        self.bigrams = Hashes(key)
+        self.bigram_ratio = ratio[self.bigrams.order].astype(np.float32)
+        for table in (self.words, self.bigrams, self.evident_bigrams):
+            del table.order
 
-    def ratio(self, ws: np.ndarray) -> float:
-        """Mean of the evident log-likelihood ratios of toxic to ordinary over the words."""
+    def means(self, ws: np.ndarray) -> tuple[float, float]:
+        """Means over the words of the log-likelihood ratio of toxic to ordinary, and of
+        that of the evident expressions."""
         if not len(ws):
-            return 0.0
-        out = np.zeros(len(ws))
-        self.words.put(ws, out)
-        self.bigrams.put(bigram_hashes(previous(ws), ws), out)
-        return float(out.mean())
+            return 0.0, 0.0
+        at, pairs = self.words.find(ws), bigram_hashes(previous(ws), ws)
+        every = self.every[at].astype(float) + self.back[np.concatenate([self.start, at[:-1]])]
+        evident = self.evident[at]
+        pair = self.bigrams.find(pairs)
+        seen = np.flatnonzero(pair >= 0)
+        every[seen] = self.bigram_ratio[pair[seen]]
+        pair = self.evident_bigrams.find(pairs[seen])
+        evident[seen[pair >= 0]] = self.evident_ratio[pair[pair >= 0]]
+        return float(every.mean()), float(evident.mean())
 
     def likelihood(self, ws: np.ndarray) -> float:
-        """Mean log-likelihood ratio of toxic to ordinary over the words."""
-        if not len(ws):
-            return 0.0
-        out, back, before = np.full(len(ws), self.unseen), np.zeros(len(ws)), previous(ws)
-        self.all_words.put(ws, out)
-        self.contexts.put(before, back)
-        out += back
-        self.all_bigrams.put(bigram_hashes(before, ws), out)
-        return float(out.mean())
+        return self.means(ws)[0]
 
-    def means(self, ws: np.ndarray) -> tuple[float, float]:
-        return self.likelihood(ws), self.ratio(ws)
+    def ratio(self, ws: np.ndarray) -> float:
+        return self.means(ws)[1]
 
-    def score(self, means: tuple[float, float]) -> float:
-        z = float(self.slopes @ means) + self.offset
-        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -60, 60))))
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = bigram_hashes(b.column("u").to_numpy(), b.column("w").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("ratio"), b.column("evident")], names=["key", "ratio", "evident"])
 
 
 def fit_counts(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
@@ -288,17 +315,19 @@ def fit_counts(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_
         return None
     expected = (F.col("n0") + F.col("n1")) * (n["n1"] / (n["n0"] + n["n1"]))
     evident = (F.abs(F.col("n1") - expected) > EVIDENCE * F.sqrt(expected + 1)).alias("evident")
-    models = stored(word_models(counts, docs), "toxic-words")
-    ratio = F.log(F.col("p1") / F.col("p0")).alias("ratio")
     # expressions of the bounded training rows
-    singles = counts.where("u is null and w is not null").select("w", evident).join(models, "w").select("w", ratio, "evident")
-    seen = counts.where("u is not null")
-    pairs = bigram_models(counts, seen.select("*", evident), models).select("u", "w", ratio, "evident")
+    singles = counts.where("u is null and w is not null").select("w", evident)
+    models = stored(word_models(counts, docs).join(singles, "w"), "toxic-words")
+    ratio = F.log(F.col("p1") / F.col("p0")).alias("ratio")
+    singles = models.select("w", ratio, "evident")
+    pairs = counts.where("u is not null").select("*", evident)
+    pairs = bigram_models(counts, pairs, models.drop("evident")).select("u", "w", ratio, "evident")
+    pairs = pairs.mapInArrow(_keyed, "key bigint, ratio double, evident boolean")
     contexts = context_models(counts).select("u", F.log(F.col("b1") / F.col("b0")).alias("ratio"))
-    return Model(singles.toArrow(), pairs.toArrow(), contexts.toArrow(), unseen_ratio(counts))
+    return Model(_columns(singles), _columns(pairs), _columns(contexts), unseen_ratio(counts))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
     """Slopes and offset of a logistic regression on the columns of ``x`` with a small
     ridge (Newton)."""
     a, scale = np.zeros(x.shape[1] + 1), np.maximum(x.std(0), 1e-9)
@@ -311,7 +340,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         a = a + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return a[:-1] / scale, float(a[-1])
+    return tuple((a[:-1] / scale).tolist()), float(a[-1])
 
 
 def _means(model):
@@ -324,23 +353,31 @@ def _means(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS):
-    """The broadcast model, or nothing if a class has no training rows."""
+class Calibrated(NamedTuple):
+    """The broadcast model and the calibration's numbers."""
+
+    model: Broadcast
+    slopes: tuple[float, float] = (1.0, 0.0)
+    offset: float = 0.0
+
+    def score(self, ws: np.ndarray) -> float:
+        z = sum(a * x for a, x in zip(self.slopes, self.model.value.means(ws))) + self.offset
+        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -60, 60))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Calibrated | None:
+    """The model, or nothing if a class has no training rows."""
     model = fit_counts(docs, labels, max_per_class)
     if model is None:
         return None
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = _labelled_texts(docs, training_rows(labels, True, max_per_class))
     rows = texts.mapInArrow(_means(sent), "toxic int, likelihood double, ratio double").toArrow()
     x = np.column_stack([rows.column(c).to_numpy() for c in ("likelihood", "ratio")])
     y = rows.column("toxic").to_numpy().astype(float)
     if len(x) and 0 < y.sum() < len(y):
-        model.slopes, model.offset = calibrate(x, y)
-    else:
-        model.slopes = np.array([1.0, 0.0])
-    sent.unpersist()
-    return sc.broadcast(model)
+        return Calibrated(sent, *calibrate(x, y))
+    return Calibrated(sent)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
@@ -351,9 +388,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_
         scored = d.select("doc_id", F.lit(0.0).alias("score"))
     else:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, m = WordHashes(), model.value
+            hashes = WordHashes()
             for b in batches:
-                s = [m.score(m.means(word_hashes(t.as_py(), hashes))) for t in b.column("text")]
+                s = [model.score(word_hashes(t.as_py(), hashes)) for t in b.column("text")]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
         scored = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
