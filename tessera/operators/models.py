@@ -12,7 +12,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from functools import partial
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .encode import encode_category
 from .prep import assemble_features, class_weights, standardize
-from .resample import METHODS, oversample
+from .resample import METHODS, Shared, oversample
 from .seq import stratified_kfold
 
 log = logging.getLogger(__name__)
@@ -28,6 +30,7 @@ log = logging.getLogger(__name__)
 # Folded tables get a partition per this many rows, and independent fits run at once.
 ROWS_PER_TASK = 20_000
 FIT_THREADS = 6
+FIT_ALONE = 500_000  # rows; larger tables of ``select_resampler`` are fitted one at a time
 
 Fit = Callable[[DataFrame, str, str, str | None], object]
 
@@ -55,8 +58,9 @@ def fit_logreg_tabular(train: DataFrame, features, label: str, weight: str | Non
 def fit_random_forest(train: DataFrame, features, label: str, weight: str | None = None,
                       num_trees: int = 200, seed: int = 42, max_depth: int = 5):
     from pyspark.ml.classification import RandomForestClassifier
+    # a row's node in each tree is kept, not found from the root again at each level
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                seed=seed, maxDepth=max_depth)
+                                seed=seed, maxDepth=max_depth, cacheNodeIds=True)
     if weight:
         rf = rf.setWeightCol(weight)
     return rf.fit(_vec(train, features))
@@ -326,12 +330,15 @@ def select_resampler(train: DataFrame, id_col: str, label: str, cols: Sequence[s
     table = _folded(coded, id_col, label, k, seed)
     classes = sorted(r[0] for r in table.select(label).distinct().collect())
     features = [*cols, *cat_cols]
+    shared, alone = [Shared() for _ in range(k)], Lock()
 
     def score(method: str, f: int) -> tuple:
-        made = cut_lineage(oversample(method, table.where(F.col("fold") != f).drop("fold"), id_col, label, cols, cat_cols, seed=seed))
+        made = cut_lineage(oversample(method, table.where(F.col("fold") != f).drop("fold"), id_col, label, cols, cat_cols, seed=seed, shared=shared[f]))
         n = made.count()
         scaled, (held,) = standardize(made, [table.where(F.col("fold") == f)], features)
-        model = _fit_balanced(fit, _compact(_vec(scaled, features), n), "features", label)
+        # fits that fill the cluster by themselves would only compete for its memory
+        with alone if n > FIT_ALONE else nullcontext():
+            model = _fit_balanced(fit, _compact(_vec(scaled, features), n), "features", label)
         p = predict(model, held, features, id_col, label, method).groupBy("y_true", "pred").agg(F.count(F.lit(1)).alias("n"))
         counts = {(r["y_true"], r["pred"]): r["n"] for r in p.collect()}
         return method, f, sum(counts.values()), _scores_of(counts, classes)[0]

@@ -33,6 +33,8 @@ is.  Extra columns are dropped.  An empty table stays empty.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +58,29 @@ def draw_step(seed: int, *parts: Column) -> Column:
     return draw(seed, F.lit("step"), *parts) / float(1 << 48)
 
 
+class Shared:
+    """What several methods make of the same rows, made once, also when they run at the
+    same time: the classes, and the neighbours that more than one method asks for."""
+
+    def __init__(self):
+        self._lock, self._made = Lock(), {}
+
+    def once(self, key, make):
+        with self._lock:
+            lock = self._made.setdefault(key, [Lock()])[0]
+        with lock:
+            if len(self._made[key]) == 1:
+                self._made[key].append(make())
+            return self._made[key][1]
+
+
 class _Classes:
     """The usable rows ``(id, y, v)`` and the classes that are to grow."""
 
-    def __init__(self, train: DataFrame, id_col: str, label: str, cols: Sequence[str], target: int | None, extra: Sequence[str] = ()):
+    def __init__(self, train: DataFrame, id_col: str, label: str, cols: Sequence[str], target: int | None, extra: Sequence[str] = (),
+                 widest: int = 0):
+        # of the ``widest`` neighbours overall, fewer are the nearest ones
+        self.shared, self.widest = Shared(), widest
         numbers = [F.col(c).cast("double") for c in cols]
         usable = F.col(label).isNotNull() & F.col(id_col).isNotNull()
         for x in numbers:
@@ -97,7 +118,11 @@ class _Classes:
         """(id, y, found, others): of the ``k`` nearest rows of all classes, how many
         there are and how many belong to other classes; rows of growing classes."""
         growing = F.col("y").isin(list(self.grow)) if self.grow else F.lit(False)
-        g = knn_graph(self.rows, "id", "v", k, "euclidean", growing)
+        if k <= self.widest:
+            wide = self.shared.once("overall", lambda: cut_lineage(knn_graph(self.rows, "id", "v", self.widest, "euclidean", growing)))
+            g = wide.where(F.col("rank") <= k)
+        else:
+            g = knn_graph(self.rows, "id", "v", k, "euclidean", growing)
         mine = self.rows.where(growing).select("id", "y")
         theirs = self.rows.select(F.col("id").alias("neighbor"), F.col("y").alias("their"))
         met = g.select("id", "neighbor").join(theirs, "neighbor").join(mine, "id")
@@ -150,11 +175,17 @@ def _with_originals(train: DataFrame, id_col: str, label: str, cols: Sequence[st
     return originals.select(id_col, label, *names, "_copy", "_base", "_neighbor", "_step").unionByName(made)
 
 
+def _classes(shared: Shared | None, train: DataFrame, id_col: str, label: str, cols: Sequence[str], target: int | None) -> _Classes:
+    if shared is None:
+        return _Classes(train, id_col, label, cols, target)
+    return copy(shared.once("classes", lambda: _Classes(train, id_col, label, cols, target, widest=10)))
+
+
 def oversample_smote(train: DataFrame, id_col: str, label: str, cols: Sequence[str], k: int = 5,
-                     target: int | None = None, seed: int = 42) -> DataFrame:
-    c = _Classes(train, id_col, label, cols, target)
+                     target: int | None = None, seed: int = 42, shared: Shared | None = None) -> DataFrame:
+    c = _classes(shared, train, id_col, label, cols, target)
     bases = c.rows.where(F.col("y").isin(list(c.grow))).select("id", "y") if c.grow else c.rows.select("id", "y").limit(0)
-    near = cut_lineage(c.in_class(k))
+    near = c.shared.once(("in class", k), lambda: cut_lineage(c.in_class(k)))
     drawn = _numbered_draws(c, seed, bases, {y: n for y, (n, _) in c.grow.items()}, near)
     return _with_originals(train, id_col, label, cols, c, drawn)
 
@@ -184,15 +215,15 @@ def adasyn_quotas(train: DataFrame, id_col: str, label: str, cols: Sequence[str]
 
 
 def oversample_adasyn(train: DataFrame, id_col: str, label: str, cols: Sequence[str], k: int = 5,
-                      target: int | None = None, seed: int = 42) -> DataFrame:
-    c = _Classes(train, id_col, label, cols, target)
+                      target: int | None = None, seed: int = 42, shared: Shared | None = None) -> DataFrame:
+    c = _classes(shared, train, id_col, label, cols, target)
     quotas = _quotas(c, k).where("quota > 0")
     # draws of a class are numbered in the order of the bases
     numbered = ordered_scan(quotas, ["id"], by=["y"], sums=["quota"])
     each = numbered.select("id", "y", (F.col("_cum_quota").cast("long") - F.col("quota")).alias("before"),
                            F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("nth"))
     each = each.select("id", "y", (F.col("before") + F.col("nth")).alias("copy"))
-    near = cut_lineage(c.in_class(k))
+    near = c.shared.once(("in class", k), lambda: cut_lineage(c.in_class(k)))
     met = each.join(near, "id", "left").withColumn("k", F.greatest(F.lit(1), F.coalesce(F.size("near"), F.lit(0))))
     nth = F.pmod(draw(seed, F.col("y"), F.col("copy")), F.col("k")).cast("int")
     drawn = met.select("y", "copy", "id", F.coalesce(F.get("near", nth), F.col("id")).alias("neighbor"),
@@ -214,8 +245,8 @@ def borderline_classes(train: DataFrame, id_col: str, label: str, cols: Sequence
 
 
 def oversample_borderline(train: DataFrame, id_col: str, label: str, cols: Sequence[str], k: int = 5, m: int = 10,
-                          target: int | None = None, seed: int = 42) -> DataFrame:
-    c = _Classes(train, id_col, label, cols, target)
+                          target: int | None = None, seed: int = 42, shared: Shared | None = None) -> DataFrame:
+    c = _classes(shared, train, id_col, label, cols, target)
     bases = cut_lineage(_dangers(c, m).where("kind = 'danger'").select("id", "y"))
     sizes = {r["y"]: r["n"] for r in bases.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     c.rows = cut_lineage(c.rows.join(bases.select("id", F.lit(True).alias("danger")), "id", "left"))
@@ -260,10 +291,11 @@ def _mode(values: Column) -> Column:
 
 
 def oversample(method: str, train: DataFrame, id_col: str, label: str, cols: Sequence[str], cat_cols: Sequence[str] = (),
-               target: int | None = None, seed: int = 42) -> DataFrame:
+               target: int | None = None, seed: int = 42, shared: Shared | None = None) -> DataFrame:
     """One of ``METHODS`` by name; all but SMOTE-NC take the categories, which must be
-    coded, as numbers."""
+    coded, as numbers.  Methods given the same rows, columns and target may share what
+    they make of them."""
     if method == "smotenc":
         return oversample_smotenc(train, id_col, label, cols, cat_cols, target=target, seed=seed)
     one = {"smote": oversample_smote, "adasyn": oversample_adasyn, "borderline": oversample_borderline}[method]
-    return one(train, id_col, label, [*cols, *cat_cols], target=target, seed=seed)
+    return one(train, id_col, label, [*cols, *cat_cols], target=target, seed=seed, shared=shared)
